@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depthspark.operators.scan import block_of
+from depthspark.operators import scan
 
 TRIAL_SECONDS = 7 * 86_400
 RENEWAL_SECONDS = 5 * 86_400
@@ -28,8 +28,8 @@ def fold_grants(grants: DataFrame, block_days: int = 1) -> DataFrame:
     folded by two more window sums. No user's whole history is one group.
     """
     micros = F.unix_micros(F.col("granted_at").cast("timestamp"))
-    cut = (grants.withColumns({"__at": micros, "__len": F.col("granted_seconds") * 1_000_000})
-           .withColumn("__block", block_of("__at", block_days * _DAY)))
+    timed = grants.withColumns({"__at": micros, "__len": F.col("granted_seconds") * 1_000_000})
+    cut = scan.cut_blocks(timed, ["user_id"], "__at", block_days * _DAY)
     inside = Window.partitionBy("user_id", "__block").orderBy("__at", "grant_id")
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     local = (cut.withColumn("__s", F.sum("__len").over(so_far))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depthspark.operators import scan
+from depthspark.operators.intervals import interval_join
 
 BAND = 0.1
 BOOK = ["symbol", "market"]
@@ -38,13 +39,14 @@ def _rank(df: DataFrame) -> Column:
 
 
 def sequence_gaps(diffs: DataFrame, width: int = scan.WIDTH) -> DataFrame:
-    """Adds ``prev_id`` and ``is_gap``. Arrival order is ``(recv_ms, final_id)``.
+    """Adds ``prev_id``, ``prev_ms`` and ``is_gap``. Arrival order is ``(recv_ms, final_id)``.
 
     Where the columns ``bids`` and ``asks`` are there, a diff that has neither is never a gap. The first
     diff of a book has nothing before it and is no gap. Rows with ``bad = true`` (text that could not be
     read) always are.
     """
-    seen = scan.previous(diffs, BOOK, ["recv_ms", "final_id"], ["final_id"], width * MS_PER_DIFF, prefix="__prev_")
+    seen = scan.previous(diffs, BOOK, ["recv_ms", "final_id"], ["final_id", "recv_ms"], width * MS_PER_DIFF,
+                         prefix="__prev_")
     last = F.col("__prev_final_id")
     broken = (F.when(F.col("market") == "SPOT", F.col("first_id") != last + 1)
               .otherwise(F.col("prev_final_id") != last))
@@ -53,65 +55,75 @@ def sequence_gaps(diffs: DataFrame, width: int = scan.WIDTH) -> DataFrame:
     gap = F.coalesce(broken, F.lit(False))
     if "bad" in diffs.columns:
         gap = gap | F.coalesce("bad", F.lit(False))
-    return seen.withColumn("is_gap", gap).withColumnRenamed("__prev_final_id", "prev_id")
+    return (seen.withColumn("is_gap", gap)
+            .withColumnsRenamed({"__prev_final_id": "prev_id", "__prev_recv_ms": "prev_ms"}))
 
 
 def with_segments(diffs: DataFrame, width: int = scan.WIDTH) -> DataFrame:
-    """Numbers the runs between gaps: ``segment`` goes up by one at each gap."""
+    """``sequence_gaps`` with the runs between gaps numbered: ``segment`` goes up by one at each gap."""
     gaps = sequence_gaps(diffs, width).withColumn("__gap", F.col("is_gap").cast("bigint"))
     return scan.running(gaps, BOOK, ["recv_ms", "final_id"], width * MS_PER_DIFF, segment=("sum", "__gap")).drop("__gap")
 
 
-def sync_points(snapshots: DataFrame, diffs: DataFrame, width: int = scan.WIDTH) -> DataFrame:
-    """For each snapshot the diff that joins it to the live sequence.
+def sync_points(snapshots: DataFrame, segments: DataFrame, width: int = scan.WIDTH) -> DataFrame:
+    """For each snapshot the diff that joins it to the live sequence; ``segments`` are ``with_segments``.
 
     The buffer of a snapshot is every diff of the current run that came before the snapshot, without the
-    diff that broke the sequence. The first of them with ``final_id >= snapshot_id`` must cover
-    ``snapshot_id``. Two scans do it: one over time finds the run, one over ids inside the run finds the
-    diff. Ids only grow inside a run, so the nearest id from above is also the earliest.
+    diff that broke the sequence; the first of them with ``final_id >= snapshot_id`` must cover
+    ``snapshot_id``. Ids only grow inside a run, so that is the diff of the run whose ids hold
+    ``snapshot_id``. Snapshots meet diffs in buckets of ids. There are far fewer snapshots than diffs, so
+    Spark mostly broadcasts them and leaves the diffs where they are.
     """
-    order = ["recv_ms", "__kind", "final_id"]
-    gaps = sequence_gaps(diffs, width)
-    asked = snapshots.select(
-        *BOOK, F.col("recv_ms"), F.lit(1).alias("__kind"), F.col("snapshot_id").alias("final_id"),
-        F.lit(None).cast("bigint").alias("first_id"), F.lit(0).cast("bigint").alias("__gap"))
-    known = gaps.select(
-        *BOOK, "recv_ms", F.lit(0).alias("__kind"), "final_id", "first_id",
-        F.col("is_gap").cast("bigint").alias("__gap"))
-    timed = scan.running(known.unionByName(asked), BOOK, order, width * MS_PER_DIFF, segment=("sum", "__gap"))
-    usable = (F.col("__kind") == 0) & (F.col("__gap") == 0)
-    ready = timed.withColumns({
-        "__back": -F.col("final_id"),
-        "__hit": F.when(usable, F.struct("first_id", "final_id", "recv_ms"))})
-    found = scan.running(ready, [*BOOK, "segment"], ["__back", "__kind"], width, hit=("last", "__hit"))
-    good = (F.col("hit.recv_ms") <= F.col("recv_ms")) & (F.col("hit.first_id") <= F.col("final_id"))
-    ok = F.coalesce(good, F.lit(False))
-    return found.filter(F.col("__kind") == 1).select(
-        *BOOK, F.col("final_id").alias("snapshot_id"), "recv_ms", "segment",
-        F.when(ok, F.col("hit.final_id")).alias("sync_id"),
-        F.when(ok, "SYNCED").otherwise("RESYNC").alias("status"))
-
-
-def sync_segments(diffs: DataFrame, sync: DataFrame, width: int = scan.WIDTH) -> DataFrame:
+    diffs = segments.filter(~F.col("is_gap")).select(
+        *BOOK, "segment", "first_id", F.col("final_id").alias("sync_id"), (F.col("final_id") + 1).alias("__stop_id"),
+        "prev_id", "prev_ms", F.col("recv_ms").alias("sync_ms"))
+    asked = snapshots.select(*BOOK, "snapshot_id", "recv_ms")
+    met = (interval_join(asked, diffs, BOOK, "snapshot_id", "first_id", "__stop_id", width)
+           .filter(F.col("sync_ms") <= F.col("recv_ms")))
+    starts = segments.groupBy(*BOOK, "segment").agg(F.min("recv_ms").alias("__next_ms"))
+    after = starts.select(*BOOK, (F.col("segment") - 1).alias("segment"), "__next_ms")
+    # Runs are numbered without holes, so the next run is the one with the next number.
+    current = (met.join(after, [*BOOK, "segment"], "left")
+               .filter(F.col("__next_ms").isNull() | (F.col("recv_ms") < F.col("__next_ms"))))
+    found = current.groupBy(*BOOK, "snapshot_id", "recv_ms").agg(
+        F.min(F.struct("sync_id", "segment", "prev_id", "prev_ms", "sync_ms")).alias("__hit"))
+    return (asked.join(found, [*BOOK, "snapshot_id", "recv_ms"], "left")
+            .select(*asked.columns, *[F.col(f"__hit.{c}").alias(c) for c in ("segment", "sync_id", "sync_ms")],
+                    F.col("__hit.prev_id").alias("before_id"), F.col("__hit.prev_ms").alias("before_ms"),
+                    F.when(F.col("__hit").isNull(), "RESYNC").otherwise("SYNCED").alias("status")))
+
+
+def sync_segments(segments: DataFrame, sync: DataFrame) -> DataFrame:
     """State of each book over its diffs, as ranges of ids and arrival times.
 
-    Per run: the diff that broke the sequence is PENDING (it is lost), then SNAPSHOT_REQUESTED up to the
-    first good snapshot of the run, then SYNCED to the end of the run.
+    Per run of ``with_segments``: the diff that broke the sequence is PENDING (it is lost), then
+    SNAPSHOT_REQUESTED up to the first good snapshot of the run, then SYNCED to the end of the run. One
+    aggregate brings the diffs down to runs; the rest works on runs.
     """
-    numbered = with_segments(diffs, width).select(*BOOK, "segment", "final_id", "recv_ms", "is_gap")
-    first_good = (sync.filter(F.col("status") == "SYNCED").groupBy(*BOOK, "segment")
-                  .agg(F.min_by("sync_id", "recv_ms").alias("final_id")))
-    rows = numbered.withColumns({"__kind": F.lit(1), "__mark": F.lit(0)}).unionByName(
-        first_good.withColumns({"__kind": F.lit(0), "__mark": F.lit(1), "recv_ms": F.lit(None).cast("bigint"),
-                                "is_gap": F.lit(False)}))
-    marked = scan.running(rows, [*BOOK, "segment"], ["final_id", "__kind"], width, synced=("max", "__mark"))
-    state = (F.when(F.col("synced") == 1, "SYNCED").when(F.col("is_gap"), "PENDING")
-             .otherwise("SNAPSHOT_REQUESTED"))
-    return (marked.filter(F.col("__kind") == 1).withColumn("state", state)
-            .groupBy(*BOOK, "segment", "state")
-            .agg(F.min("final_id").alias("from_id"), F.max("final_id").alias("to_id"),
-                 F.min("recv_ms").alias("from_ms"), F.max("recv_ms").alias("to_ms"),
-                 F.count("*").alias("diffs")))
+    gap, final, ms = F.col("is_gap"), F.col("final_id"), F.col("recv_ms")
+    runs = segments.groupBy(*BOOK, "segment").agg(
+        F.max(F.when(gap, final)).alias("gap_id"), F.max(F.when(gap, ms)).alias("gap_ms"),
+        F.min(F.when(~gap, final)).alias("start_id"), F.min(F.when(~gap, ms)).alias("start_ms"),
+        F.max(F.when(~gap, final)).alias("end_id"), F.max(F.when(~gap, ms)).alias("end_ms"))
+    good = (sync.filter(F.col("status") == "SYNCED").groupBy(*BOOK, "segment")
+            .agg(F.min(F.struct("recv_ms", "sync_id", "sync_ms", "before_id", "before_ms")).alias("__good")))
+    df = runs.join(good, [*BOOK, "segment"], "left")
+    at, live = F.col("__good"), F.col("__good").isNotNull()
+
+    def part(state: str, condition: Column, from_id, to_id, from_ms, to_ms) -> Column:
+        return F.when(condition, F.struct(
+            F.lit(state).alias("state"), from_id.alias("from_id"), to_id.alias("to_id"), from_ms.alias("from_ms"),
+            to_ms.alias("to_ms")))
+
+    waits = F.col("start_id").isNotNull() & (~live | (at["sync_id"] > F.col("start_id")))
+    parts = F.array(
+        part("PENDING", F.col("gap_id").isNotNull(), F.col("gap_id"), F.col("gap_id"), F.col("gap_ms"),
+             F.col("gap_ms")),
+        part("SNAPSHOT_REQUESTED", waits, F.col("start_id"), F.when(live, at["before_id"]).otherwise(F.col("end_id")),
+             F.col("start_ms"), F.when(live, at["before_ms"]).otherwise(F.col("end_ms"))),
+        part("SYNCED", live, at["sync_id"], F.col("end_id"), at["sync_ms"], F.col("end_ms")))
+    return (df.select(*BOOK, "segment", F.explode(F.array_compact(parts)).alias("__part"))
+            .select(*BOOK, "segment", "__part.*"))
 
 
 def state_at(segments: DataFrame, as_of_ms: int) -> DataFrame:

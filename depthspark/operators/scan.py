@@ -2,10 +2,15 @@
 
 A plain window over ``(symbol, market)`` sorts every row of that key in one task, so one hot symbol
 decides the run time. Here the order column is cut into blocks of ``width`` and the window runs over
-``(keys, block)``. What one block hands to the next (its last row, its sum, its maximum) is computed
-once per block with a partial aggregate, scanned over the few block rows, and joined back on
-``(keys, block)``. The big side is already partitioned that way, so it is shuffled once. The result is
-the same as that of the plain window.
+``(keys, block)``. What one block hands to the next (its last row, its sum, its maximum) is one row per
+block; those rows are scanned over the keys and joined back on ``(keys, block)``. The result is the
+same as that of the plain window.
+
+The input is shuffled once and computed once. Both the windows and the block rows read the same
+shuffle, and Spark reuses a shuffle only if both readers ask for the same columns and filters. So the
+block rows look at every column (a hash), and the join is an inner one, which puts the same not-null
+filter on both sides. Without that each scan would compute its input twice, and a chain of scans
+twice as often at every step. Rows with a null key are left out.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from pyspark.sql import functions as F
 WIDTH = 65_536
 
 _BLOCK = "__block"
+_SEEN = "__seen"
 
 
 def block_of(column: str, width: int) -> Column:
@@ -23,8 +29,20 @@ def block_of(column: str, width: int) -> Column:
     return F.expr(f"(`{column}` - pmod(`{column}`, {width})) div {width}")
 
 
-def _cut(df: DataFrame, order: list[str], width: int) -> DataFrame:
-    return df.withColumn(_BLOCK, block_of(order[0], width))
+def cut_blocks(df: DataFrame, keys: list[str], order: str, width: int) -> DataFrame:
+    """Adds the block of each row and brings the rows of a block together."""
+    block = F.coalesce(block_of(order, width), F.lit(0).cast("bigint"))
+    return df.withColumn(_BLOCK, block).repartition(*keys, _BLOCK)
+
+
+def per_block(cut: DataFrame, keys: list[str], *ends: Column) -> DataFrame:
+    """One row per block with ``ends``, from the shuffle that ``cut_blocks`` made."""
+    return cut.groupBy(*keys, _BLOCK).agg(*ends, F.max(F.xxhash64(*cut.columns)).alias(_SEEN))
+
+
+def handed_on(value: Column) -> Column:
+    """Ties a carried value to the hash, so that the hash is not optimised away. It is never null."""
+    return F.when(F.col(_SEEN).isNotNull(), value)
 
 
 def _rank(order: list[str]) -> Column:
@@ -38,20 +56,18 @@ def previous(df: DataFrame, keys: list[str], order: list[str], values: list[str]
 
     ``order[0]`` must be a whole number; together with ``keys`` the order should be unique.
     """
-    cut = _cut(df, order, width)
+    cut = cut_blocks(df, keys, order[0], width)
     inside = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
-    ends = cut.groupBy(*keys, _BLOCK).agg(
-        F.max_by(F.struct(*values), _rank(order)).alias("__end"))
-    carried = ends.select(
-        *keys, _BLOCK, F.lag("__end").over(Window.partitionBy(*keys).orderBy(_BLOCK)).alias("__carried"))
+    between = Window.partitionBy(*keys).orderBy(_BLOCK)
+    carried = (per_block(cut, keys, F.max_by(F.struct(*values), _rank(order)).alias("__end"))
+               .select(*keys, _BLOCK, F.lag(handed_on(F.col("__end"))).over(between).alias("__carried")))
     local = cut.withColumn("__before", F.lag(F.struct(*values)).over(inside))
-    joined = local.join(carried, [*keys, _BLOCK], "left")
     before = F.coalesce("__before", "__carried")
-    return joined.select(
+    return local.join(carried, [*keys, _BLOCK]).select(
         *[F.col(c) for c in df.columns], *[before.getField(v).alias(prefix + v) for v in values])
 
 
-_LOCAL = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
+_PLAIN = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], width: int = WIDTH,
@@ -62,7 +78,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], width: int = WIDTH
     ``last`` (last value that is not null). With ``inclusive=False`` the current row is left out and
     the first row gets null (0 for ``count``).
     """
-    cut = _cut(df, order, width)
+    cut = cut_blocks(df, keys, order[0], width)
     stop = 0 if inclusive else -1
     inside = Window.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, stop)
     before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
@@ -70,28 +86,29 @@ def running(df: DataFrame, keys: list[str], order: list[str], width: int = WIDTH
     ends, carried, local, merged = [], [], {}, []
     for name, (kind, column) in outputs.items():
         value, part, carry = F.col(column), f"__end_{name}", f"__carried_{name}"
+        passed = handed_on(F.col(part))
         if kind == "last":
             ends.append(F.max_by(value, F.when(value.isNotNull(), _rank(order))).alias(part))
-            carried.append(F.last(part, ignorenulls=True).over(before).alias(carry))
+            carried.append(F.last(passed, ignorenulls=True).over(before).alias(carry))
             local[name] = F.last(value, ignorenulls=True).over(inside)
             merged.append(F.coalesce(name, carry).alias(name))
             continue
-        ends.append(_LOCAL[kind](value).alias(part))
-        local[name] = _LOCAL[kind](value).over(inside)
+        ends.append(_PLAIN[kind](value).alias(part))
+        local[name] = _PLAIN[kind](value).over(inside)
         if kind in ("max", "min"):
-            carried.append(_LOCAL[kind](part).over(before).alias(carry))
+            carried.append(_PLAIN[kind](passed).over(before).alias(carry))
             pick = F.greatest if kind == "max" else F.least
             merged.append(pick(name, carry).alias(name))
         else:
-            carried.append(F.sum(part).over(before).alias(carry))
+            carried.append(F.sum(passed).over(before).alias(carry))
             total = F.coalesce(name, F.lit(0)) + F.coalesce(carry, F.lit(0))
             if kind == "sum":
                 total = F.when(F.col(name).isNotNull() | F.col(carry).isNotNull(), total)
             merged.append(total.alias(name))
 
-    per_block = cut.groupBy(*keys, _BLOCK).agg(*ends).select(*keys, _BLOCK, *carried)
-    joined = cut.withColumns(local).join(per_block, [*keys, _BLOCK], "left")
-    return joined.select(*[F.col(c) for c in df.columns], *merged)
+    blocks = per_block(cut, keys, *ends).select(*keys, _BLOCK, *carried)
+    return (cut.withColumns(local).join(blocks, [*keys, _BLOCK])
+            .select(*[F.col(c) for c in df.columns], *merged))
 
 
 def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str, width: int = WIDTH) -> DataFrame:

@@ -2,6 +2,7 @@
 
 The SQL text is the definition and is what DuckDB runs. On Spark two views are built with the blocked
 scans instead of one window per book, because those two would otherwise put a whole book in one task.
+They stand for stored tables, so they are written once per session and data folder and read from there.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depthspark.operators import scan
+from depthspark.session import materialize
 
 BASE_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
                "benchmark labels conversations").split()
@@ -310,7 +312,7 @@ class Tables:
             raise AttributeError(name)
         if name not in self._made:
             if name in self._special:
-                self._made[name] = self._special[name]()
+                self._made[name] = materialize(self._special[name], f"{self.sf_dir}/{name}", self.spark)
             elif name in VIEWS:
                 self._made[name] = self.sql(VIEWS[name])
             else:

@@ -32,7 +32,7 @@ GROUP BY 1, 2, 3, 4, 5
 """
 _STATES = f"""
 SELECT r.symbol, r.market, r.segment, CASE WHEN r.final_id >= f.sync_id THEN 'SYNCED' WHEN r.is_gap THEN 'PENDING' ELSE 'SNAPSHOT_REQUESTED' END AS state,
-  min(r.final_id) AS from_id, max(r.final_id) AS to_id, min(r.recv_ms) AS from_ms, max(r.recv_ms) AS to_ms, count(*) AS diffs
+  min(r.final_id) AS from_id, max(r.final_id) AS to_id, min(r.recv_ms) AS from_ms, max(r.recv_ms) AS to_ms
 FROM ({_RUNS}) r LEFT JOIN (SELECT symbol, market, segment, arg_min(sync_id, recv_ms) AS sync_id FROM ({_SYNC}) y
     WHERE sync_id IS NOT NULL GROUP BY 1, 2, 3) f ON r.symbol = f.symbol AND r.market = f.market AND r.segment = f.segment
 GROUP BY 1, 2, 3, 4
@@ -50,12 +50,16 @@ def sequence_gaps(t: Tables) -> DataFrame:
                        F.coalesce("prev_id", F.lit(-1)).alias("prev_id"), "is_gap")
 
 
+def _runs(t: Tables) -> DataFrame:
+    return book.with_segments(t.depth_diffs, WIDTH)
+
+
 def _sync(t: Tables) -> DataFrame:
-    return book.sync_points(t.depth_snapshots, t.depth_diffs, WIDTH)
+    return book.sync_points(t.depth_snapshots, _runs(t), WIDTH)
 
 
 def _states(t: Tables) -> DataFrame:
-    return book.sync_segments(t.depth_diffs, _sync(t), WIDTH)
+    return book.sync_segments(_runs(t), _sync(t))
 
 
 @query(f"""
@@ -86,7 +90,7 @@ FROM (SELECT market, symbol, arg_max(state, from_ms) AS state, max(from_ms) AS w
 """)
 def snapshot_backlog(t: Tables) -> DataFrame:
     none = _sync(t).limit(0)
-    return book.snapshot_backlog(book.sync_segments(t.depth_diffs, none, WIDTH), AS_OF_MS, limit=3)
+    return book.snapshot_backlog(book.sync_segments(_runs(t), none), AS_OF_MS, limit=3)
 
 
 _LIVE = """

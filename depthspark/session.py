@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings, safe to set on a session somebody else made. Partition counts and memory stay
 # with whoever runs the cluster; AQE sizes shuffles from what it measures.
@@ -39,3 +43,33 @@ def new_session(master: str = "local[*]", app: str = "depthspark", shuffle_parti
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names for intermediate tables; a temporary one only in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def materialize(make: Callable[[], DataFrame], name: str, spark: SparkSession) -> DataFrame:
+    """Writes a table once per application and name, and reads it from there afterwards.
+
+    Cuts the lineage in a way that survives lost executors, and gives readers column pruning and
+    filters. Without a shared folder the table is computed in place each time.
+    """
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _WRITTEN:
+        folder = shared_folder(spark)
+        if folder is None:
+            return make()
+        path = f"{folder}/table-{uuid.uuid4().hex}"
+        df = make()
+        df.write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])

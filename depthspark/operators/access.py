@@ -38,13 +38,13 @@ def fold_grants(grants: DataFrame, block_days: int = 1) -> DataFrame:
 
     blocks = Window.partitionBy("user_id").orderBy("__block")
     upto = blocks.rowsBetween(Window.unboundedPreceding, 0)
-    carried = (local.groupBy("user_id", "__block").agg(F.sum("__len").alias("__sum"), F.max("__m").alias("__top"))
-               .withColumn("__cs", F.sum("__sum").over(upto))
+    carried = (scan.per_block(local, ["user_id"], F.sum("__len").alias("__sum"), F.max("__m").alias("__top"))
+               .withColumn("__cs", F.sum(scan.handed_on(F.col("__sum"))).over(upto))
                .withColumn("__end", F.col("__cs") + F.max(
                    F.col("__sum") + F.col("__top") - F.col("__cs")).over(upto))
                .select("user_id", "__block", F.lag("__end").over(blocks).alias("__in")))
 
-    joined = local.join(carried, ["user_id", "__block"], "left")
+    joined = local.join(carried, ["user_id", "__block"])
     after = F.greatest(F.col("__s") + F.col("__m"), F.col("__in") + F.col("__s"))
     before = F.when(F.col("__before").isNull(), F.col("__in")).otherwise(
         F.greatest(F.col("__before.__s") + F.col("__before.__m"), F.col("__in") + F.col("__before.__s")))

@@ -185,11 +185,11 @@ SELECT * FROM (VALUES ('BTCUSDT', true, true), ('SYM2', true, true), ('SYM3', tr
 # Short feed sessions, several open at any moment of the depth data.
 VIEWS["feed_sessions"] = """
 SELECT event_id AS session_id, user_id % 40 AS user_id, 1704067200000 + event_id * 18 AS opened_ms,
-  1704067200000 + event_id * 18 + 40 + (event_id * 37) % 700 AS closed_ms FROM events
+  1704067200000 + event_id * 18 + 20 + (event_id * 37) % 150 AS closed_ms FROM events
 """
 
 VIEWS["resnapshot_requests"] = """
-SELECT event_id AS session_id, 1704067200000 + event_id * 18 + 300 AS asked_ms FROM events WHERE event_type = 'error'
+SELECT event_id AS session_id, 1704067200000 + event_id * 18 + 60 AS asked_ms FROM events WHERE event_type = 'error'
 """
 
 VIEWS["rule_changes"] = """

@@ -102,9 +102,9 @@ def top_levels(t: Tables) -> DataFrame:
 
 def _visible_sql(top: str, keys: str) -> str:
     return f"""
-SELECT {keys}, bt IS NOT NULL AND at IS NOT NULL AND bt >= 1 AS bid_visible, bt IS NOT NULL AND at IS NOT NULL AND at >= 1 AS ask_visible,
-  coalesce(bt IS NOT NULL AND at IS NOT NULL AND greatest(bt, at) >= 1, false) AS visible FROM (
-  SELECT {keys}, max(CASE WHEN slot = 1 AND side = 'BID' THEN tier END) AS bt, max(CASE WHEN slot = 1 AND side = 'ASK' THEN tier END) AS at
+SELECT {keys}, b_tier IS NOT NULL AND a_tier IS NOT NULL AND b_tier >= 1 AS bid_visible, b_tier IS NOT NULL AND a_tier IS NOT NULL AND a_tier >= 1 AS ask_visible,
+  coalesce(b_tier IS NOT NULL AND a_tier IS NOT NULL AND greatest(b_tier, a_tier) >= 1, false) AS visible FROM (
+  SELECT {keys}, max(CASE WHEN slot = 1 AND side = 'BID' THEN tier END) AS b_tier, max(CASE WHEN slot = 1 AND side = 'ASK' THEN tier END) AS a_tier
   FROM ({top}) t3 GROUP BY {keys}) t4
 """
 

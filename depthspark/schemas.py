@@ -1,10 +1,8 @@
-"""Schemas of the stored tables and of raw messages."""
+"""Schemas of the stored tables and of raw messages, as DDL text that every reader takes."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-_DDL = {
+TABLES: dict[str, str] = {
     "users": "id string, email string, role string, enabled boolean, email_verified boolean, "
              "created_at timestamp, last_seen_at timestamp",
     "classification_rules": "user_id string, symbol string, market string, tier_no int, min_notional double, "
@@ -23,6 +21,4 @@ _DDL = {
     "connection_events": "id bigint, user_id string, connected_at timestamp, day date",
 }
 
-TABLES: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
-
-RAW_DEPTH = StructType.fromDDL("kind string, symbol string, market string, raw string, recv_ms bigint")
+RAW_DEPTH = "kind string, symbol string, market string, raw string, recv_ms bigint"

@@ -117,6 +117,38 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str, wid
             .drop("__one"))
 
 
+def numbered_since(df: DataFrame, keys: list[str], order: list[str], mark: str, last: str, number: str,
+                   width: int = WIDTH) -> DataFrame:
+    """Adds ``last``, the latest value of ``mark`` that is not null, and ``number``, the 1-based position
+    since that row (which is 1). Before the first mark ``last`` is null and rows are numbered from 1.
+
+    A block hands on how many rows it has and how many of them come since its last mark. With T the
+    running total over blocks, the rows since the last mark are T minus the greatest ``T - since``
+    among the blocks that have a mark.
+    """
+    cut = cut_blocks(df, keys, order[0], width)
+    inside = Window.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = F.col(mark).isNotNull()
+    local = (cut.withColumns({"__n": F.count(F.lit(1)).over(inside),
+                              "__last": F.last(mark, ignorenulls=True).over(inside)})
+             .withColumn("__at", F.max(F.when(marked, F.col("__n"))).over(inside)))
+    upto = Window.partitionBy(*keys).orderBy(_BLOCK)
+    before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    ends = (per_block(local, keys, F.count(F.lit(1)).alias("__rows"), F.max("__at").alias("__at_end"),
+                      F.max_by("__last", "__n").alias("__last_end"))
+            .withColumn("__total", F.sum(handed_on(F.col("__rows"))).over(
+                upto.rowsBetween(Window.unboundedPreceding, 0))))
+    started = F.col("__total") - F.col("__rows") + F.col("__at_end") - 1
+    carried = ends.select(
+        *keys, _BLOCK, (F.col("__total") - F.col("__rows") - F.coalesce(F.max(started).over(before), F.lit(0))).alias("__since"),
+        F.last("__last_end", ignorenulls=True).over(before).alias("__last_in"))
+    joined = local.join(carried, [*keys, _BLOCK])
+    position = F.when(F.col("__at").isNotNull(), F.col("__n") - F.col("__at") + 1).otherwise(
+        F.col("__since") + F.col("__n"))
+    return joined.select(*[F.col(c) for c in df.columns], F.coalesce("__last", "__last_in").alias(last),
+                         position.alias(number))
+
+
 def best_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str) -> DataFrame:
     """The first ``k`` rows per key with their rank.
 

@@ -2,7 +2,8 @@
 
 The SQL text is the definition and is what DuckDB runs. On Spark two views are built with the blocked
 scans instead of one window per book, because those two would otherwise put a whole book in one task.
-They stand for stored tables, so they are written once per session and data folder and read from there.
+They and the raw messages stand for stored tables, so they are written once per session and data folder
+and read from there.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ BASE_TABLES = ("region nation customer supplier part orders lineitem events docu
                "benchmark labels conversations").split()
 
 VIEWS: dict[str, str] = {}
+STORED = ("depth_raw", "snapshot_raw")
 
 VIEWS["depth_levels"] = """
 SELECT symbol, market, CASE WHEN k < 120 THEN 'BID' ELSE 'ASK' END AS side, CAST(880 + k AS DOUBLE) AS price,
@@ -313,6 +315,8 @@ class Tables:
         if name not in self._made:
             if name in self._special:
                 self._made[name] = materialize(self._special[name], f"{self.sf_dir}/{name}", self.spark)
+            elif name in STORED:
+                self._made[name] = materialize(lambda: self.sql(VIEWS[name]), f"{self.sf_dir}/{name}", self.spark)
             elif name in VIEWS:
                 self._made[name] = self.sql(VIEWS[name])
             else:

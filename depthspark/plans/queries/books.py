@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from depthspark.operators import book
 from depthspark.plans.fixtures import Tables
 from depthspark.plans.queries import WIDTH, query
+from depthspark.session import materialize
 
 START_MS = 1704067200000
 AS_OF_MS = START_MS + 10_000_000
@@ -51,7 +52,8 @@ def sequence_gaps(t: Tables) -> DataFrame:
 
 
 def _runs(t: Tables) -> DataFrame:
-    return book.with_segments(t.depth_diffs, WIDTH)
+    # Read two or three times below, so it is written once, as the operators expect of a long log.
+    return materialize(lambda: book.with_segments(t.depth_diffs, WIDTH), f"{t.sf_dir}/runs", t.spark)
 
 
 def _sync(t: Tables) -> DataFrame:

@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _PAIRS = "array<array<string>>"
+_SYMBOL = '"s":"'
 
 
 def read_depth(raw: DataFrame) -> DataFrame:
     """Depth messages with their symbol; short frames, acks and messages without a symbol are dropped."""
-    pattern = r'"s":"([^"]*)"'
-    return (raw.filter((F.length("raw") > 4) & (F.substring("raw", 3, 1) != "r") & F.col("raw").rlike(pattern))
-            .withColumn("symbol", F.regexp_extract("raw", pattern, 1)))
+    start = F.instr("raw", _SYMBOL)
+    rest = F.substring(F.col("raw"), start + len(_SYMBOL), F.length("raw"))
+    return (raw.filter((F.length("raw") > 4) & (F.substring("raw", 3, 1) != "r") & (start > 0) & rest.contains('"'))
+            .withColumn("symbol", F.substring_index(rest, '"', 1)))
 
 
 def _levels(pairs: Column) -> Column:

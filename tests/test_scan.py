@@ -45,6 +45,15 @@ def test_row_numbers(data):
     assert rows(scan.row_numbers(data, ["k"], ["o"], "n", 50)) == rows(plain)
 
 
+@pytest.mark.parametrize("width", [1, 9, 150, 100_000])
+def test_numbered_since(data, width):
+    marked = data.withColumn("m", F.when(F.col("v") == 3, F.col("o")))
+    w = Window.partitionBy("k").orderBy("o")
+    plain = marked.withColumn("last", F.last("m", ignorenulls=True).over(w))
+    plain = plain.withColumn("n", F.row_number().over(Window.partitionBy("k", "last").orderBy("o")))
+    assert rows(scan.numbered_since(marked, ["k"], ["o"], "m", "last", "n", width)) == rows(plain)
+
+
 def test_a_scan_reads_and_shuffles_its_input_once(spark, folder):
     spark.range(5000).selectExpr("id % 3 AS k", "id AS o", "id * 2 AS v").write.parquet(f"{folder}/t")
     df = spark.read.parquet(f"{folder}/t")

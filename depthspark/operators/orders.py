@@ -268,6 +268,13 @@ def _one(name: str, df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("constraint"), "violations")
 
 
+def _bad_rows(df: DataFrame, **checks: Column) -> DataFrame:
+    """All row checks of a table in one pass over it."""
+    counted = df.agg(*[F.count_if(condition).alias(name) for name, condition in checks.items()])
+    pairs = [F.struct(F.lit(name).alias("constraint"), F.col(name).alias("violations")) for name in checks]
+    return counted.select(F.explode(F.array(*pairs)).alias("__p")).select("__p.*")
+
+
 def _repeats(name: str, df: DataFrame, keys: list[str]) -> DataFrame:
     return _one(name, df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > 1))
 
@@ -291,18 +298,16 @@ def constraint_audit(users: DataFrame, rules: DataFrame, plans: DataFrame, price
     days = F.col("duration_days").isNotNull()
     checks = [
         _repeats("users_unique", users, ["user_id"]),
-        _one("users_role", users.filter(~F.col("role").isin("USER", "ADMIN"))),
+        _bad_rows(users, users_role=~F.col("role").isin("USER", "ADMIN")),
         _repeats("rules_unique_tier", rules, ["user_id", "symbol", "market", "tier_no"]),
         _orphans("rules_user", rules, "user_id", users, "user_id"),
         _repeats("plans_unique_code", plans, ["code"]),
-        _one("plans_type", plans.filter(~F.col("type").isin("FIXED", "PER_DAY"))),
-        _one("plans_duration", plans.filter(fixed != days)),
+        _bad_rows(plans, plans_type=~F.col("type").isin("FIXED", "PER_DAY"), plans_duration=fixed != days),
         _repeats("prices_unique", prices, ["code", "currency"]),
-        _one("prices_amount", prices.filter(F.col("amount") < 0)),
+        _bad_rows(prices, prices_amount=F.col("amount") < 0),
         _orphans("prices_plan", prices, "code", plans, "code"),
         _repeats("orders_unique", orders, ["order_id"]),
-        _one("orders_status", orders.filter(~F.col("status").isin(*pay.STATUSES))),
-        _one("orders_amount", orders.filter(F.col("amount") < 0)),
+        _bad_rows(orders, orders_status=~F.col("status").isin(*pay.STATUSES), orders_amount=F.col("amount") < 0),
         _repeats("orders_one_open", orders.filter(pay.is_open(F.col("status"))), ["user_id"]),
         _repeats("orders_provider_uuid", orders.filter(F.col("provider_uuid").isNotNull()), ["provider_uuid"]),
         _orphans("orders_user", orders, "user_id", users, "user_id"),

@@ -91,7 +91,7 @@ FROM (SELECT market, symbol, arg_max(state, from_ms) AS state, max(from_ms) AS w
     FROM ({_RUNS}) r GROUP BY 1, 2, 3, 4) z GROUP BY 1, 2) x WHERE state = 'SNAPSHOT_REQUESTED'
 """)
 def snapshot_backlog(t: Tables) -> DataFrame:
-    none = _sync(t).limit(0)
+    none = _sync(t).filter(F.lit(False))
     return book.snapshot_backlog(book.sync_segments(_runs(t), none), AS_OF_MS, limit=3)
 
 

@@ -30,7 +30,7 @@ STREAMING = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    for name, value in RUNTIME.items():
+    for name, value in {**RUNTIME, **STREAMING}.items():
         spark.conf.set(name, value)
     return spark
 

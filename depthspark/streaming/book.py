@@ -2,7 +2,9 @@
 
 Spark partitions the stream by ``(symbol, market)`` and keeps each book in RocksDB: one map entry per price
 level, one list entry per buffered diff, one small value row for the rest. A batch reads a book once,
-applies its messages in order of arrival and writes back only the levels that changed.
+applies its messages in order of arrival and writes back only the levels that changed. A book is one
+sequence, so its part of a batch is handled by one task: bound batches at the source
+(``maxOffsetsPerTrigger``, ``maxFilesPerTrigger``), and let symbols spread over the cluster.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ import time
 
 from depthspark import new_session
 from depthspark.plans.fixtures import Tables
-from depthspark.plans.queries import WIDTH, all_queries
+from depthspark.plans.queries import all_queries, block_width
 
 HEADLINES = """
 parse_diffs explode_levels build_tickers message_rate
@@ -43,7 +43,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     run(spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_suppkey").count())
     started = time.time()
-    tables = Tables(spark, sf_dir, WIDTH)
+    tables = Tables(spark, sf_dir, block_width(spark))
     tables.depth_levels, tables.feed_events, tables.depth_raw
     times = {"prepare": round(time.time() - started, 3)}
     queries = all_queries()

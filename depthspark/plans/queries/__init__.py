@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from depthspark.operators import scan
 from depthspark.plans.fixtures import Tables, duckdb_sql
 from depthspark.session import tune
 
-# Length of a scan block in these queries. The library's default is made for long tables; this one is
-# short, so that the small test tables are cut into many blocks too and the hand-over is checked.
-WIDTH = 1024
+# Length of a scan block in local runs: short, so that the small test tables are cut into many blocks
+# too and the hand-over between blocks is checked. A cluster uses the library's length.
+LOCAL_WIDTH = 1024
+
+
+def block_width(spark: SparkSession) -> int:
+    """``spark.depthspark.width`` if set, else by where Spark runs."""
+    chosen = spark.conf.get("spark.depthspark.width", None)
+    if chosen is not None:
+        return int(chosen)
+    return LOCAL_WIDTH if spark.sparkContext.master.startswith("local") else scan.WIDTH
+
 
 _BUILD: dict[str, Callable[[Tables], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -29,7 +39,7 @@ def query(sql: str | None = None):
 
 def _runner(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return build(Tables(tune(spark), sf_dir, WIDTH))
+        return build(Tables(tune(spark), sf_dir, block_width(spark)))
     return run
 
 

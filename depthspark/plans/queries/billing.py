@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from depthspark.functions import currency as cur
 from depthspark.operators import access, money, orders
 from depthspark.plans.fixtures import Tables
-from depthspark.plans.queries import WIDTH, query
+from depthspark.plans.queries import query
 from depthspark.plans.queries.access import AS_OF, AS_OF_S as MIDNIGHT_S
 
 AS_OF_S = MIDNIGHT_S + 1800
@@ -145,7 +145,7 @@ SELECT order_id, seq, CASE WHEN from_status = to_status THEN 'REPEAT' WHEN from_
 FROM status_steps
 """)
 def transition_audit(t: Tables) -> DataFrame:
-    audited = orders.transition_audit(t.status_steps.withColumn("seq", F.col("seq").cast("bigint")), WIDTH)
+    audited = orders.transition_audit(t.status_steps.withColumn("seq", F.col("seq").cast("bigint")), t.width)
     return audited.select("order_id", "seq", "verdict", "chained")
 
 
@@ -244,7 +244,7 @@ def _decided(t: Tables) -> DataFrame:
 @query(f"""
 SELECT d.request_id, d.plan_code, CASE WHEN p.type = 'FIXED' THEN CAST(p.duration_days AS BIGINT) ELSE (d.amount_minor + q.amount_minor - 1) // q.amount_minor END AS days,
   86400 * CASE WHEN p.type = 'FIXED' THEN CAST(p.duration_days AS BIGINT) ELSE (d.amount_minor + q.amount_minor - 1) // q.amount_minor END AS granted_seconds,
-  CASE WHEN p.type = 'FIXED' THEN q.amount_minor ELSE d.amount_minor END AS amount_minor, {AS_OF_S} + 1800 AS expires_s
+  CASE WHEN p.type = 'FIXED' THEN q.amount_minor ELSE d.amount_minor END AS amount_minor, CAST({AS_OF_S} + 1800 AS BIGINT) AS expires_s
 FROM ({_DECIDED}) d JOIN plans p ON d.plan_code = p.code JOIN ({_PRICED}) q ON d.plan_code = q.code AND d.currency = q.currency
 WHERE d.turn AND d.failed IS NULL AND d.kind = 'CREATE' AND NOT (d.open_now AND NOT d.stale AND d.plan_code = d.current_plan)
 """)

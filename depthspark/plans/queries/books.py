@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from depthspark.operators import book
 from depthspark.plans.fixtures import Tables
-from depthspark.plans.queries import WIDTH, query
+from depthspark.plans.queries import query
 from depthspark.session import materialize
 
 START_MS = 1704067200000
@@ -46,18 +46,18 @@ WHERE from_ms <= {AS_OF_MS} GROUP BY 1, 2
 
 @query(f"SELECT symbol, market, first_id, final_id, coalesce(prev_id, -1) AS prev_id, is_gap FROM ({_GAPS}) g")
 def sequence_gaps(t: Tables) -> DataFrame:
-    gaps = book.sequence_gaps(t.depth_diffs, WIDTH)
+    gaps = book.sequence_gaps(t.depth_diffs, t.width)
     return gaps.select("symbol", "market", "first_id", "final_id",
                        F.coalesce("prev_id", F.lit(-1)).alias("prev_id"), "is_gap")
 
 
 def _runs(t: Tables) -> DataFrame:
     # Read two or three times below, so it is written once, as the operators expect of a long log.
-    return materialize(lambda: book.with_segments(t.depth_diffs, WIDTH), f"{t.sf_dir}/runs", t.spark)
+    return materialize(lambda: book.with_segments(t.depth_diffs, t.width), f"{t.sf_dir}/runs", t.spark)
 
 
 def _sync(t: Tables) -> DataFrame:
-    return book.sync_points(t.depth_snapshots, _runs(t), WIDTH)
+    return book.sync_points(t.depth_snapshots, _runs(t), t.width)
 
 
 def _states(t: Tables) -> DataFrame:
@@ -147,7 +147,7 @@ FROM (SELECT *, qty > 0 AND coalesce(lag(qty) OVER (PARTITION BY symbol, market,
 QUALIFY qty > 0
 """)
 def first_seen(t: Tables) -> DataFrame:
-    seen = book.first_seen(t.depth_levels, WIDTH)
+    seen = book.first_seen(t.depth_levels, t.width)
     return seen.filter(F.col("qty") > 0).select("symbol", "market", "side", "price", "qty", "update_id",
                                                 "first_seen_ms")
 
@@ -176,7 +176,7 @@ SELECT v.symbol, v.market, v.side, v.price, v.qty, v.update_id, g.tick_ms FROM (
 JOIN ({grid_sql(10_000)}) g ON v.from_ms <= g.tick_ms AND (v.to_ms IS NULL OR g.tick_ms < v.to_ms)
 """)
 def book_at(t: Tables) -> DataFrame:
-    return book.book_at(t.depth_levels, START_MS, last_ms(t), 10_000, WIDTH)
+    return book.book_at(t.depth_levels, START_MS, last_ms(t), 10_000, t.width)
 
 
 _MIDS = """
@@ -195,7 +195,7 @@ SELECT symbol, market, update_id, coalesce(best_bid, -1) AS best_bid, coalesce(b
   coalesce((best_bid + best_ask) / 2.0e0, -1) AS mid FROM ({_MIDS}) m
 """)
 def mids(t: Tables) -> DataFrame:
-    rows = book.mids(t.depth_levels, WIDTH)
+    rows = book.mids(t.depth_levels, t.width)
     return rows.select("symbol", "market", "update_id",
                        *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("best_bid", "best_ask", "mid")])
 
@@ -212,12 +212,12 @@ WHERE s.high IS NULL OR (l.price >= s.high * (1.0e0 - 0.1e0) AND l.price <= s.lo
 @query(_SWEPT)
 def sweep_book(t: Tables) -> DataFrame:
     changes = t.depth_levels
-    return book.sweep_book(book.reconstruct_book(changes), book.mids(changes, WIDTH), width=WIDTH)
+    return book.sweep_book(book.reconstruct_book(changes), book.mids(changes, t.width), width=t.width)
 
 
 @query(banded_sql(_SWEPT))
 def book_of_record(t: Tables) -> DataFrame:
-    return book.book_of_record(t.depth_levels, width=WIDTH)
+    return book.book_of_record(t.depth_levels, width=t.width)
 
 
 @query(f"""
@@ -232,7 +232,7 @@ FROM ({BANDED_SQL}) b JOIN (
 JOIN ({_NOW}) n ON b.symbol = n.symbol AND b.market = n.market
 """)
 def book_view(t: Tables) -> DataFrame:
-    levels = book.with_distance(book.reconstruct_book(book.first_seen(t.depth_levels, WIDTH)))
+    levels = book.with_distance(book.reconstruct_book(book.first_seen(t.depth_levels, t.width)))
     view = book.book_view(levels, AS_OF_MS, _states(t))
     return view.select("symbol", "market", "side", "price", "qty", "distance", "lifetime_ms", "bid_count",
                        "ask_count", "state")

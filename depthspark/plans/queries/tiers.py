@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from depthspark.operators import book, classify, rules
 from depthspark.plans import market
 from depthspark.plans.fixtures import Tables
-from depthspark.plans.queries import WIDTH, query
+from depthspark.plans.queries import query
 from depthspark.plans.queries.books import BANDED_SQL, START_MS, VERSIONS_SQL, grid_sql, last_ms
 
 STEP_MS = 2_000
@@ -166,7 +166,7 @@ _BOOKS = "SELECT DISTINCT symbol, market FROM depth_levels"
 @query(_activity_sql(_top_sql(_tiered_sql(_over_time_sql(STEP_MS)), "symbol, market, tick_ms"),
                      f"SELECT * FROM ({_BOOKS}) k CROSS JOIN ({grid_sql(STEP_MS)}) h", "symbol, market"))
 def activity_events(t: Tables) -> DataFrame:
-    return _texts(market.activity(t.depth_levels, START_MS, last_ms(t), STEP_MS, WIDTH))
+    return _texts(market.activity(t.depth_levels, START_MS, last_ms(t), STEP_MS, t.width))
 
 
 @query(_activity_sql(_top_sql(_USER_TIERED.format(levels=_over_time_sql(USER_STEP_MS)), "user_id, symbol, market, tick_ms"),
@@ -174,7 +174,7 @@ def activity_events(t: Tables) -> DataFrame:
                      f"({grid_sql(USER_STEP_MS)}) h", "user_id, symbol, market"))
 def personal_activity(t: Tables) -> DataFrame:
     return _texts(market.personal_activity(
-        t.depth_levels, rules.compile_rules(t.user_rules), START_MS, last_ms(t), USER_STEP_MS, WIDTH))
+        t.depth_levels, rules.compile_rules(t.user_rules), START_MS, last_ms(t), USER_STEP_MS, t.width))
 
 
 @query(f"""

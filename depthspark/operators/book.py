@@ -6,7 +6,8 @@ place inside one diff. Distances are fractions of the mid price, ``band`` too.
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,17 +186,38 @@ def first_seen(changes: DataFrame, width: int = scan.WIDTH) -> DataFrame:
     """Adds ``first_seen_ms``: when the level was inserted, kept while its quantity changes.
 
     A delete ends a run; so does a row with ``restart = true`` where that column is there (a snapshot
-    load). Rows that delete get null.
+    load). Rows that delete get null. One blocked scan: a run that starts inside a block is known there;
+    a run that is open at a block's first row started where the blocks before say, or at that row. Of the
+    blocks since the last one with an end or a start inside, the earliest time is the start.
     """
+    block = scan.BLOCK
     order = ["update_id", "pos"] if "pos" in changes.columns else ["update_id"]
-    seen = scan.previous(changes, LEVEL, order, ["qty"], width * LEVEL_STRETCH)
-    starts = F.col("prev_qty").isNull() | (F.col("prev_qty") == 0)
+    cut = scan.cut_blocks(changes, LEVEL, "update_id", width * LEVEL_STRETCH)
+    inside = Window.partitionBy(*LEVEL, block).orderBy(*order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    starts = F.coalesce(F.lag(F.col("qty") == 0).over(inside), F.lit(False))
     if "restart" in changes.columns:
         starts = starts | F.col("restart")
-    seen = seen.withColumn("__start", F.when((F.col("qty") > 0) & starts, F.col("recv_ms")))
-    runs = scan.running(seen, LEVEL, order, width * LEVEL_STRETCH, first_seen_ms=("last", "__start"))
-    return (runs.withColumn("first_seen_ms", F.when(F.col("qty") > 0, F.col("first_seen_ms")))
-            .drop("prev_qty", "__start"))
+    local = (cut.withColumns({"__begins": starts, "__entry": F.first("recv_ms").over(so_far),
+                              "__n": F.count(F.lit(1)).over(so_far)})
+             .withColumn("__start", F.when((F.col("qty") > 0) & F.col("__begins"), F.col("recv_ms")))
+             .withColumn("__start", F.last("__start", ignorenulls=True).over(so_far)))
+
+    ends = scan.per_block(local, LEVEL, F.max_by("qty", "__n").alias("__qty"), F.max_by("__start", "__n").alias("__own"),
+                          F.min("__entry").alias("__entry"))
+    opened = scan.handed_on(F.col("__qty")) > 0
+    through = opened & F.col("__own").isNull()
+    over = Window.partitionBy(*LEVEL).orderBy(block)
+    grouped = ends.withColumns({
+        "__since": F.when(through, F.col("__entry")).when(opened, F.col("__own")),
+        "__group": F.sum(F.when(through, 0).otherwise(1)).over(over.rowsBetween(Window.unboundedPreceding, 0))})
+    since = F.min("__since").over(
+        Window.partitionBy(*LEVEL, "__group").orderBy(block).rowsBetween(Window.unboundedPreceding, 0))
+    carried = (grouped.withColumn("__open", since)
+               .select(*LEVEL, block, F.lag("__open").over(over).alias("__in")))
+    seen = F.coalesce("__start", "__in", "__entry")
+    return local.join(carried, [*LEVEL, block]).select(
+        *[F.col(c) for c in changes.columns], F.when(F.col("qty") > 0, seen).alias("first_seen_ms"))
 
 
 def with_distance(book: DataFrame, band: float = BAND, keys: list[str] = BOOK) -> DataFrame:
@@ -244,41 +266,46 @@ def book_at(changes: DataFrame, start_ms: int, end_ms: int | Column, step_ms: in
 # --- best prices at every diff, and the sweep ---------------------------------------------------
 
 
-def _replay_best(rows: pd.DataFrame) -> pd.DataFrame:
+def _replay_best(key: tuple, rows: pa.Table) -> pa.Table:
     """Best bid and ask after every diff of one block; heaps with lazy removal."""
     import heapq
 
-    rows = rows.sort_values(["carried", "update_id", "pos"], ascending=[False, True, True])
-    live: dict[str, dict[float, float]] = {"BID": {}, "ASK": {}}
-    heaps: dict[str, list[float]] = {"BID": [], "ASK": []}
-    sign = {"BID": -1.0, "ASK": 1.0}
-    ids: list[int] = []
-    bids: list[float | None] = []
-    asks: list[float | None] = []
-
-    def best(side: str) -> float | None:
-        heap, levels = heaps[side], live[side]
-        while heap and heap[0] * sign[side] not in levels:
-            heapq.heappop(heap)
-        return heap[0] * sign[side] if heap else None
+    columns = [rows.column(c).to_numpy() for c in ("is_bid", "price", "qty", "update_id", "carried", "pos")]
+    order = np.lexsort((columns[5], columns[3], ~columns[4]))
+    sides, prices, sizes, updates, carried = (c[order].tolist() for c in columns[:5])
+    live: tuple[dict, dict] = ({}, {})
+    # Asks at index 0, bids at 1; bids go into their heap with the sign turned.
+    heaps: tuple[list, list] = ([], [])
+    ids, asks, bids = [], [], []
+
+    def best() -> None:
+        low, high, ask, bid = heaps[0], heaps[1], live[0], live[1]
+        while low and low[0] not in ask:
+            heapq.heappop(low)
+        while high and -high[0] not in bid:
+            heapq.heappop(high)
+        asks.append(low[0] if low else None)
+        bids.append(-high[0] if high else None)
 
     current = None
-    for side, price, qty, update_id, carried in zip(
-            rows["side"], rows["price"], rows["qty"], rows["update_id"], rows["carried"]):
+    for side, price, qty, update_id, brought in zip(sides, prices, sizes, updates, carried):
         if current is not None and update_id != current:
-            ids.append(current), bids.append(best("BID")), asks.append(best("ASK"))
+            ids.append(current)
+            best()
+        levels = live[side]
         if qty > 0:
-            if price not in live[side]:
-                heapq.heappush(heaps[side], price * sign[side])
-            live[side][price] = qty
+            if price not in levels:
+                heapq.heappush(heaps[side], -price if side else price)
+            levels[price] = qty
         else:
-            live[side].pop(price, None)
-        current = None if carried else update_id
+            levels.pop(price, None)
+        current = None if brought else update_id
     if current is not None:
-        ids.append(current), bids.append(best("BID")), asks.append(best("ASK"))
-    return pd.DataFrame({
-        "symbol": rows["symbol"].iloc[0], "market": rows["market"].iloc[0], "update_id": ids,
-        "best_bid": pd.array(bids, "Float64"), "best_ask": pd.array(asks, "Float64")})
+        ids.append(current)
+        best()
+    return pa.table({"symbol": pa.repeat(key[0], len(ids)), "market": pa.repeat(key[1], len(ids)),
+                     "update_id": pa.array(ids, pa.int64()), "best_bid": pa.array(bids, pa.float64()),
+                     "best_ask": pa.array(asks, pa.float64())})
 
 
 def mids(changes: DataFrame, width: int = scan.WIDTH) -> DataFrame:
@@ -304,9 +331,11 @@ def mids(changes: DataFrame, width: int = scan.WIDTH) -> DataFrame:
                        F.explode(F.sequence(F.col("block") + 1, F.col("__until"))).alias("block"),
                        F.lit(0).alias("pos"), F.lit(True).alias("carried")))
     replayed = (cut.withColumn("carried", F.lit(False)).unionByName(carried)
+                .select(*BOOK, "block", (F.col("side") == "BID").alias("is_bid"), "price", "qty", "update_id", "pos",
+                        "carried")
                 .groupBy(*BOOK, "block")
-                .applyInPandas(_replay_best,
-                               "symbol string, market string, update_id bigint, best_bid double, best_ask double"))
+                .applyInArrow(_replay_best,
+                              "symbol string, market string, update_id bigint, best_bid double, best_ask double"))
     return replayed.withColumn("mid", (F.col("best_bid") + F.col("best_ask")) / 2.0)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 WIDTH = 65_536
 
-_BLOCK = "__block"
+BLOCK = "__block"
 _SEEN = "__seen"
 
 
@@ -32,12 +32,12 @@ def block_of(column: str, width: int) -> Column:
 def cut_blocks(df: DataFrame, keys: list[str], order: str, width: int) -> DataFrame:
     """Adds the block of each row and brings the rows of a block together."""
     block = F.coalesce(block_of(order, width), F.lit(0).cast("bigint"))
-    return df.withColumn(_BLOCK, block).repartition(*keys, _BLOCK)
+    return df.withColumn(BLOCK, block).repartition(*keys, BLOCK)
 
 
 def per_block(cut: DataFrame, keys: list[str], *ends: Column) -> DataFrame:
     """One row per block with ``ends``, from the shuffle that ``cut_blocks`` made."""
-    return cut.groupBy(*keys, _BLOCK).agg(*ends, F.max(F.xxhash64(*cut.columns)).alias(_SEEN))
+    return cut.groupBy(*keys, BLOCK).agg(*ends, F.max(F.xxhash64(*cut.columns)).alias(_SEEN))
 
 
 def handed_on(value: Column) -> Column:
@@ -57,13 +57,16 @@ def previous(df: DataFrame, keys: list[str], order: list[str], values: list[str]
     ``order[0]`` must be a whole number; together with ``keys`` the order should be unique.
     """
     cut = cut_blocks(df, keys, order[0], width)
-    inside = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
-    between = Window.partitionBy(*keys).orderBy(_BLOCK)
-    carried = (per_block(cut, keys, F.max_by(F.struct(*values), _rank(order)).alias("__end"))
-               .select(*keys, _BLOCK, F.lag(handed_on(F.col("__end"))).over(between).alias("__carried")))
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    between = Window.partitionBy(*keys).orderBy(BLOCK)
+    # One max_by per value, not one over a struct: plain numbers stay in a hash aggregate.
+    last = [F.max_by(v, _rank(order)).alias(f"__end_{v}") for v in values]
+    end = F.struct(*[F.col(f"__end_{v}").alias(v) for v in values])
+    carried = (per_block(cut, keys, *last)
+               .select(*keys, BLOCK, F.lag(handed_on(end)).over(between).alias("__carried")))
     local = cut.withColumn("__before", F.lag(F.struct(*values)).over(inside))
     before = F.coalesce("__before", "__carried")
-    return local.join(carried, [*keys, _BLOCK]).select(
+    return local.join(carried, [*keys, BLOCK]).select(
         *[F.col(c) for c in df.columns], *[before.getField(v).alias(prefix + v) for v in values])
 
 
@@ -80,8 +83,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], width: int = WIDTH
     """
     cut = cut_blocks(df, keys, order[0], width)
     stop = 0 if inclusive else -1
-    inside = Window.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, stop)
-    before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, stop)
+    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
 
     ends, carried, local, merged = [], [], {}, []
     for name, (kind, column) in outputs.items():
@@ -106,8 +109,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], width: int = WIDTH
                 total = F.when(F.col(name).isNotNull() | F.col(carry).isNotNull(), total)
             merged.append(total.alias(name))
 
-    blocks = per_block(cut, keys, *ends).select(*keys, _BLOCK, *carried)
-    return (cut.withColumns(local).join(blocks, [*keys, _BLOCK])
+    blocks = per_block(cut, keys, *ends).select(*keys, BLOCK, *carried)
+    return (cut.withColumns(local).join(blocks, [*keys, BLOCK])
             .select(*[F.col(c) for c in df.columns], *merged))
 
 
@@ -127,12 +130,12 @@ def numbered_since(df: DataFrame, keys: list[str], order: list[str], mark: str,
     among the blocks that have a mark.
     """
     cut = cut_blocks(df, keys, order[0], width)
-    inside = Window.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     marked = F.col(mark).isNotNull()
     local = (cut.withColumns({"__n": F.count(F.lit(1)).over(inside),
                               "__last": F.last(mark, ignorenulls=True).over(inside)})
              .withColumn("__at", F.max(F.when(marked, F.col("__n"))).over(inside)))
-    upto = Window.partitionBy(*keys).orderBy(_BLOCK)
+    upto = Window.partitionBy(*keys).orderBy(BLOCK)
     before = upto.rowsBetween(Window.unboundedPreceding, -1)
     ends = (per_block(local, keys, F.count(F.lit(1)).alias("__rows"), F.max("__at").alias("__at_end"),
                       F.max_by("__last", "__n").alias("__last_end"))
@@ -140,9 +143,9 @@ def numbered_since(df: DataFrame, keys: list[str], order: list[str], mark: str,
                 upto.rowsBetween(Window.unboundedPreceding, 0))))
     started = F.col("__total") - F.col("__rows") + F.col("__at_end") - 1
     carried = ends.select(
-        *keys, _BLOCK, (F.col("__total") - F.col("__rows") - F.coalesce(F.max(started).over(before), F.lit(0))).alias("__since"),
+        *keys, BLOCK, (F.col("__total") - F.col("__rows") - F.coalesce(F.max(started).over(before), F.lit(0))).alias("__since"),
         F.last("__last_end", ignorenulls=True).over(before).alias("__last_in"))
-    joined = local.join(carried, [*keys, _BLOCK])
+    joined = local.join(carried, [*keys, BLOCK])
     position = F.when(F.col("__at").isNotNull(), F.col("__n") - F.col("__at") + 1).otherwise(
         F.col("__since") + F.col("__n"))
     return joined.select(*[F.col(c) for c in df.columns], F.coalesce("__last", "__last_in").alias(last),

@@ -87,6 +87,23 @@ def test_first_seen_starts_again_after_a_delete(spark):
     assert {r["update_id"]: r["first_seen_ms"] for r in restarted.collect()}[6] == 60
 
 
+@pytest.mark.parametrize("width", [1, 4, 30, 1000])
+def test_first_seen_across_blocks(spark, monkeypatch, width):
+    monkeypatch.setattr(book, "LEVEL_STRETCH", 1)
+    rng, changes, expected = random.Random(9), [], []
+    for name, zeros in (("calm", 0.03), ("busy", 0.4)):
+        held = None
+        for u in sorted(rng.sample(range(-50, 400), 150)):
+            qty = 0.0 if rng.random() < zeros else 1.0
+            restart = rng.random() < 0.02
+            held = None if not qty else u * 10 if held is None or restart else held
+            changes.append((name, "SPOT", "BID", 10.0, qty, u, u * 10, restart))
+            expected.append((name, u, held))
+    df = spark.createDataFrame(changes, CHANGES + ", restart boolean")
+    got = {(r["symbol"], r["update_id"]): r["first_seen_ms"] for r in book.first_seen(df, width).collect()}
+    assert got == {(name, u): held for name, u, held in expected}
+
+
 def test_band_is_inclusive_and_an_empty_side_is_left_alone(spark):
     data = [("A", "SPOT", s, p, 1.0, i, i) for i, (s, p) in enumerate(
         [("BID", 99.0), ("ASK", 101.0), ("BID", 90.0), ("BID", 89.9), ("ASK", 110.00000000000001), ("ASK", 110.1)])]

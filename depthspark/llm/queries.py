@@ -11,12 +11,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depthspark.llm.mixing import mix
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depthspark.llm.common import new_path
+    from depthspark.llm.token_files import token_digest, write_tokens
+    path = new_path(spark, "tokens")
+    write_tokens(_table(spark, sf_dir, "documents"), path)
+    return token_digest(spark, path)
+
+
+def op7_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depthspark.llm.secrets import scan_secrets
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depthspark.llm.token_counts import token_counts
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op9_token_counts]
+_QUERIES = [op4_entropy_mix, op6_token_files, op7_secret_owners, op9_token_counts]
 SQL: dict[str, str] = {}
 
 

@@ -34,7 +34,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op4_entropy_mix, op6_token_files, op7_secret_owners, op9_token_counts]
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depthspark.llm.ngram_join import ngram_components
+    return ngram_components(_table(spark, sf_dir, "documents"))
+
+
+_QUERIES = [op4_entropy_mix, op6_token_files, op7_secret_owners, op9_token_counts, op10_ngram_join]
 SQL: dict[str, str] = {}
 
 

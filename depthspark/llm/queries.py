@@ -29,6 +29,12 @@ def op7_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depthspark.llm.pitman_yor import remainder, score_documents
+    scored = score_documents(_table(spark, sf_dir, "documents"), remainder("doc_id", 5) != 1)
+    return scored.selectExpr("doc_id", "not learned as held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depthspark.llm.token_counts import token_counts
     return token_counts(_table(spark, sf_dir, "documents"))
@@ -39,7 +45,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op4_entropy_mix, op6_token_files, op7_secret_owners, op9_token_counts, op10_ngram_join]
+_QUERIES = [op4_entropy_mix, op6_token_files, op7_secret_owners, op8_pitman_yor, op9_token_counts, op10_ngram_join]
 SQL: dict[str, str] = {}
 
 

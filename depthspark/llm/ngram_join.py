@@ -18,7 +18,7 @@ Steps, each over all documents:
    counted over all common prefix shingles, filtered, and verified. Pairs inside a component need no check, as their link
    changes no component. So no link between different texts is lost, and a large group never becomes all its pairs.
 
-Sets are fetched for the nodes with live postings only, found in a last pass with a bit filter of at most ``2**MOST_BITS``
+Sets are fetched for the nodes of candidate pairs only, found in one more pass with a bit filter of at most ``2**MOST_BITS``
 bits; beyond some ten million such nodes the filter lets other sets pass too, which costs shuffle but changes no result.
 """
 
@@ -70,13 +70,15 @@ def sets_and_buckets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << BUCKET_BITS, np.int64), set()
         for batch in batches:
-            n, nodes = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+            n, nodes, fresh = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, []
             for i, found in _sets(batch, 1):
                 if len(found):
                     n[i], nodes[i] = len(found), _node(found)
                     if nodes[i] not in seen:
                         seen.add(nodes[i])
-                        counts += np.bincount((found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=1 << BUCKET_BITS)
+                        fresh.append((found >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+            if fresh:
+                counts += np.bincount(np.concatenate(fresh), minlength=1 << BUCKET_BITS)
             empty = pa.nulls(batch.num_rows, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(nodes, pa.int64()), empty, empty], names)
         used = np.flatnonzero(counts)
@@ -150,12 +152,31 @@ def head_pairs(live: DataFrame) -> DataFrame:
     heads = (live.join(weight, "node").groupBy("key")
              .agg(F.max(F.struct("weight", "node", "n", "pos")).alias("head")))
     found = live.join(store(heads, "heads"), "key").select("node", "n", "pos", F.col("head.node").alias("head"), F.col("head.n").alias("m"), F.col("head.pos").alias("at"))
-    rest = F.least("pos", "at") + 1 + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) - 1
-    reach = (100 + PERCENT) * rest >= PERCENT * (F.col("n") + F.col("m"))
-    return found.where(F.col("node") != F.col("head")).where(_may_reach("n", "m") & reach).select(
+    most = F.least("pos", "at") + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
+    return found.where(F.col("node") != F.col("head")).where(_may_reach("n", "m") & _enough(most, "n", "m")).select(
         F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
 
+def _enough(overlap, n: str, m: str):
+    return (100 + PERCENT) * overlap >= PERCENT * (F.col(n) + F.col(m))
+
+
+def sharing_enough(pairs: DataFrame, live: DataFrame) -> DataFrame:
+    """The pairs whose common prefix shingles still allow a link.
+
+    With ``k`` of them, the last at places ``x, y``: behind it no shingle is in both prefixes. If the prefix of ``a`` ends
+    first, what follows in it is in neither part of ``b``, so only the part of ``a`` behind its prefix and that of ``b``
+    behind ``y`` can be common; and the other way round.
+    """
+    x = live.select(F.col("node").alias("a"), "key", "n", F.col("pos").alias("x"))
+    y = live.select(F.col("node").alias("b"), "key", F.col("n").alias("m"), F.col("pos").alias("y"))
+    shared = (pairs.join(x, "a").join(y, ["b", "key"]).groupBy("a", "b")
+              .agg(F.count("*").alias("k"), F.max("x").alias("x"), F.max("y").alias("y"), F.max("n").alias("n"), F.max("m").alias("m")))
+    behind = lambda c: F.floor((PERCENT * F.col(c) + 99) / 100) - 1
+    rest = F.greatest(F.least(behind("n"), F.col("m") - 1 - F.col("y")), F.least(behind("m"), F.col("n") - 1 - F.col("x")))
+    return shared.where(_enough(F.col("k") + rest, "n", "m")).select("a", "b")
+
+
 def bit_filter(nodes: DataFrame) -> np.ndarray:
     """Bits at three places per node, as bytes; its size follows the number of nodes up to ``2**MOST_BITS`` bits."""
     bits = min(MOST_BITS, max(16, math.ceil(math.log2(16 * max(1, nodes.count())))))
@@ -217,6 +238,16 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def verified(pairs: DataFrame, docs: DataFrame, level) -> DataFrame:
+    """The linked pairs; the sets of their nodes are read from the texts."""
+    if pairs.isEmpty():
+        return pairs
+    nodes = store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(nodes))
+    sets = fetch_sets(docs, level, wanted).join(nodes, "node", "left_semi").groupBy("node").agg(F.any_value("keys").alias("keys"))
+    return verify(pairs, store(sets, "keys"))
+
+
 def cross_pairs(live: DataFrame, roots: DataFrame) -> DataFrame:
     """``a, b``: pairs of nodes in different components whose common prefix shingles still allow a link.
 
@@ -261,14 +292,12 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     rows = store(sets_and_buckets(docs), "sets")
     level, deal = (spark.sparkContext.broadcast(x) for x in rarity(rows))
     live = store(live_postings(postings(docs, level, deal)).distinct(), "live")
-    wanted = spark.sparkContext.broadcast(bit_filter(live.select("node").distinct()))
-    needed = live.select("node").distinct()
-    sets = store(fetch_sets(docs, level, wanted).join(needed, "node", "left_semi").groupBy("node").agg(F.any_value("keys").alias("keys")), "keys")
-    pairs = store(head_pairs(live), "pairs")
-    edges = store(verify(pairs, sets), "edges")
+    tried = store(head_pairs(live), "pairs")
+    pairs = store(sharing_enough(tried, live), "pairs")
+    edges = store(verified(pairs, docs, level), "edges")
     roots = components(edges)
-    more = store(cross_pairs(live, roots).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    roots = components(edges.unionByName(verify(more, sets)))
+    more = store(cross_pairs(live, roots).join(tried, ["a", "b"], "left_anti"), "pairs")
+    roots = components(edges.unionByName(verified(more, docs, level)))
 
     named = store(rows.where("n >= 0").join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root")), "rooted")
     least = store(named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")

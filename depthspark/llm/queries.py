@@ -11,6 +11,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depthspark.llm.decontaminate import leaks
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depthspark.llm.mixing import mix
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -45,7 +50,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op4_entropy_mix, op6_token_files, op7_secret_owners, op8_pitman_yor, op9_token_counts, op10_ngram_join]
+_QUERIES = [op3_decontaminate, op4_entropy_mix, op6_token_files, op7_secret_owners, op8_pitman_yor, op9_token_counts, op10_ngram_join]
 SQL: dict[str, str] = {}
 
 

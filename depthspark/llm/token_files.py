@@ -4,20 +4,25 @@ ORC keeps the ids as run-length encoded integers in stripes, with row indexes (m
 Bloom filters on ``doc_id``. Files hold ascending, disjoint ranges of ``doc_id``, so a reader takes stripes in parallel
 and a look-up opens only the stripes whose statistics and Bloom filter allow the id.
 
-Encoding works on runs ``blanks + characters``. The byte-level splitter never joins a character that is no white space
-to the blank behind it, so the ids of the runs, one behind the other, are the ids of the text. Each worker keeps the
-ids of the runs it met, up to ``CACHE`` of them. Texts with other white space than blanks and line feeds go whole.
+Encoding works on runs ``blank + characters``. The byte-level splitter never joins a character that is no white space
+to the blank behind it, so the ids of the runs, one behind the other, are the ids of the text. Runs are split into the
+model's words, and each word goes to the tokenizer's model once per worker; up to ``CACHE`` words and runs are kept.
+Texts with other white space than blanks and line feeds are one run. Texts that spell a special token go to the tokenizer
+whole, and so do all texts if the tokenizer is not byte-level.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,33 +30,94 @@ from pyspark.sql import functions as F
 from depthspark.llm.common import slices, store, text_buffers
 from depthspark.llm.token_counts import load
 
-CACHE = 300_000
+CACHE = 400_000
+# Fixed value: the splitting pattern of byte-level models.
+_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _RUN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+_TWO_BLANKS = ("  ", "\n ", " \n", "\n\n", "\0")
 _ODD = re.compile(r"[^\S \n]")
 _MAY_BE_ODD = np.zeros(256, bool)   # first bytes of every white space but blank and line feed
 _MAY_BE_ODD[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
-_known: dict[str, dict[str, bytes]] = {}
-
-
-def _encode(tool, texts: list[str]) -> list[bytes]:
-    return [np.array(e.ids, "<u4").tobytes() for e in tool.encode_batch_fast(texts, add_special_tokens=False)]
+_encoders: dict[str, Encoder] = {}
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies spell each byte: itself if printable, else the next one from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or (161 <= b <= 255 and b != 173)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+class Encoder:
+    """Ids of texts as little-endian 32-bit integers, by a tokenizers model."""
+
+    def __init__(self, model: str):
+        self.tool = load(model)
+        rules = json.loads(self.tool.to_str())
+        split = rules["pre_tokenizer"] or {}
+        self.by_words = (split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+                         and rules["normalizer"] is None and not rules["model"].get("ignore_merges"))
+        self.special = [t["content"] for t in rules["added_tokens"]]
+        self.letters, self.spell = _byte_letters(), self.tool.model.tokenize
+        self.blank = self.letters[32]
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            spelled = self.blank + word[1:] if word[0] == " " and word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.spell(spelled)]).tobytes()
+            if len(self.words) < CACHE and len(word) < 40:
+                self.words[word] = ids
+        return ids
+
+    def _run(self, run: str) -> bytes:
+        """Ids of a run; the usual forms (blank, letters, one mark) need no pattern."""
+        first = run[:1] in (" ", "\n")
+        body = run[1:] if first else run
+        if body.isalpha():
+            return self._word(run) if run[0] != "\n" else self._word("\n") + self._word(body)
+        if body[:-1].isalpha() and body[-1] in ".,!" and run[0] != "\n":
+            return self._word(run[:-1]) + self._word(body[-1])
+        return b"".join([self._word(w) for w in _WORD.findall(run)])
+
+    def _split(self, text: str, may_be_odd: bool) -> list[str]:
+        if may_be_odd and _ODD.search(text):
+            return [text]
+        if any(two in text for two in _TWO_BLANKS):
+            return _RUN.findall(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+
+    def encode(self, texts: list[str], may_be_odd: list[bool]) -> list[bytes]:
+        if not self.by_words:
+            return [array("I", e.ids).tobytes() for e in self.tool.encode_batch(texts, add_special_tokens=False)]
+        out, split, places = [b""] * len(texts), [], []
+        for i, text in enumerate(texts):
+            if any(s in text for s in self.special):
+                out[i] = array("I", self.tool.encode(text, add_special_tokens=False).ids).tobytes()
+            else:
+                split.append(self._split(text, may_be_odd[i]))
+                places.append(i)
+        known, run = self.runs, self._run
+        found = {r: run(r) for r in set(itertools.chain.from_iterable(split)).difference(known)}
+        if len(known) < CACHE:
+            known.update((r, ids) for r, ids in found.items() if len(r) < 40)
+        for i, runs in zip(places, split, strict=True):
+            out[i] = b"".join([known[r] if r in known else found[r] for r in runs])
+        return out
 
 
 def encode(model: str, column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
-    """For slices of the column: first row, row behind the last, ids of each text as little-endian 32-bit integers."""
-    tool, cache = load(model), _known.setdefault(model, {})
-    for start, end in slices(column, 1 << 20):
+    """For slices of the column: first row, row behind the last, ids of each text."""
+    if model not in _encoders:
+        _encoders[model] = Encoder(model)
+    for start, end in slices(column, 2 << 20):
         part = column.slice(start, end - start)
         data, offsets = text_buffers(part)
         odd = np.concatenate([[0], np.cumsum(_MAY_BE_ODD[data])])
-        odd = odd[offsets[1:]] > odd[offsets[:-1]]
-        runs = [[text] if flag and _ODD.search(text) else _RUN.findall(text)
-                for text, flag in zip((t or "" for t in part.to_pylist()), odd.tolist(), strict=True)]
-        missing = list(set(itertools.chain.from_iterable(runs)).difference(cache))
-        found = dict(zip(missing, _encode(tool, missing), strict=True))
-        if len(cache) < CACHE:
-            cache.update((k, v) for k, v in found.items() if len(k) < 100)
-        yield start, end, [b"".join([cache[k] if k in cache else found[k] for k in r]) for r in runs]
+        flags = (odd[offsets[1:]] > odd[offsets[:-1]]).tolist()
+        yield start, end, _encoders[model].encode([t or "" for t in part.to_pylist()], flags)
 
 
 def write_tokens(docs: DataFrame, path: str, model: str = "byte_bpe_50k.json", end_id: int = 2) -> None:
@@ -75,7 +141,7 @@ def write_tokens(docs: DataFrame, path: str, model: str = "byte_bpe_50k.json", e
     (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
      .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
      .mapInArrow(run, "part int, row long, doc_id long, ids array<int>")
-     .write.option("orc.create.index", "true").option("orc.row.index.stride", "1000")
+     .write.option("orc.stripe.size", str(16 << 20)).option("orc.create.index", "true").option("orc.row.index.stride", "1000")
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path))
 
 

@@ -66,7 +66,7 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            spelled = self.blank + word[1:] if word[0] == " " and word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            spelled = self.blank + word[1:] if word[0] == " " and word.isascii() and word[1:].isalpha() else word.encode().decode("latin-1").translate(self.letters)
             ids = array("I", [t.id for t in self.spell(spelled)]).tobytes()
             if len(self.words) < CACHE and len(word) < 40:
                 self.words[word] = ids

@@ -44,7 +44,7 @@ def with_size(docs: DataFrame) -> DataFrame:
                                              ["doc_id", "source", "tie", "size"])
 
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                        F.xxhash64("doc_id", "text").alias("tie"), F.col("text").cast("string").alias("text"))
+                        F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
     return ready.mapInArrow(run, "doc_id long, source string, tie long, size long")
 
 
@@ -115,7 +115,7 @@ def copies(size: np.ndarray, count: np.ndarray, rate: np.ndarray, most: int = 3)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` per row of ``docs`` (doc_id, text, source).
+    """``doc_id, tie, source, size, source_size, target, copies, taken`` per row of ``docs`` (doc_id, text, source).
 
     Null source is a source of its own, null text has size 0 and is taken once with 0 words. Repeated rows are documents
     of their own; rows that agree in everything may get different numbers of copies. An empty table gives none.
@@ -147,7 +147,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int
              .withColumn("ahead", F.coalesce(F.sum("n").over(front), F.lit(0))).select("source", "size", "bucket", "ahead"))
     ranked = placed.where("extra > 0").withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("tie", "doc_id")))
     key = [F.col("r.source").eqNullSafe(F.col("s.source")), F.col("r.size") == F.col("s.size"), F.col("r.bucket") == F.col("s.bucket")]
-    columns = ["doc_id", "r.source", "r.size", "source_size", "target"]
+    columns = ["doc_id", "r.tie", "r.source", "r.size", "source_size", "target"]
     more = ranked.alias("r").join(ahead.alias("s"), key).select(*columns, (F.col("least") + (F.col("rank") + F.col("ahead") <= F.col("extra")).cast("long")).alias("copies"))
     even = placed.alias("r").where("extra = 0").select(*columns, F.col("least").alias("copies"))
     return more.unionByName(even).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it.
+
+    Rows that agree in id and text share their copies evenly, the first ones getting what is left over.
+    """
+    total = mixed.groupBy("doc_id", "tie").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("tie")]
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), *key)
+    total = total.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "tie", "copies", "rows")
+    place = F.row_number().over(Window.partitionBy("id", "tie").orderBy("id"))
+    many = F.floor(F.col("copies") / F.col("rows")) + (F.col("place") <= F.col("copies") % F.col("rows")).cast("long")
+    taken = rows.join(total, ["id", "tie"]).withColumn("place", place).withColumn("many", many)
+    return taken.where("many > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "many"))).select("row.*")

@@ -302,3 +302,16 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     named = store(rows.where("n >= 0").join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root")), "rooted")
     least = store(named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     return named.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when one document of each component stays: the one with the smallest id.
+
+    Of rows with one id the first by text stays. Rows without an id cannot be told apart in a component and all stay.
+    """
+    heads = ngram_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("head")).distinct()
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("head"), F.col("text").cast("string").alias("text"), row)
+    first = F.row_number().over(Window.partitionBy("head").orderBy("text"))
+    kept = rows.join(heads, "head", "left_semi").withColumn("first", first).where("first = 1")
+    return kept.select("row.*").unionByName(rows.where("head is null").select("row.*"))

@@ -5,12 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depthspark.llm.knn_quality import fit, quality_scores
+    from depthspark.llm.pitman_yor import remainder
+    docs = _table(spark, sf_dir, "documents")
+    voters = fit(docs, _table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    scored = quality_scores(docs.select("doc_id", "text"), voters).select(F.col("row.doc_id").alias("doc_id"), "quality_score")
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), F.col("quality_score").alias("score"),
+                         (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depthspark.llm.decontaminate import leaks
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -50,7 +61,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op3_decontaminate, op4_entropy_mix, op6_token_files, op7_secret_owners, op8_pitman_yor, op9_token_counts, op10_ngram_join]
+_QUERIES = [op1_knn_quality, op3_decontaminate, op4_entropy_mix, op6_token_files, op7_secret_owners, op8_pitman_yor, op9_token_counts, op10_ngram_join]
 SQL: dict[str, str] = {}
 
 

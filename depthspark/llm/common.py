@@ -121,13 +121,17 @@ class Words:
             after[-1] = False
             after[:-1] = inside[1:]
         self.ends = np.flatnonzero(inside & (~after | first[1:])) + 1
-        power, inverse = _power_tables(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * power[:n], out=sums[1:])
+        sums, (_, inverse) = self.sums(), _power_tables(n + 1)
         raw = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
         self.hashes = mix(raw ^ (self.ends - self.starts).astype(np.uint64) * _STEP[7])
         self.bounds = np.searchsorted(self.starts, offsets)   # words of document i: bounds[i]..bounds[i+1]
 
+    def sums(self) -> np.ndarray:
+        """Prefix sums of the bytes' polynomial: bytes a..b hash to (sums[b] - sums[a]) * inverse power of a."""
+        sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(_BYTE[self.data] * _power_tables(len(self.data) + 1)[0][:len(self.data)], out=sums[1:])
+        return sums
+
     def documents(self) -> Iterator[tuple[int, int, int]]:
         for i in range(len(self.bounds) - 1):
             yield i, int(self.bounds[i]), int(self.bounds[i + 1])

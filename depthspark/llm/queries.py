@@ -22,6 +22,11 @@ def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depthspark.llm.multi_index import near_duplicates
+    return near_duplicates(_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depthspark.llm.decontaminate import leaks
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -32,6 +37,15 @@ def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depthspark.llm.pitman_yor import remainder
+    from depthspark.llm.toxicity import fit, toxicity_scores
+    docs = _table(spark, sf_dir, "documents")
+    network = fit(docs, _table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
+    return toxicity_scores(docs, network).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), F.col("toxicity").alias("score"),
+                                                 (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depthspark.llm.common import new_path
     from depthspark.llm.token_files import token_digest, write_tokens
@@ -61,7 +75,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op1_knn_quality, op3_decontaminate, op4_entropy_mix, op6_token_files, op7_secret_owners, op8_pitman_yor, op9_token_counts, op10_ngram_join]
+_QUERIES = [op1_knn_quality, op2_multi_index, op3_decontaminate, op4_entropy_mix, op5_toxicity, op6_token_files, op7_secret_owners, op8_pitman_yor, op9_token_counts, op10_ngram_join]
 SQL: dict[str, str] = {}
 
 

@@ -28,7 +28,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -268,17 +267,35 @@ def cross_pairs(live: DataFrame, roots: DataFrame) -> DataFrame:
     met = probes.join(blocks, "key").select("probe", "m", "part", F.filter("block", fits).alias("found")).where(F.size("found") > 0)
     met = met.select("probe", "m", "part", F.transform("found", lambda x: x["node"]).alias("nodes"), F.transform("found", lambda x: x["n"]).alias("sizes"))
 
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        nodes, first, shared = np.unique(np.concatenate(group["nodes"].to_list()), return_index=True, return_counts=True)
-        m = np.concatenate(group["sizes"].to_list())[first].astype(np.int64)
-        n = int(group["m"].iloc[0])
-        # Beyond the shared prefix shingles, at most the rest behind one of the two prefixes can be common.
-        rest = np.maximum(n - prefix_length(n), m - (m - -(-PERCENT * m // 100) + 1))
-        keep = (100 + PERCENT) * (shared + rest) >= PERCENT * (n + m)
-        probe = int(group["probe"].iloc[0])
-        return pd.DataFrame({"a": np.minimum(nodes[keep], probe), "b": np.maximum(nodes[keep], probe)})
-
-    return met.groupBy("probe", "part").applyInPandas(count, "a long, b long").distinct()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None   # rows of the last probe, which the next batch may go on with
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            probe, part = held["probe"].to_numpy(), held["part"].to_numpy()
+            done = int(np.flatnonzero((probe != probe[-1]) | (part != part[-1]))[-1]) + 1 if len(probe) and (probe[0] != probe[-1] or part[0] != part[-1]) else 0
+            if done:
+                yield from _reaching(held.slice(0, done).combine_chunks())
+                held = held.slice(done)
+        if held is not None and held.num_rows:
+            yield from _reaching(held.combine_chunks())
+
+    return met.repartition("probe", "part").sortWithinPartitions("probe", "part").mapInArrow(count, "a long, b long").distinct()
+
+
+def _reaching(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Of whole groups of (probe, part): the pairs whose common prefix shingles, one per row, still allow a link."""
+    lists = rows["nodes"].combine_chunks()
+    node, m = lists.flatten().to_numpy(), rows["sizes"].combine_chunks().flatten().to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy())
+    probe, n = rows["probe"].to_numpy()[owner], rows["m"].to_numpy().astype(np.int64)[owner]
+    order = np.lexsort((node, probe))
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(probe[order]) != 0) | (np.diff(node[order]) != 0)])) if len(order) else np.zeros(0, int)
+    shared = np.diff(np.append(first, len(order)))
+    probe, node, n, m = (x[order][first] for x in (probe, node, n, m))
+    # Beyond the shared prefix shingles, at most the rest behind one of the two prefixes can be common.
+    behind = lambda size: -(-PERCENT * size // 100) - 1
+    keep = (100 + PERCENT) * (shared + np.maximum(behind(n), behind(m))) >= PERCENT * (n + m)
+    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node, probe)[keep]), pa.array(np.maximum(node, probe)[keep])], ["a", "b"])
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:

@@ -124,7 +124,8 @@ def postings(docs: DataFrame, level, deal) -> DataFrame:
                     key = level.value[bucket] | (found & LOW)
                     first = np.argsort(key)[:prefix_length(n)]
                     keys.append(key[first].view(np.int64))
-                    salts.append(node % deal.value[bucket[first]])
+                    parts = deal.value[bucket[first]]
+                    salts.append(np.where(parts > 1, 1 + node % parts, 0))   # 0: not dealt out
                     nodes.append(np.full(len(first), node))
                     sizes.append(np.full(len(first), n, np.int32))
                     places.append(np.arange(len(first), dtype=np.int32))
@@ -137,8 +138,8 @@ def postings(docs: DataFrame, level, deal) -> DataFrame:
 def live_postings(posted: DataFrame) -> DataFrame:
     """Postings of shingles that two nodes or more have, and all of those that were dealt out."""
     same = Window.partitionBy("key", "salt")
-    marked = posted.select("*", F.min("node").over(same).alias("low"), F.max("node").over(same).alias("high"), F.max("salt").over(same).alias("dealt"))
-    return marked.where("low <> high or dealt > 0").select("key", "node", "n", "pos")
+    marked = posted.select("*", F.min("node").over(same).alias("low"), F.max("node").over(same).alias("high"))
+    return marked.where("low <> high or salt > 0").select("key", "node", "n", "pos")
 
 
 def _may_reach(n: str, m: str, percent: int = PERCENT):
@@ -250,21 +251,22 @@ def verified(pairs: DataFrame, docs: DataFrame, level) -> DataFrame:
 def cross_pairs(live: DataFrame, roots: DataFrame) -> DataFrame:
     """``a, b``: pairs of nodes in different components whose common prefix shingles still allow a link.
 
-    In each shingle with several components the members outside the head's component probe all members, in blocks. The blocks
-    of one probe are added up over its shingles, so each pair is judged once, on all shingles it shares.
+    In each shingle with several components a member probes those of larger components (by nodes, then name), in blocks. So a pair
+    is probed from the same side in all its shingles; the blocks of one probe are added up over them, and each pair is
+    judged once, on all shingles it shares.
     """
-    named = store(live.join(roots, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root")), "named")
-    keys = named.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"),
-                                    F.max(F.struct("n", "node", "root")).alias("home")).where("low <> high")
-    keys = store(keys.select("key", "members", F.col("home.root").alias("home")), "mixed")
+    named = live.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    named = store(named, "named")
+    nodes = store(named.groupBy("root").agg(F.countDistinct("node").alias("size")), "roots")
+    keys = named.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    keys = store(keys.select("key", "members"), "mixed")
     parts = max(1, -(-(keys.agg(F.max("members")).first()[0] or 0) // BLOCK))
-    mixed = named.join(keys, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)))
-    blocks = mixed.groupBy("key", "part").agg(F.collect_list(F.struct("node", "n", "root")).alias("block"))
-    probes = mixed.where("root <> home").select("key", "home", F.col("node").alias("probe"), F.col("n").alias("m"), F.col("root").alias("own"))
-    # A pair of two probes is taken by the smaller one.
-    fits = lambda x: (x["root"] != F.col("own")) & ((x["root"] == F.col("home")) | (F.col("probe") < x["node"])) & (
-        100 * F.least(x["n"], F.col("m")) >= PERCENT * F.greatest(x["n"], F.col("m")))
-    met = probes.join(blocks, "key").select("probe", "m", "part", F.filter("block", fits).alias("found")).where(F.size("found") > 0)
+    mixed = store(named.join(keys, "key").join(nodes, "root").select(
+        "key", "node", "n", F.struct("size", "root").alias("rank"), F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part")), "members")
+    blocks = mixed.groupBy("key", "part").agg(F.collect_list(F.struct("node", "n", "rank")).alias("block"), F.max("rank").alias("top"))
+    probes = mixed.select("key", F.col("node").alias("probe"), F.col("n").alias("m"), F.col("rank").alias("own"))
+    fits = lambda x: (x["rank"] > F.col("own")) & (100 * F.least(x["n"], F.col("m")) >= PERCENT * F.greatest(x["n"], F.col("m")))
+    met = probes.join(blocks, "key").where("top > own").select("probe", "m", "part", F.filter("block", fits).alias("found")).where(F.size("found") > 0)
     met = met.select("probe", "m", "part", F.transform("found", lambda x: x["node"]).alias("nodes"), F.transform("found", lambda x: x["n"]).alias("sizes"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from depthspark.llm.common import END_HASH, Words, mix, slices, store
 
 CONTEXTS = 1_024
-FREQUENT = 1 << 18
+FREQUENT = 1 << 17
 SWEEPS, BURN_IN = 5, 2
 STRENGTH = 1.0
 FLUSH_WORDS = 4_000_000
@@ -75,6 +75,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words above the least count that at most ``most`` words exceed; found from how many words have each count."""
+    counted = words.where(F.col("word") != int(END_HASH))
+    sizes = counted.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
+    over = sizes["n"][np.cumsum(sizes["words"]) <= most]
+    return counted.where(F.col("n") >= int(over.min())) if len(over) else counted.where("false")
+
+
 class Classes:
     """Classes of words: places in the sorted hashes of the frequent ones, then *other*, then end (as a context: start)."""
 
@@ -300,13 +308,13 @@ def score_documents(docs: DataFrame, training: Column, contexts: int = CONTEXTS,
     n_all, n_types = words.agg(F.sum("n"), F.count("*")).first()
     n_all = n_all or 0
     norm = n_all + 0.5 * (n_types + 1)
-    top = words.where(F.col("word") != int(END_HASH)).orderBy(F.col("n").desc(), "word").limit(contexts).toPandas()
+    top = most_frequent(words, contexts).toPandas()
     classes = Classes(top["word"].to_numpy(np.int64))
     ends = (words.where(F.col("word") == int(END_HASH)).first() or (0, 0))[1]
     matrix = context_model(class_pairs(learn, classes), classes, sweeps, burn_in)
     known, unseen = other_words(words, classes, sweeps, burn_in)
     known = store(known, "known")
-    top = known.where(F.col("word") != int(END_HASH)).orderBy(F.col("n").desc(), "word").limit(frequent).toPandas()
+    top = most_frequent(known, frequent).toPandas()
     scorer = spark.sparkContext.broadcast(_Scorer(classes, matrix, *(top[c].to_numpy() for c in ("word", "n", "log10")), norm, ends))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ and a look-up opens only the stripes whose statistics and Bloom filter allow the
 
 Encoding works on runs ``blank + characters``. The byte-level splitter never joins a character that is no white space
 to the blank behind it, so the ids of the runs, one behind the other, are the ids of the text. Runs are split into the
-model's words, and each word goes to the tokenizer's model once per worker; up to ``CACHE`` words and runs are kept.
+model's words, and each word goes to the tokenizer's model; a worker keeps the ids of up to ``CACHE`` words and runs.
 Texts with other white space than blanks and line feeds are one run. Texts that spell a special token go to the tokenizer
 whole, and so do all texts if the tokenizer is not byte-level.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from depthspark.llm.common import slices, store, text_buffers
 from depthspark.llm.token_counts import load
 
-CACHE = 400_000
+CACHE = 800_000
 # Fixed value: the splitting pattern of byte-level models.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _RUN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -60,27 +60,30 @@ class Encoder:
         self.special = [t["content"] for t in rules["added_tokens"]]
         self.letters, self.spell = _byte_letters(), self.tool.model.tokenize
         self.blank = self.letters[32]
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            spelled = self.blank + word[1:] if word[0] == " " and word.isascii() and word[1:].isalpha() else word.encode().decode("latin-1").translate(self.letters)
-            ids = array("I", [t.id for t in self.spell(spelled)]).tobytes()
-            if len(self.words) < CACHE and len(word) < 40:
-                self.words[word] = ids
+    def _keep(self, text: str, ids: bytes) -> bytes:
+        if len(self.known) < CACHE and len(text) < 40:
+            self.known[text] = ids
         return ids
 
+    def _word(self, word: str) -> bytes:
+        ids = self.known.get(word)
+        if ids is not None:
+            return ids
+        plain = word[0] == " " and word.isascii() and word[1:].isalpha()
+        spelled = self.blank + word[1:] if plain else word.encode().decode("latin-1").translate(self.letters)
+        return self._keep(word, array("I", [t.id for t in self.spell(spelled)]).tobytes())
+
     def _run(self, run: str) -> bytes:
         """Ids of a run; the usual forms (blank, letters, one mark) need no pattern."""
-        first = run[:1] in (" ", "\n")
-        body = run[1:] if first else run
-        if body.isalpha():
-            return self._word(run) if run[0] != "\n" else self._word("\n") + self._word(body)
-        if body[:-1].isalpha() and body[-1] in ".,!" and run[0] != "\n":
-            return self._word(run[:-1]) + self._word(body[-1])
-        return b"".join([self._word(w) for w in _WORD.findall(run)])
+        body = run[1:] if run[0] in " \n" else run
+        if run[0] != "\n":
+            if body.isalpha():
+                return self._word(run)
+            if body[:-1].isalpha() and body[-1] in ".,!":
+                return self._keep(run, self._word(run[:-1]) + self._word(body[-1]))
+        return self._keep(run, b"".join([self._word(w) for w in _WORD.findall(run)]))
 
     def _split(self, text: str, may_be_odd: bool) -> list[str]:
         if may_be_odd and _ODD.search(text):
@@ -99,12 +102,8 @@ class Encoder:
             else:
                 split.append(self._split(text, may_be_odd[i]))
                 places.append(i)
-        known, run = self.runs, self._run
-        found = {r: run(r) for r in set(itertools.chain.from_iterable(split)).difference(known)}
-        if len(known) < CACHE:
-            known.update((r, ids) for r, ids in found.items() if len(r) < 40)
         for i, runs in zip(places, split, strict=True):
-            out[i] = b"".join([known[r] if r in known else found[r] for r in runs])
+            out[i] = b"".join([ids if ids is not None else self._run(run) for ids, run in zip(map(self.known.get, runs), runs, strict=True)])
         return out
 
 

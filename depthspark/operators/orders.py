@@ -172,7 +172,7 @@ def callback_audit(callbacks: DataFrame, orders: DataFrame, secrets: DataFrame,
 def grants_from_success(signals: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(grants, verdicts)``: one grant per order, for its first valid success signal.
 
-    ``signals`` has ``signal_id, order_id, source (CALLBACK | RECONCILIATION), at_s``. The first valid
+    Once that signal is in, the order is paid: every later one is ALREADY_GRANTED, whatever its source. ``signals`` has ``signal_id, order_id, source (CALLBACK | RECONCILIATION), at_s``. The first valid
     signal is a partial aggregate, so replays of one order are cut down before the shuffle.
     """
     facts = orders.select("order_id", F.col("status").alias("__status"), "user_id",
@@ -187,8 +187,7 @@ def grants_from_success(signals: DataFrame, orders: DataFrame) -> tuple[DataFram
     first = (judged.filter(F.col("verdict") == "GRANT").groupBy("order_id")
              .agg(F.min(F.struct("at_s", "signal_id")).alias("__first")))
     told = judged.join(first, "order_id", "left").withColumn(
-        "verdict", F.when((F.col("verdict") == "GRANT") & (F.col("signal_id") != F.col("__first.signal_id")),
-                          "ALREADY_GRANTED").otherwise(F.col("verdict")))
+        "verdict", F.when(F.struct("at_s", "signal_id") > F.col("__first"), "ALREADY_GRANTED").otherwise(F.col("verdict")))
     grants = told.filter(F.col("verdict") == "GRANT").select(
         F.concat(F.lit("order-"), F.col("order_id").cast("string")).alias("grant_id"), "order_id", "user_id",
         F.timestamp_seconds("at_s").alias("granted_at"), "granted_seconds", F.lit("PURCHASE").alias("source"),
@@ -203,18 +202,21 @@ def order_decision(requests: DataFrame, orders: DataFrame, plans: DataFrame, pri
                    blocked: DataFrame, as_of_s: int) -> DataFrame:
     """Decision and error for each create or cancel request of a batch.
 
-    ``requests`` has ``request_id, user_id, kind (CREATE | CANCEL), plan_code, currency, asked_s``. Only a
-    user's first request is decided, the others WAIT for the next batch. ``blocked`` has ``user_id,
+    ``requests`` has ``request_id, user_id, kind (CREATE | CANCEL), plan_code, currency, asked_s`` and, for plans
+    paid by the day, ``amount (decimal)``. Only a user's first request is decided, the others WAIT for the
+    next batch. A new order whose amount is bad is rejected as a whole, so an old one stays open. ``blocked`` has ``user_id,
     blocked`` (see ``access.renewal_blocked``).
     """
     first = requests.groupBy("user_id").agg(F.min(F.struct("asked_s", "request_id")).alias("__first"))
     active = plans.filter("active").select(F.col("code").alias("plan_code"), F.col("type").alias("__type"))
     price = (prices.filter("active")
              .select(F.col("code").alias("plan_code"), F.col("currency").alias("__code"),
-                     F.lit(True).alias("__priced")))
+                     F.lit(True).alias("__priced"), F.col("amount").alias("__price")))
     current = current_order(orders).select(
         "user_id", F.col("order_id").alias("current_order_id"), F.col("status").alias("__status"),
         F.col("plan_code").alias("__plan"), "expires_s")
+    if "amount" not in requests.columns:
+        requests = requests.withColumn("amount", F.lit(None).cast("decimal(38,18)"))
     df = (requests.withColumn("__code", cur.normal_code(F.col("currency")))
           .join(first, "user_id").join(active, "plan_code", "left")
           .join(price, ["plan_code", "__code"], "left")
@@ -227,6 +229,9 @@ def order_decision(requests: DataFrame, orders: DataFrame, plans: DataFrame, pri
              .when(create & F.col("__priced").isNull(), "NO_PRICE")
              .when(~create & F.col("current_order_id").isNull(), "NO_ORDERS")
              .when(~create & (F.col("__status") != "PENDING"), "NOT_PENDING"))
+    reuse = open_now & ~_stale(as_of_s) & (F.col("plan_code") == F.col("__plan"))
+    error = F.coalesce(error, F.when(create & ~F.coalesce(reuse, F.lit(False)),
+                                     _amount_error(F.col("__type") == "FIXED", F.col("amount"), F.col("__price"))))
     decision = (F.when(~turn, "WAIT").when(F.col("__error").isNotNull(), "REJECT").when(~create, "CANCEL")
                 .when(~open_now, "CREATE").when(_stale(as_of_s), "EXPIRE_AND_CREATE")
                 .when(F.col("plan_code") == F.col("__plan"), "REUSE").otherwise("SUPERSEDE_AND_CREATE"))
@@ -236,6 +241,11 @@ def order_decision(requests: DataFrame, orders: DataFrame, plans: DataFrame, pri
                            F.col("current_order_id")).alias("current_order_id")))
 
 
+def _amount_error(fixed: Column, amount: Column, unit: Column) -> Column:
+    return F.when(~fixed, F.when(amount.isNull() | (amount <= 0), "AMOUNT_NOT_POSITIVE")
+                  .when(~cur.scale_ok(amount, F.col("__code")), "TOO_MANY_DECIMALS").when(unit <= 0, "PRICE_NOT_SET"))
+
+
 def order_terms(accepted: DataFrame, plans: DataFrame, prices: DataFrame, as_of_s: int,
                 ttl_seconds: int = INVOICE_SECONDS) -> DataFrame:
     """Days, granted seconds, amount and expiry of new orders; ``error`` where a per-day amount is bad.
@@ -249,9 +259,7 @@ def order_terms(accepted: DataFrame, plans: DataFrame, prices: DataFrame, as_of_
     df = (accepted.withColumn("__code", cur.normal_code(F.col("currency")))
           .join(terms, "plan_code").join(price, ["plan_code", "__code"]))
     fixed, amount, unit = F.col("__type") == "FIXED", F.col("amount"), F.col("__price")
-    error = F.when(~fixed, F.when(amount.isNull() | (amount <= 0), "AMOUNT_NOT_POSITIVE")
-                   .when(~cur.scale_ok(amount, F.col("__code")), "TOO_MANY_DECIMALS")
-                   .when(unit <= 0, "PRICE_NOT_SET"))
+    error = _amount_error(fixed, amount, unit)
     days = F.when(fixed, F.col("duration_days").cast("bigint")).when(
         F.col("error").isNull(), cur.ceil_ratio(amount, unit))
     return (df.withColumn("error", error).withColumn("days", days)

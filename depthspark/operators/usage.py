@@ -37,7 +37,7 @@ def parse_slice(text: str) -> int | str:
     seconds = sum(int(m[g] or 0) * n for g, n in (("d", 86_400), ("h", 3_600), ("m", 60), ("s", 1)))
     seconds = -seconds if m["sign"] == "-" else seconds
     if seconds < MIN_SLICE_SECONDS:
-        raise ValueError("slice must be at least one minute")
+        raise ValueError(f"slices of less than 60 seconds are not counted: {text}")
     return seconds
 
 
@@ -54,7 +54,7 @@ class UsageWindow:
         today = datetime.now(tz).date()
         start, end = start or today, end or today
         if end < start:
-            raise ValueError("end date must not be before start date")
+            raise ValueError(f"empty window, its end date {end} is earlier than {start}")
 
         def midnight(day: date) -> datetime:
             return datetime.combine(day, time.min, tzinfo=tz).astimezone(timezone.utc)
@@ -74,8 +74,12 @@ def _bound(events: DataFrame, instant: datetime) -> Column:
 
 
 def _in_window(events: DataFrame, window: UsageWindow) -> DataFrame:
-    return events.filter((F.col("connected_at") >= _bound(events, window.start))
-                         & (F.col("connected_at") < _bound(events, window.end)))
+    """Connects of the window; a ``day`` column (UTC, as the log is written) prunes whole folders."""
+    inside = (F.col("connected_at") >= _bound(events, window.start)) & (F.col("connected_at") < _bound(events, window.end))
+    if "day" in events.columns:
+        days = [F.lit(t.astimezone(timezone.utc).date()) for t in (window.start, window.end)]
+        inside = inside & F.col("day").between(*days)
+    return events.filter(inside)
 
 
 def _instant(column: str = "connected_at") -> Column:

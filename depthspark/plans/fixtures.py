@@ -228,7 +228,7 @@ VIEWS["order_requests"] = """
 SELECT o_orderkey AS request_id, o_custkey AS user_id, CASE WHEN o_orderkey % 6 = 0 THEN 'CANCEL' ELSE 'CREATE' END AS kind,
   CASE o_orderkey % 5 WHEN 0 THEN 'weekly' WHEN 1 THEN 'monthly' WHEN 2 THEN 'yearly' WHEN 3 THEN 'pay_as_you_go' ELSE 'gold' END AS plan_code,
   CASE WHEN o_orderkey % 8 = 0 THEN 'USD' ELSE 'UZS' END AS currency,
-  CAST(round(o_totalprice * 100) AS BIGINT) AS amount_minor, o_orderkey AS asked_s FROM orders
+  CASE WHEN o_orderkey % 7 = 0 THEN -500 ELSE CAST(round(o_totalprice * 100) AS BIGINT) END AS amount_minor, o_orderkey AS asked_s FROM orders
 """
 
 # One current expiry per user, in whole seconds, around the fixed point in time of the queries.

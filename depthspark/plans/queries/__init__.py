@@ -10,17 +10,10 @@ from depthspark.operators import scan
 from depthspark.plans.fixtures import Tables, duckdb_sql
 from depthspark.session import tune
 
-# Length of a scan block in local runs: short, so that the small test tables are cut into many blocks
-# too and the hand-over between blocks is checked. A cluster uses the library's length.
-LOCAL_WIDTH = 1024
-
 
 def block_width(spark: SparkSession) -> int:
-    """``spark.depthspark.width`` if set, else by where Spark runs."""
-    chosen = spark.conf.get("spark.depthspark.width", None)
-    if chosen is not None:
-        return int(chosen)
-    return LOCAL_WIDTH if spark.sparkContext.master.startswith("local") else scan.WIDTH
+    """``spark.depthspark.width`` if set, else the library's length of a scan block, wherever Spark runs."""
+    return int(spark.conf.get("spark.depthspark.width", str(scan.WIDTH)))
 
 
 _BUILD: dict[str, Callable[[Tables], DataFrame]] = {}

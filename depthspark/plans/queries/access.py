@@ -26,7 +26,7 @@ WINDOW w AS (PARTITION BY user_id ORDER BY at_s, order_id)
 
 
 def _ledger(t: Tables) -> DataFrame:
-    return access.fold_grants(t.grants.withColumn("grant_id", F.col("order_id")), block_days=90)
+    return access.fold_grants(t.grants.withColumn("grant_id", F.col("order_id")))
 
 
 @query(f"SELECT order_id, user_id, coalesce(previous_s, -1) AS previous_s, expires_s FROM ({_LEDGER}) x")

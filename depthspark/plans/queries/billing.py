@@ -204,14 +204,29 @@ FROM success_signals s JOIN pay_orders o ON s.order_id = o.order_id
 """
 
 
+# Place of each signal in its order's history, and the place of the one that grants.
+_PLACED = f"""
+SELECT *, min(CASE WHEN judged = 'GRANT' THEN place END) OVER (PARTITION BY order_id) AS granted
+FROM (SELECT j.*, row_number() OVER (PARTITION BY order_id ORDER BY at_s, signal_id) AS place FROM ({_JUDGED}) j) k
+"""
+
+
 @query(f"""
-SELECT signal_id, order_id, CASE WHEN judged = 'GRANT' AND row_number() OVER (PARTITION BY order_id, judged ORDER BY at_s, signal_id) > 1
-  THEN 'ALREADY_GRANTED' ELSE judged END AS verdict FROM ({_JUDGED}) j
+SELECT signal_id, order_id, CASE WHEN place > granted THEN 'ALREADY_GRANTED' ELSE judged END AS verdict FROM ({_PLACED}) p
 """)
 def grants_from_success(t: Tables) -> DataFrame:
     return orders.grants_from_success(t.success_signals, _orders(t))[1].select("signal_id", "order_id", "verdict")
 
 
+@query(f"""
+SELECT 'order-' || CAST(p.order_id AS VARCHAR) AS grant_id, p.order_id, o.user_id, CAST(p.at_s AS BIGINT) AS at_s, 'PURCHASE' AS source, true AS paid
+FROM ({_PLACED}) p JOIN pay_orders o ON p.order_id = o.order_id WHERE p.place = p.granted
+""")
+def purchase_grants(t: Tables) -> DataFrame:
+    grants = orders.grants_from_success(t.success_signals, _orders(t))[0]
+    return grants.select("grant_id", "order_id", "user_id", F.unix_seconds("granted_at").alias("at_s"), "source", "paid")
+
+
 _PRICED = "SELECT code, currency, amount_minor FROM plan_prices WHERE active"
 _DECIDED = f"""
 SELECT r.request_id, r.user_id, r.plan_code, r.currency, r.amount_minor, r.request_id = min(r.request_id) OVER (PARTITION BY r.user_id) AS turn, r.kind,
@@ -219,7 +234,9 @@ SELECT r.request_id, r.user_id, r.plan_code, r.currency, r.amount_minor, r.reque
   CASE WHEN r.kind = 'CREATE' AND p.code IS NULL THEN 'UNKNOWN_PLAN'
     WHEN r.kind = 'CREATE' AND p.type = 'FIXED' AND u.role <> 'ADMIN' AND coalesce(e.has_paid AND e.expires_s > {MIDNIGHT_S} + 432000, false) THEN 'ALREADY_SUBSCRIBED'
     WHEN r.kind = 'CREATE' AND q.code IS NULL THEN 'NO_PRICE' WHEN r.kind = 'CANCEL' AND c.order_id IS NULL THEN 'NO_ORDERS'
-    WHEN r.kind = 'CANCEL' AND c.status <> 'PENDING' THEN 'NOT_PENDING' END AS failed
+    WHEN r.kind = 'CANCEL' AND c.status <> 'PENDING' THEN 'NOT_PENDING'
+    WHEN r.kind = 'CREATE' AND p.type <> 'FIXED' AND r.amount_minor <= 0
+      AND NOT coalesce(c.status IN ('CREATED', 'PENDING') AND c.expires_s > {AS_OF_S} AND c.plan_code = r.plan_code, false) THEN 'AMOUNT_NOT_POSITIVE' END AS failed
 FROM order_requests r LEFT JOIN (SELECT * FROM plans WHERE active) p ON r.plan_code = p.code
 LEFT JOIN ({_PRICED}) q ON r.plan_code = q.code AND r.currency = q.currency LEFT JOIN ({_CURRENT}) c ON r.user_id = c.user_id
 LEFT JOIN users u ON r.user_id = u.user_id LEFT JOIN entitlements e ON r.user_id = e.user_id

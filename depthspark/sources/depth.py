@@ -66,15 +66,22 @@ def explode_levels(parsed: DataFrame, update_id: str = "final_id") -> DataFrame:
 
 
 def parse_snapshots(raw: DataFrame) -> DataFrame:
-    """Snapshots with their id; a missing id is a failed snapshot, levels without quantity are left out."""
-    parsed = F.from_json("raw", f"lastUpdateId bigint, bids {_PAIRS}, asks {_PAIRS}")
-
+    """Snapshots with their id, levels without quantity left out. Failed snapshots are left out as a whole: those without
+    an id, with sides that are no lists of levels, or with any level that cannot be read."""
     def loaded(name: str) -> Column:
-        return F.filter(_levels(F.col("__s")[name]), lambda x: x["qty"] > 0)
+        return F.filter(name, lambda x: x["qty"] > 0)
+
+    return (read_snapshots(raw).filter(~F.col("bad"))
+            .select("symbol", "market", "snapshot_id", "recv_ms", loaded("bids").alias("bids"), loaded("asks").alias("asks")))
 
-    return (raw.withColumn("__s", parsed).filter(F.col("__s.lastUpdateId").isNotNull())
-            .select("symbol", "market", F.col("__s.lastUpdateId").alias("snapshot_id"), "recv_ms",
-                    loaded("bids").alias("bids"), loaded("asks").alias("asks")))
+
+def read_snapshots(raw: DataFrame) -> DataFrame:
+    """All snapshots as they are: ``snapshot_id, bids, asks`` and ``bad``, whether the snapshot has failed."""
+    parsed = F.from_json("raw", f"lastUpdateId bigint, bids {_PAIRS}, asks {_PAIRS}")
+    df = raw.withColumn("__s", parsed).withColumns({name: _levels(F.col("__s")[name]) for name in ("bids", "asks")})
+    lost = F.col("__s.lastUpdateId").isNull() | F.col("bids").isNull() | F.col("asks").isNull()
+    bad = lost | _unreadable(F.col("bids")) | _unreadable(F.col("asks"))
+    return df.select("symbol", "market", F.col("__s.lastUpdateId").alias("snapshot_id"), "recv_ms", "bids", "asks", F.coalesce(bad, F.lit(True)).alias("bad"))
 
 
 def read_exchange_info(json: DataFrame, market: str | None = None) -> DataFrame:

@@ -23,7 +23,6 @@ from depthspark.functions import tiers
 from depthspark.operators.book import BAND
 from depthspark.sources import depth
 
-BUFFER = 500
 TOP = 5
 PENDING, REQUESTED, SYNCED = "PENDING", "SNAPSHOT_REQUESTED", "SYNCED"
 
@@ -59,6 +58,7 @@ class Book:
     buffer: list[Message] = field(default_factory=list)
     band: float = BAND
     compute_on_sync: bool = True
+    most_waiting: int | None = None
     prices: dict[str, list[float]] = field(default_factory=dict)
     touched: set[tuple[str, float]] = field(default_factory=set)
 
@@ -77,7 +77,7 @@ class Book:
             self.phase = REQUESTED
             self.buffer = [m]
             return True
-        if len(self.buffer) >= BUFFER:
+        if self.most_waiting is not None and len(self.buffer) >= self.most_waiting:
             self._restart()
             return True
         self.buffer.append(m)
@@ -207,7 +207,7 @@ def messages(rows: pd.DataFrame) -> Iterator[Message]:
                       int(r.prev_final_id), int(r.recv_ms), bool(r.bad), bool(r.has_levels), levels)
 
 
-def replay(book: Book, rows: pd.DataFrame, per_event: bool, ask: bool) -> list[tuple]:
+def replay(book: Book, rows: pd.DataFrame, ask: bool) -> list[tuple]:
     out: list[tuple] = []
 
     def emit(m: Message) -> None:
@@ -215,21 +215,17 @@ def replay(book: Book, rows: pd.DataFrame, per_event: bool, ask: bool) -> list[t
         if moved:
             out.append((book.symbol, book.market, moved[0], m.final_id, m.recv_ms, moved[1], moved[2]))
 
-    last = None
-    for last in messages(rows):
-        wants = book.on_snapshot(last) if last.kind == "SNAPSHOT" else book.on_diff(last)
+    for message in messages(rows):
+        wants = book.on_snapshot(message) if message.kind == "SNAPSHOT" else book.on_diff(message)
         if wants and ask:
-            out.append((book.symbol, book.market, "SNAPSHOT_REQUEST", last.final_id, last.recv_ms, "", ""))
-        if per_event or wants:
-            emit(last)
-    if last is not None and not per_event:
-        emit(last)
+            out.append((book.symbol, book.market, "SNAPSHOT_REQUEST", message.final_id, message.recv_ms, "", ""))
+        emit(message)
     return out
 
 
 class _BookProcessor(StatefulProcessor):
-    def __init__(self, per_event: bool, band: float, compute_on_sync: bool, ask: bool):
-        self.per_event, self.band, self.compute_on_sync, self.ask = per_event, band, compute_on_sync, ask
+    def __init__(self, band: float, compute_on_sync: bool, ask: bool, most_waiting: int | None):
+        self.band, self.compute_on_sync, self.ask, self.most_waiting = band, compute_on_sync, ask, most_waiting
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.meta = handle.getValueState("meta", "phase string, last_id bigint, mid double, shown boolean, sent string")
@@ -238,7 +234,7 @@ class _BookProcessor(StatefulProcessor):
 
     def _load(self, key) -> tuple[Book, bool]:
         known = self.meta.exists()
-        settings = dict(band=self.band, compute_on_sync=self.compute_on_sync)
+        settings = dict(band=self.band, compute_on_sync=self.compute_on_sync, most_waiting=self.most_waiting)
         if not known:
             return Book(key[0], key[1], **settings), False
         phase, last_id, mid, shown, sent = self.meta.get()
@@ -272,7 +268,7 @@ class _BookProcessor(StatefulProcessor):
             frame = frame.iloc[first:]
             if frame.empty:
                 return
-        out = replay(book, frame, self.per_event, self.ask)
+        out = replay(book, frame, self.ask)
         self._store(book, had_buffer)
         if out:
             yield pd.DataFrame(out, columns=["symbol", "market", "type", "update_id", "recv_ms", "bids", "asks"])
@@ -284,24 +280,17 @@ class _BookProcessor(StatefulProcessor):
 def arrivals(raw: DataFrame) -> DataFrame:
     """Typed messages from raw rows ``kind (DIFF | SNAPSHOT), symbol, market, raw, recv_ms``.
 
-    Parsing stays in the JVM, before the shuffle to the books. A snapshot without an id is kept as
-    ``bad``, because it makes the book ask again.
+    Parsing stays in the JVM, before the shuffle to the books. A failed snapshot is kept as ``bad``, because it
+    makes the book ask again.
     """
     is_diff = F.col("kind") == "DIFF"
     diffs = depth.parse_diffs(depth.read_depth(raw.filter(is_diff)))
     snaps = raw.filter(~is_diff)
-    shape = "lastUpdateId bigint, bids array<array<string>>, asks array<array<string>>"
-    parsed = snaps.withColumn("__s", F.from_json("raw", shape))
     empty = F.array().cast("array<struct<price:double,qty:double>>")
-
-    def pairs(name: str):
-        return F.coalesce(depth._levels(F.col("__s")[name]), empty)
-
-    snapshots = parsed.select(
+    snapshots = depth.read_snapshots(snaps).select(
         "symbol", "market", F.lit(0).cast("bigint").alias("first_id"),
-        F.coalesce("__s.lastUpdateId", F.lit(-1)).alias("final_id"), F.lit(0).cast("bigint").alias("prev_final_id"),
-        "recv_ms", pairs("bids").alias("bids"), pairs("asks").alias("asks"),
-        F.col("__s.lastUpdateId").isNull().alias("bad"))
+        F.coalesce("snapshot_id", F.lit(-1)).alias("final_id"), F.lit(0).cast("bigint").alias("prev_final_id"),
+        "recv_ms", *[F.when(F.col("bad"), empty).otherwise(F.col(side)).alias(side) for side in ("bids", "asks")], "bad")
     both = (diffs.withColumn("snapshot", F.lit(False))
             .unionByName(snapshots.withColumn("snapshot", F.lit(True))))
     has = F.col("bids").isNotNull() | F.col("asks").isNotNull()
@@ -315,17 +304,18 @@ def arrivals(raw: DataFrame) -> DataFrame:
         part("asks", "price").alias("ask_price"), part("asks", "qty").alias("ask_qty"))
 
 
-def book_stream(raw: DataFrame, per_event: bool = False, band: float = BAND, compute_on_sync: bool = True,
-                ask: bool = False) -> DataFrame:
+def book_stream(raw: DataFrame, band: float = BAND, compute_on_sync: bool = True, ask: bool = False,
+                most_waiting: int | None = None) -> DataFrame:
     """Feed events of every book of a raw stream.
 
-    ``per_event=True`` looks at the book after every message, as the exact form; otherwise once per batch
-    and whenever a book loses sync. ``compute_on_sync=False`` leaves distances at 0 until the first live
+    The book is looked at after every message, so the events do not depend on how rows fall into batches.
+    ``most_waiting`` bounds the diffs that wait for a snapshot: one more empties the buffer and a new snapshot is asked for,
+    as a live feed with little memory does (500 there); none by default, for replay of a log. ``compute_on_sync=False`` leaves distances at 0 until the first live
     diff after a sync. ``ask=True`` also emits SNAPSHOT_REQUEST rows for whoever fetches snapshots.
     Snapshots are used only while a book waits for one.
     """
     out = (arrivals(raw).groupBy("symbol", "market")
-           .transformWithStateInPandas(_BookProcessor(per_event, band, compute_on_sync, ask),
+           .transformWithStateInPandas(_BookProcessor(band, compute_on_sync, ask, most_waiting),
                                        outputStructType=OUTPUT, outputMode="Append", timeMode="None"))
     return out.select("symbol", "market", "type", "update_id", "recv_ms",
                       F.from_json(F.nullif("bids", F.lit("")), _LEVELS).alias("bids"),

@@ -10,7 +10,8 @@ from depthspark import new_session
 @pytest.fixture(scope="session")
 def spark():
     session = new_session("local[8]", "tests", shuffle_partitions=4, **{
-        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g",
+        "spark.depthspark.width": "1024"})   # short blocks, so that small tables cross block borders too
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -101,13 +101,13 @@ def test_one_grant_per_order(spark):
     status = {1: "PENDING", 2: "PAID", 3: "REVERTED", 4: "EXPIRED", 5: "CREATED", 6: "CANCELED"}
     signals = [(10, 1, "RECONCILIATION", 7), (11, 1, "CALLBACK", 5), (12, 1, "CALLBACK", 6), (20, 2, "CALLBACK", 1), (30, 3, "CALLBACK", 1),
                (40, 4, "RECONCILIATION", 1), (41, 4, "CALLBACK", 2), (50, 5, "CALLBACK", 1), (51, 5, "RECONCILIATION", 1), (60, 6, "CALLBACK", 1),
-               (70, 7, "CALLBACK", 1)]
+               (70, 7, "CALLBACK", 1), (42, 4, "RECONCILIATION", 20), (43, 4, "CALLBACK", 21)]
     df = spark.createDataFrame(signals, "signal_id int, order_id int, source string, at_s bigint")
     known = spark.createDataFrame([order(i, s) for i, s in status.items()], ORDERS).withColumn("granted_seconds", F.lit(60).cast("bigint"))
     grants, verdicts = orders.grants_from_success(df, known)
     assert dict(rows(verdicts, "signal_id", "verdict")) == {
         10: "ALREADY_GRANTED", 11: "GRANT", 12: "ALREADY_GRANTED", 20: "SKIP_PAID", 30: "REFUSE_REVERTED", 40: "NO_RESCUE", 41: "GRANT", 50: "ILLEGAL",
-        51: "NO_RESCUE", 60: "GRANT", 70: "UNKNOWN_ORDER"}
+        51: "NO_RESCUE", 60: "GRANT", 70: "UNKNOWN_ORDER", 42: "ALREADY_GRANTED", 43: "ALREADY_GRANTED"}
     assert rows(grants, "grant_id", "granted_seconds", "paid") == [("order-1", 60, True), ("order-4", 60, True), ("order-6", 60, True)]
 
 
@@ -115,17 +115,20 @@ def test_decisions(spark):
     asked = [(1, "new", "CREATE", "weekly", "UZS"), (2, "same", "CREATE", "weekly", "uzs"), (3, "stale", "CREATE", "weekly", "UZS"),
              (4, "other", "CREATE", "monthly", "UZS"), (5, "paid", "CREATE", "weekly", "UZS"), (6, "topup", "CREATE", "pay_as_you_go", "UZS"),
              (7, "lost", "CREATE", "gold", "UZS"), (8, "off", "CREATE", "yearly", "UZS"), (9, "usd", "CREATE", "monthly", "USD"),
-             (10, "cancel", "CANCEL", None, None), (11, "empty", "CANCEL", None, None), (12, "done", "CANCEL", None, None), (13, "new", "CREATE", "weekly", "UZS")]
-    requests = spark.createDataFrame([(*a, a[0]) for a in asked], "request_id int, user_id string, kind string, plan_code string, currency string, asked_s int")
+             (10, "cancel", "CANCEL", None, None), (11, "empty", "CANCEL", None, None), (12, "done", "CANCEL", None, None), (13, "new", "CREATE", "weekly", "UZS"),
+             (14, "minus", "CREATE", "pay_as_you_go", "UZS"), (15, "fine", "CREATE", "pay_as_you_go", "UZS"), (16, "again", "CREATE", "pay_as_you_go", "UZS")]
+    amounts = {6: D(8000), 14: D(-5), 15: D("0.001"), 16: D(-5)}
+    requests = spark.createDataFrame([(*a, a[0], amounts.get(a[0])) for a in asked],
+                                     "request_id int, user_id string, kind string, plan_code string, currency string, asked_s int, amount decimal(38,18)")
     known = spark.createDataFrame([order(2, user="same"), order(3, user="stale", expires=NOW), order(4, user="other"), order(10, user="cancel"),
-                                   order(12, "PAID", "done")], ORDERS)
+                                   order(14, user="minus"), order(16, user="again", plan="pay_as_you_go"), order(12, "PAID", "done")], ORDERS)
     blocked = spark.createDataFrame([("paid", True), ("topup", True), ("new", False)], "user_id string, blocked boolean")
     out = orders.order_decision(requests, known, plans(spark), prices(spark), blocked, NOW)
     assert {r[0]: tuple(r[1:]) for r in rows(out, "request_id", "decision", "error", "current_order_id")} == {
         1: ("CREATE", None, None), 2: ("REUSE", None, 2), 3: ("EXPIRE_AND_CREATE", None, 3), 4: ("SUPERSEDE_AND_CREATE", None, 4),
         5: ("REJECT", "ALREADY_SUBSCRIBED", None), 6: ("CREATE", None, None), 7: ("REJECT", "UNKNOWN_PLAN", None), 8: ("REJECT", "UNKNOWN_PLAN", None),
         9: ("REJECT", "NO_PRICE", None), 10: ("CANCEL", None, 10), 11: ("REJECT", "NO_ORDERS", None), 12: ("REJECT", "NOT_PENDING", None),
-        13: ("WAIT", None, None)}
+        13: ("WAIT", None, None), 14: ("REJECT", "AMOUNT_NOT_POSITIVE", None), 15: ("REJECT", "TOO_MANY_DECIMALS", None), 16: ("REUSE", None, 16)}
 
 
 def test_terms(spark):

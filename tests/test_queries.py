@@ -6,10 +6,11 @@ import pytest
 
 import __spark_entry__ as entries
 from depthspark.plans.fixtures import VIEWS, Tables, duckdb_sql
+from depthspark.plans.queries import all_queries, all_sql
 from tests.oracle import bag, compare, database
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES, SQL = entries.queries(), entries.oracle_sql()
+QUERIES, SQL = all_queries(), all_sql()
 
 
 @pytest.fixture(scope="module")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import glob
 from datetime import datetime, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from depthspark import schemas
@@ -95,3 +96,14 @@ def test_materialised_once(spark, folder):
 
     assert materialize(make, folder, spark).count() == materialize(make, folder, spark).count() == 3
     assert made == [1]
+
+
+@pytest.mark.parametrize("body", [
+    '{"bids": [["1", "2"]], "asks": [["2", "1"]]}', '{"lastUpdateId": 5, "bids": "none", "asks": [["2", "1"]]}',
+    '{"lastUpdateId": 5, "bids": [["1", "2"]], "asks": [["x", "1"]]}', '{"lastUpdateId": 5, "bids": [["1"]], "asks": [["2", "1"]]}', '{"lastUpdateId": 5, "bids": [["1", "2"]]}'])
+def test_a_snapshot_fails_as_a_whole(spark, body):
+    good = '{"lastUpdateId": 6, "bids": [["1", "2"], ["0.5", "0"]], "asks": []}'
+    raw = spark.createDataFrame([("A", "SPOT", body, 1), ("A", "SPOT", good, 2)], "symbol string, market string, raw string, recv_ms bigint")
+    out = depth.parse_snapshots(raw).collect()
+    assert [(r["snapshot_id"], [tuple(x) for x in r["bids"]], r["asks"]) for r in out] == [(6, [(1.0, 2.0)], [])]
+    assert [r["bad"] for r in depth.read_snapshots(raw).orderBy("recv_ms").collect()] == [True, False]

@@ -86,7 +86,7 @@ def replayed(messages, symbol, place):
                       [float(p) for p, _ in asks], [float(q) for _, q in asks]))
     frame = pd.DataFrame(frame, columns=["snapshot", "first_id", "final_id", "prev_final_id", "recv_ms", "bad", "has_levels",
                                          "bid_price", "bid_qty", "ask_price", "ask_qty"])
-    return b, stream.replay(b, frame, True, False)
+    return b, stream.replay(b, frame, False)
 
 
 @pytest.mark.parametrize("seed", range(12))
@@ -108,7 +108,7 @@ def test_book_state_equals_plain_replay(seed):
 
 
 def test_buffer_overflow_asks_again():
-    b = stream.Book("ABCUSDT", "SPOT")
+    b = stream.Book("ABCUSDT", "SPOT", most_waiting=500)
     asks = [b.on_diff(stream.Message("DIFF", i, i, i - 1, i, False, True, [])) for i in range(1, 503)]
     assert asks[0] and not any(asks[1:500]) and asks[500] and not asks[501]
     assert b.phase == stream.REQUESTED and len(b.buffer) == 1
@@ -143,7 +143,7 @@ def test_stream_over_batches_equals_replay(spark, folder):
     cuts = [merged[len(merged) * i // 3][4] for i in (1, 2)]
     parts = [[m for m in merged if m[4] < cuts[0]], [m for m in merged if cuts[0] <= m[4] < cuts[1]],
              [m for m in merged if m[4] >= cuts[1]]]
-    out = run_stream(spark, folder, parts, per_event=True)
+    out = run_stream(spark, folder, parts)
     for (symbol, place), messages in stories.items():
         _, expected = slow(messages, place)
         got = out.filter((F.col("symbol") == symbol) & (F.col("market") == place)).collect()

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from depthspark.operators import usage
+from depthspark.sources import sinks
 from tests.conftest import rows
 
 DAY = date(2026, 7, 18)
@@ -91,3 +92,14 @@ def test_presence_and_last_seen(spark):
     assert [tuple(r) for r in present.collect()] == [(1, 1, False), (4, 1, True)]
     assert tuple(usage.presence_totals(present).first()) == (2, 2)
     assert rows(usage.last_seen(log(spark, [(1, [7]), (3, [7]), (2, [8])])), "user_id") == [(7,), (8,)]
+
+
+def test_the_log_is_pruned_by_day(spark, folder):
+    events = spark.sql("SELECT id AS user_id, timestamp'2024-01-01 00:30:00' + make_interval(0, 0, 0, CAST(id AS INT)) AS connected_at FROM range(10)")
+    sinks.append_connections(events, f"{folder}/log")
+    log = spark.read.parquet(f"{folder}/log")
+    window = usage.UsageWindow.of(date(2024, 1, 3), date(2024, 1, 4), "Asia/Tashkent")
+    out = usage.usage_fixed(log, window, 86400)
+    assert rows(out, "unique_connections") == rows(usage.usage_fixed(events, window, 86400), "unique_connections") == [(1,), (1,)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in plan and "day" in plan.split("PartitionFilters:")[1].split("]")[0]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depthspark.llm.common import new_path, store
+from depthspark.llm.common import new_path, store, tune
 from depthspark.llm.decontaminate import without_leaks
 from depthspark.llm.knn_quality import fit, quality_scores
 from depthspark.llm.mixing import mix, repeated
@@ -21,25 +21,27 @@ LEAST_QUALITY = 0.3
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = tune(spark).read.parquet(f"{sf_dir}/labels.parquet")
     scored = quality_scores(docs, fit(docs, labels, remainder("doc_id", 5) != 0))
     return scored.where(scored["quality_score"] >= LEAST_QUALITY).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tune(spark)
     return one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without_leaks(docs, tune(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tune(spark)
     return repeated(docs, mix(docs))
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "tokens")
+    path = new_path(tune(spark), "tokens")
     write_tokens(docs, path)
     return token_digest(spark, path)
 

@@ -17,6 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 4 << 20   # text handled at once in a task; one longer document is handled alone
 
 
+# Batches between the JVM and Python are cut by bytes too, so that long texts do not make them large.
+RUNTIME = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings that the registered queries and the pipeline set on their session."""
+    for name, value in RUNTIME.items():
+        spark.conf.set(name, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one is set only where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -33,7 +33,7 @@ CONTEXTS = 1_024
 FREQUENT = 1 << 17
 SWEEPS, BURN_IN = 5, 2
 STRENGTH = 1.0
-FLUSH_WORDS = 4_000_000
+FLUSH_WORDS = 2_000_000
 
 
 def remainder(doc_id: Column | str, by: int) -> Column:

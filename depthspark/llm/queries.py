@@ -78,7 +78,53 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = [op1_knn_quality, op2_multi_index, op3_decontaminate, op4_entropy_mix, op5_toxicity, op6_token_files, op7_secret_owners, op8_pitman_yor, op9_token_counts, op10_ngram_join]
-SQL: dict[str, str] = {}
+
+
+def _spans_sql(kind: str, place: int, pattern: str, group: int, least: int) -> str:
+    """Rows of one kind: the text between the matches and the matches give the places."""
+    quoted = pattern.replace("'", "''")
+    before = "coalesce(list_sum(list_transform({0}, lambda x: length(x))), 0)"
+    start = f"{before.format('g[1:i]')} + {before.format('m[1:i-1]')}"
+    return f"""SELECT rid, '{kind}' AS kind, {place} AS place, CAST(x.s AS BIGINT) AS s, CAST(x.s + x.n AS BIGINT) AS e, x.v AS v FROM (
+  SELECT rid, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'s': {start}, 'n': length(m[i]), 'v': v[i]}})) AS x FROM (
+    SELECT rid, regexp_extract_all(text, '{quoted}', 0) AS m, regexp_extract_all(text, '{quoted}', {group}) AS v, string_split_regex(text, '{quoted}') AS g FROM d) r
+  WHERE len(m) > 0) u WHERE length(x.v) >= {least}"""
+
+
+_NAME = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
+_SECRETS = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+base AS ({_spans_sql("assign", 0, "(" + _NAME + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6)}
+  UNION ALL {_spans_sql("access", 1, "AKIA[A-Z0-9]+", 0, 20)} UNION ALL {_spans_sql("hex", 2, "[0-9a-f]{24,}", 0, 24)}),
+owned AS (SELECT o.* FROM ({_spans_sql("owned", 3, "[A-Za-z0-9_-]{32,}", 0, 32)}) o WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = o.rid AND b.s < o.e AND o.s < b.e)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM owned),
+live AS (SELECT v, count(DISTINCT source) <= 2 AS live FROM every JOIN d USING (rid) GROUP BY v),
+judged AS (SELECT every.*, live.live FROM every JOIN live USING (v)),
+told AS (SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (WHERE kind <> 'owned') AS base,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (WHERE kind <> 'owned' OR live) AS spans,
+    count(*) FILTER (WHERE kind = 'owned' AND live) AS n_owned, count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_shared
+  FROM judged GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared
+FROM d LEFT JOIN told USING (rid)
+"""
+
+_JOIN = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(words[i:i+4], ' ') AS g FROM (SELECT rid, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0) p),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+shared AS (SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+links AS (SELECT x, y FROM shared JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+reach AS (SELECT rid, rid AS r FROM w UNION SELECT reach.rid, links.y FROM reach JOIN links ON links.x = reach.r)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM w LEFT JOIN n USING (rid)
+JOIN (SELECT reach.rid, min(o.doc_id) AS component_id FROM reach JOIN w o ON o.rid = reach.r GROUP BY reach.rid) c USING (rid)
+"""
+
+SQL: dict[str, str] = {"op7_secret_owners": _SECRETS, "op10_ngram_join": _JOIN}
+
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -31,13 +31,13 @@ from depthspark.llm.common import slices, store, text_buffers
 from depthspark.llm.token_counts import load
 
 CACHE = 800_000
+HOT = 30_000   # of those, the ones met first; they make most of a text, and their table stays in the processor's cache
 # Fixed value: the splitting pattern of byte-level models.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _RUN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_TWO_BLANKS = ("  ", "\n ", " \n", "\n\n", "\0")
 _ODD = re.compile(r"[^\S \n]")
-_MAY_BE_ODD = np.zeros(256, bool)   # first bytes of every white space but blank and line feed
-_MAY_BE_ODD[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_MAY_BE_ODD = np.zeros(256, bool)   # first bytes of all white space but blank and line feed; and NUL
+_MAY_BE_ODD[[0, 9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _encoders: dict[str, Encoder] = {}
 
 
@@ -60,39 +60,45 @@ class Encoder:
         self.special = [t["content"] for t in rules["added_tokens"]]
         self.letters, self.spell = _byte_letters(), self.tool.model.tokenize
         self.blank = self.letters[32]
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.hot: dict[str, bytes] = {"": b""}
 
     def _keep(self, text: str, ids: bytes) -> bytes:
         if len(self.known) < CACHE and len(text) < 40:
             self.known[text] = ids
+            if len(self.hot) < HOT:
+                self.hot[text] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
         ids = self.known.get(word)
-        if ids is not None:
-            return ids
+        return self._spelled(word) if ids is None else ids
+
+    def _spelled(self, word: str) -> bytes:
         plain = word[0] == " " and word.isascii() and word[1:].isalpha()
         spelled = self.blank + word[1:] if plain else word.encode().decode("latin-1").translate(self.letters)
         return self._keep(word, array("I", [t.id for t in self.spell(spelled)]).tobytes())
 
     def _run(self, run: str) -> bytes:
         """Ids of a run; the usual forms (blank, letters, one mark) need no pattern."""
-        body = run[1:] if run[0] in " \n" else run
+        ids = self.known.get(run)
+        if ids is not None:
+            return ids
         if run[0] != "\n":
+            body = run[1:] if run[0] == " " else run
             if body.isalpha():
-                return self._word(run)
+                return self._spelled(run)
             if body[:-1].isalpha() and body[-1] in ".,!":
                 return self._keep(run, self._word(run[:-1]) + self._word(body[-1]))
         return self._keep(run, b"".join([self._word(w) for w in _WORD.findall(run)]))
 
-    def _split(self, text: str, may_be_odd: bool) -> list[str]:
-        if may_be_odd and _ODD.search(text):
-            return [text]
-        if any(two in text for two in _TWO_BLANKS):
-            return _RUN.findall(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+    def _split(self, text: str, plain: bool) -> list[str]:
+        if plain:
+            return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        return [text] if _ODD.search(text) else _RUN.findall(text)
 
-    def encode(self, texts: list[str], may_be_odd: list[bool]) -> list[bytes]:
+    def encode(self, texts: list[str], plain: list[bool]) -> list[bytes]:
+        """``plain`` tells texts whose only white space is single blanks and line feeds."""
         if not self.by_words:
             return [array("I", e.ids).tobytes() for e in self.tool.encode_batch(texts, add_special_tokens=False)]
         out, split, places = [b""] * len(texts), [], []
@@ -100,10 +106,10 @@ class Encoder:
             if any(s in text for s in self.special):
                 out[i] = array("I", self.tool.encode(text, add_special_tokens=False).ids).tobytes()
             else:
-                split.append(self._split(text, may_be_odd[i]))
+                split.append(self._split(text, plain[i]))
                 places.append(i)
         for i, runs in zip(places, split, strict=True):
-            out[i] = b"".join([ids if ids is not None else self._run(run) for ids, run in zip(map(self.known.get, runs), runs, strict=True)])
+            out[i] = b"".join([self._run(run) if ids is None else ids for ids, run in zip(map(self.hot.get, runs), runs, strict=True)])
         return out
 
 
@@ -114,9 +120,11 @@ def encode(model: str, column: pa.Array) -> Iterator[tuple[int, int, list[bytes]
     for start, end in slices(column, 2 << 20):
         part = column.slice(start, end - start)
         data, offsets = text_buffers(part)
-        odd = np.concatenate([[0], np.cumsum(_MAY_BE_ODD[data])])
-        flags = (odd[offsets[1:]] > odd[offsets[:-1]]).tolist()
-        yield start, end, _encoders[model].encode([t or "" for t in part.to_pylist()], flags)
+        blank = (data == 32) | (data == 10)
+        odd = np.flatnonzero(_MAY_BE_ODD[data])
+        two = np.flatnonzero(blank[:-1] & blank[1:])   # also where one text ends and the next begins, which does no harm
+        none = lambda places: np.searchsorted(places, offsets[1:]) == np.searchsorted(places, offsets[:-1])
+        yield start, end, _encoders[model].encode([t or "" for t in part.to_pylist()], (none(odd) & none(two)).tolist())
 
 
 def write_tokens(docs: DataFrame, path: str, model: str = "byte_bpe_50k.json", end_id: int = 2) -> None:

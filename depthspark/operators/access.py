@@ -131,9 +131,8 @@ def renewal_blocked(users: DataFrame, entitlement: DataFrame, as_of: datetime,
 
 
 def access_history(ledger: DataFrame, order_details: DataFrame) -> DataFrame:
-    """Ledger newest first per user, with the paying order as a struct (null for trial and gift)."""
+    """Ledger rows, with the paying order as a struct (null for trial and gift)."""
     orders = order_details.select(
         F.col("order_id"), F.struct(*order_details.columns).alias("order"))
     paying = ledger.withColumn("order_id", F.when(_paid(ledger), F.col("order_id")))
-    return (paying.join(orders, "order_id", "left")
-            .orderBy("user_id", F.desc("granted_at"), F.desc("grant_id")))
+    return paying.join(orders, "order_id", "left")

@@ -75,7 +75,7 @@ def sync_points(snapshots: DataFrame, segments: DataFrame, width: int = scan.WID
     ``snapshot_id``. Snapshots meet diffs in buckets of ids. There are far fewer snapshots than diffs, so
     Spark mostly broadcasts them and leaves the diffs where they are.
     """
-    diffs = segments.filter(~F.col("is_gap")).select(
+    diffs = segments.filter(~F.col("is_gap") & (F.col("first_id") > 0)).select(   # an absent id reads as 0 and covers nothing
         *BOOK, "segment", "first_id", F.col("final_id").alias("sync_id"), (F.col("final_id") + 1).alias("__stop_id"),
         "prev_id", "prev_ms", F.col("recv_ms").alias("sync_ms"))
     asked = snapshots.select(*BOOK, "snapshot_id", "recv_ms")
@@ -371,7 +371,7 @@ def book_of_record(changes: DataFrame, as_of_id: int | None = None, band: float
 
 
 def book_view(book: DataFrame, as_of_ms: int, segments: DataFrame | None = None) -> DataFrame:
-    """Levels with age and per-side counts; bids from the best down, asks from the best up.
+    """Levels with age and per-side counts; ``nearest_first`` is the order to show them in.
 
     ``book`` has ``first_seen_ms`` and ``distance``. With ``segments`` the sync state is added.
     """
@@ -382,4 +382,4 @@ def book_view(book: DataFrame, as_of_ms: int, segments: DataFrame | None = None)
             .withColumn("lifetime_ms", F.lit(as_of_ms) - F.col("first_seen_ms")))
     if segments is not None:
         view = view.join(state_at(segments, as_of_ms).select(*BOOK, "state"), BOOK, "left")
-    return view.orderBy(*BOOK, "side", nearest_first())
+    return view

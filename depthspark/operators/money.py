@@ -11,15 +11,14 @@ DAY_PLAN = "pay_as_you_go"
 
 
 def plan_catalog(plans: DataFrame, prices: DataFrame, currency: str) -> DataFrame:
-    """Active plans with an active price in the currency, by code."""
+    """Active plans with an active price in the currency."""
     code = currency.strip().upper()
     if code not in cur.DECIMALS:
         raise ValueError(f"unsupported currency: {currency}")
     active = prices.filter(F.col("active") & (F.col("currency") == code)).select("code", "amount")
     return (plans.filter("active").join(active, "code")
             .select(*[c for c in plans.columns if c != "active"], "amount",
-                    cur.display_text(F.col("amount"), F.lit(code)).alias("amount_text"))
-            .orderBy("code"))
+                    cur.display_text(F.col("amount"), F.lit(code)).alias("amount_text")))
 
 
 def check_money(requests: DataFrame) -> DataFrame:
@@ -61,10 +60,9 @@ def quote_days(requests: DataFrame, plans: DataFrame, prices: DataFrame, plan_co
 
 
 def plan_admin_view(plans: DataFrame, prices: DataFrame) -> DataFrame:
-    """All plans by code, each with all its prices, active or not."""
+    """All plans, each with all its prices, active or not."""
     listed = prices.groupBy("code").agg(
         F.sort_array(F.collect_list(F.struct("currency", "amount", "active"))).alias("prices"))
     return (plans.join(listed, "code", "left")
             .withColumn("prices", F.coalesce("prices", F.expr(
-                "CAST(array() AS ARRAY<STRUCT<currency:STRING,amount:DECIMAL(38,18),active:BOOLEAN>>)")))
-            .orderBy("code"))
+                "CAST(array() AS ARRAY<STRUCT<currency:STRING,amount:DECIMAL(38,18),active:BOOLEAN>>)"))))

@@ -133,14 +133,13 @@ def usage_report(slices: DataFrame) -> DataFrame:
 
 
 def presence(sessions: DataFrame, as_of_s: int, rules: DataFrame) -> DataFrame:
-    """Users with open sessions, busiest first; ``custom`` marks users with rules."""
+    """Users with open sessions and their number; ``custom`` marks users with rules."""
     open_now = sessions.filter(
         (F.col("opened_s") <= as_of_s) & (F.col("closed_s").isNull() | (F.col("closed_s") > as_of_s)))
     with_rules = rules.select("user_id").distinct().withColumn("custom", F.lit(True))
     return (open_now.groupBy("user_id").agg(F.count("*").alias("sessions"))
             .join(with_rules, "user_id", "left")
-            .withColumn("custom", F.coalesce("custom", F.lit(False)))
-            .orderBy(F.desc("sessions"), "user_id"))
+            .withColumn("custom", F.coalesce("custom", F.lit(False))))
 
 
 def presence_totals(present: DataFrame) -> DataFrame:

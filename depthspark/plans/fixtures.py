@@ -166,6 +166,9 @@ FROM depth_levels
 
 VIEWS["snapshot_raw"] = """
 SELECT symbol, market, recv_ms, CASE WHEN update_id % 7 = 0 THEN '{"code":-1003,"msg":"busy"}'
+    WHEN update_id % 11 = 0 THEN concat('{"lastUpdateId":', CAST(update_id AS STRING), ',"bids":[["900.0","2"],["x","1"]],"asks":[["1000.0","3"]]}')
+    WHEN update_id % 13 = 0 THEN concat('{"lastUpdateId":', CAST(update_id AS STRING), ',"bids":[["900.0","2"]],"asks":[["1000.0","three"]]}')
+    WHEN update_id % 17 = 0 THEN concat('{"lastUpdateId":', CAST(update_id AS STRING), ',"bids":[["900.0","2"]],"asks":"none"}')
     ELSE concat('{"lastUpdateId":', CAST(update_id AS STRING), ',"bids":[["', CAST(CAST(price AS BIGINT) - 40 AS STRING), '.0","',
       CAST(CAST(qty AS BIGINT) AS STRING), '.5"]],"asks":[["', CAST(CAST(price AS BIGINT) + 260 AS STRING), '.0","3"],["2000.0","0"]]}') END AS raw
 FROM depth_levels WHERE update_id % 20 = 1

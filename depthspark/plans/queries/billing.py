@@ -145,7 +145,7 @@ SELECT order_id, seq, CASE WHEN from_status = to_status THEN 'REPEAT' WHEN from_
 FROM status_steps
 """)
 def transition_audit(t: Tables) -> DataFrame:
-    audited = orders.transition_audit(t.status_steps.withColumn("seq", F.col("seq").cast("bigint")), t.width)
+    audited = orders.transition_audit(t.status_steps.withColumn("seq", F.col("seq").cast("bigint")))
     return audited.select("order_id", "seq", "verdict", "chained")
 
 

@@ -233,11 +233,10 @@ def replace_rules(t: Tables) -> DataFrame:
 
 
 @query(f"""
-SELECT {_TIERS} FROM customer_rules r WHERE NOT EXISTS (SELECT 1 FROM customer_requests q WHERE q.tier_no = 1
-  AND q.user_id = r.user_id AND upper(trim(q.symbol)) = r.symbol AND q.market = r.market)
+SELECT {_TIERS} FROM customer_rules r WHERE NOT EXISTS (SELECT 1 FROM customer_requests q WHERE q.user_id = r.user_id AND upper(trim(q.symbol)) = r.symbol AND q.market = r.market)
 """)
 def delete_rules(t: Tables) -> DataFrame:
-    return rules.delete_rules(t.customer_rules, t.customer_requests.filter(F.col("tier_no") == 1))
+    return rules.delete_rules(t.customer_rules, t.customer_requests.select("request_id", "user_id", "symbol", "market").distinct())
 
 
 _TIER_TEXT = ("concat(CAST(tier_no AS STRING), ':', CAST(CAST(min_notional AS BIGINT) AS STRING), ':', "

@@ -84,5 +84,5 @@ def test_history_nests_the_paying_order(spark):
     ledger = spark.createDataFrame([("g1", "u", NOW, "TRIAL", None), ("g2", "u", NOW + DAY, "PURCHASE", "o1")],
                                    "grant_id string, user_id string, granted_at timestamp, source string, order_id string")
     details = spark.createDataFrame([("o1", "PAID")], "order_id string, status string")
-    first, second = access.access_history(ledger, details).collect()
+    first, second = access.access_history(ledger, details).orderBy("user_id", F.desc("granted_at"), F.desc("grant_id")).collect()
     assert first["order"]["status"] == "PAID" and second["order"] is None

@@ -22,7 +22,7 @@ def prices(spark, extra=()):
 
 
 def test_catalogue_leaves_out_inactive_and_unpriced(spark):
-    listed = money.plan_catalog(plans(spark), prices(spark), "uzs")
+    listed = money.plan_catalog(plans(spark), prices(spark), "uzs").orderBy("code")
     assert [(r["code"], r["amount_text"]) for r in listed.collect()] == [
         ("monthly", "150000.00"), ("pay_as_you_go", "8000.00"), ("weekly", "50000.00")]
     assert money.plan_catalog(plans(spark), prices(spark), "USD").count() == 0
@@ -60,7 +60,7 @@ def test_days_round_up_exactly(spark):
 
 
 def test_admin_view_shows_everything(spark):
-    view = {r["code"]: len(r["prices"]) for r in money.plan_admin_view(plans(spark), prices(spark).filter("code <> 'weekly'")).collect()}
+    view = {r["code"]: len(r["prices"]) for r in money.plan_admin_view(plans(spark), prices(spark).filter("code <> 'weekly'")).orderBy("code").collect()}
     assert view == {"monthly": 2, "pay_as_you_go": 1, "weekly": 0, "yearly": 1}
 
 

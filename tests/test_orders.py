@@ -25,7 +25,7 @@ def test_moves(spark):
              ("o", 13, "PAID", "PAID"), ("o", 14, "PAID", "REVERTED"), ("o", 20, "REVERTED", "PAID"), ("x", 2, "CREATED", "PAID"),
              ("x", 3, "PENDING", "PAID")]
     df = spark.createDataFrame(steps, "order_id string, seq bigint, from_status string, to_status string")
-    got = rows(orders.transition_audit(df, 4), "order_id", "seq", "verdict", "chained")
+    got = rows(orders.transition_audit(df), "order_id", "seq", "verdict", "chained")
     assert got == [("o", 1, "LEGAL", True), ("o", 5, "LEGAL", True), ("o", 9, "LEGAL", True), ("o", 12, "LEGAL", True), ("o", 13, "REPEAT", True),
                    ("o", 14, "LEGAL", True), ("o", 20, "ILLEGAL", True), ("x", 2, "ILLEGAL", False), ("x", 3, "LEGAL", False)]
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depthspark.functions import currency as cur
 from depthspark.operators import access, money, orders
+from depthspark.plans import payments
 from depthspark.plans.fixtures import Tables
 from depthspark.plans.queries import query
 from depthspark.plans.queries.access import AS_OF, AS_OF_S as MIDNIGHT_S
@@ -227,6 +230,37 @@ def purchase_grants(t: Tables) -> DataFrame:
     return grants.select("grant_id", "order_id", "user_id", F.unix_seconds("granted_at").alias("at_s"), "source", "paid")
 
 
+def _known(t: Tables) -> DataFrame:
+    return _orders(t).withColumn("granted_seconds", (F.lit(86_400) * (1 + F.col("order_id") % 45)).cast("bigint"))
+
+
+@query(f"""
+SELECT p.order_id, o.status AS from_status, 'PAID' AS to_status, CAST(p.at_s AS BIGINT) AS at_s, p.source
+FROM ({_PLACED}) p JOIN pay_orders o ON p.order_id = o.order_id WHERE p.place = p.granted
+""")
+def applied_history(t: Tables) -> DataFrame:
+    return payments.applied_history(t.success_signals, _known(t))
+
+
+AFTER_S = AS_OF_S + 30 * 86_400
+
+
+@query(f"""
+SELECT u.user_id, CASE WHEN u.role = 'ADMIN' THEN 'ADMIN' WHEN e.expires_s IS NULL OR e.expires_s <= {AFTER_S} THEN 'EXPIRED'
+  WHEN e.has_paid THEN 'ACTIVE' ELSE 'TRIAL' END AS state, CASE WHEN u.role = 'ADMIN' THEN -1 ELSE coalesce(e.expires_s, -1) END AS expires_s
+FROM users u LEFT JOIN (
+  SELECT user_id, CAST(sum(g) + max(at_s - s + g) AS BIGINT) AS expires_s, bool_or(source = 'PURCHASE') AS has_paid FROM (
+    SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY at_s, id ROWS UNBOUNDED PRECEDING) AS s FROM (
+      SELECT concat('old-', CAST(order_id AS STRING)) AS id, user_id, CAST(epoch(granted_at) AS BIGINT) AS at_s, granted_seconds AS g, source FROM grants
+      UNION ALL SELECT concat('order-', CAST(p.order_id AS STRING)), o.user_id, CAST(p.at_s AS BIGINT), CAST(86400 * (1 + p.order_id % 45) AS BIGINT), 'PURCHASE'
+      FROM ({_PLACED}) p JOIN pay_orders o ON p.order_id = o.order_id WHERE p.place = p.granted) a) b GROUP BY 1) e ON u.user_id = e.user_id
+""")
+def access_after_payments(t: Tables) -> DataFrame:
+    ledger = t.grants.withColumn("grant_id", F.concat(F.lit("old-"), F.col("order_id").cast("string")))
+    state = payments.access_after(t.success_signals, _known(t), ledger, t.users, datetime.fromtimestamp(AFTER_S, timezone.utc))
+    return state.select("user_id", "state", F.coalesce(F.unix_seconds("access_expires_at"), F.lit(-1)).alias("expires_s"))
+
+
 _PRICED = "SELECT code, currency, amount_minor FROM plan_prices WHERE active"
 _DECIDED = f"""
 SELECT r.request_id, r.user_id, r.plan_code, r.currency, r.amount_minor, r.request_id = min(r.request_id) OVER (PARTITION BY r.user_id) AS turn, r.kind,

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,9 @@ from depthspark.llm.components import components
 
 WORDS = 5
 PERCENT = 75
-BUCKET_BITS = 18
+BUCKET_BITS = 20
+CHUNK_BITS = 10        # buckets that are summed up together
+TASKS_AT_ONCE = 1_000  # tasks whose counts of a chunk are added in one group
 LOW = np.uint64((1 << 48) - 1)
 SALT_ROWS = 100_000    # postings of one hot shingle in a task
 BLOCK = 2_048          # members of one shingle that a probe meets at once
@@ -65,7 +68,7 @@ def _sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]
 
 
 def sets_and_buckets(docs: DataFrame) -> DataFrame:
-    """Per row ``doc_id, n, node``; per task one more row with its bucket counts."""
+    """Per row ``doc_id, n, node``; per task more rows with its counts of buckets, one per chunk that has any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << BUCKET_BITS, np.int64), set()
         for batch in batches:
@@ -78,14 +81,16 @@ def sets_and_buckets(docs: DataFrame) -> DataFrame:
                         fresh.append((found >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
             if fresh:
                 counts += np.bincount(np.concatenate(fresh), minlength=1 << BUCKET_BITS)
-            empty = pa.nulls(batch.num_rows, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(nodes, pa.int64()), empty, empty], names)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), pa.nulls(1, pa.int64()),
-                                          pa.array([used.tolist()], pa.list_(pa.int64())), pa.array([counts[used].tolist()], pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(nodes, pa.int64()), pa.nulls(batch.num_rows, pa.int64()),
+                                              pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.binary())], names)
+        chunks = counts.reshape(-1, 1 << CHUNK_BITS)
+        used = np.flatnonzero(chunks.any(axis=1))
+        nothing, task = pa.nulls(len(used), pa.int64()), TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([nothing, pa.array(np.full(len(used), -1)), nothing, pa.array(used), pa.array(np.full(len(used), task)),
+                                          pa.array([chunks[c].tobytes() for c in used], pa.binary())], names)
 
-    names = ["doc_id", "n", "node", "buckets", "counts"]
-    return _ready(docs).mapInArrow(run, "doc_id long, n long, node long, buckets array<long>, counts array<long>")
+    names = ["doc_id", "n", "node", "chunk", "task", "counts"]
+    return _ready(docs).mapInArrow(run, "doc_id long, n long, node long, chunk long, task long, counts binary")
 
 
 def _ready(docs: DataFrame) -> DataFrame:
@@ -94,10 +99,19 @@ def _ready(docs: DataFrame) -> DataFrame:
 
 def rarity(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Level of each bucket (15 bits, rising with its count) and in how many parts its shingles are dealt out."""
-    total = (rows.where("n < 0").select(F.explode(F.arrays_zip("buckets", "counts")).alias("x"))
-             .groupBy(F.col("x.buckets").alias("bucket")).agg(F.sum("x.counts").alias("n")).toPandas())
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    counts[total["bucket"]] = total["n"]
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(1 << CHUNK_BITS, np.int64)
+        for counts in group["counts"]:
+            total += np.frombuffer(counts.as_buffer(), np.int64)
+        return pa.table({"chunk": group["chunk"][:1], "task": pa.array([0]), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    parts = rows.where("n < 0").select("chunk", F.floor(F.col("task") / TASKS_AT_ONCE).alias("task"), "counts")
+    for keys in (("chunk", "task"), ("chunk",)):   # first some tasks together, then all
+        parts = parts.groupBy(*keys).applyInArrow(add, "chunk long, task long, counts binary")
+    counts = np.zeros((1 << BUCKET_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.int64)
+    for chunk, _, found in parts.toPandas().itertuples(index=False):
+        counts[chunk] = np.frombuffer(found, np.int64)
+    counts = counts.reshape(-1)
     level = np.minimum(1024 * np.log2(1.0 + counts), 32767).astype(np.uint64) << np.uint64(48)
     deal = np.where(counts > 4 * counts.mean(), counts // SALT_ROWS + 1, 1)
     return level, deal

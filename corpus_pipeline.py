@@ -18,6 +18,7 @@ from depthspark.llm.pitman_yor import remainder
 from depthspark.llm.token_files import token_digest, write_tokens
 
 LEAST_QUALITY = 0.3
+WORDS_KEPT = 200_000   # workers live through all stages, so each keeps less than the writer alone would
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = new_path(tune(spark), "tokens")
-    write_tokens(docs, path)
+    write_tokens(docs, path, cache=WORDS_KEPT)
     return token_digest(spark, path)
 
 

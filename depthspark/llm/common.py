@@ -6,6 +6,7 @@ polynomial prefix sum over the bytes gives the hash of every word at once, so no
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 4 << 20   # text handled at once in a task; one longer document is handled alone
+SLICE_BYTES = 2 << 20   # text handled at once in a task; one longer document is handled alone
 
 
 # Batches between the JVM and Python are cut by bytes too, so that long texts do not make them large.
@@ -111,6 +112,15 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
         yield start, min(end, rows)
         start = min(end, rows)
+    release_memory()
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the machine, as workers live on between stages. Without glibc it does nothing."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 class Words:

@@ -38,7 +38,7 @@ _RUN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _ODD = re.compile(r"[^\S \n]")
 _MAY_BE_ODD = np.zeros(256, bool)   # first bytes of all white space but blank and line feed; and NUL
 _MAY_BE_ODD[[0, 9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -51,8 +51,8 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids of texts as little-endian 32-bit integers, by a tokenizers model."""
 
-    def __init__(self, model: str):
-        self.tool = load(model)
+    def __init__(self, model: str, cache: int = CACHE):
+        self.tool, self.cache = load(model), cache
         rules = json.loads(self.tool.to_str())
         split = rules["pre_tokenizer"] or {}
         self.by_words = (split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
@@ -64,7 +64,7 @@ class Encoder:
         self.hot: dict[str, bytes] = {"": b""}
 
     def _keep(self, text: str, ids: bytes) -> bytes:
-        if len(self.known) < CACHE and len(text) < 40:
+        if len(self.known) < self.cache and len(text) < 40:
             self.known[text] = ids
             if len(self.hot) < HOT:
                 self.hot[text] = ids
@@ -113,10 +113,10 @@ class Encoder:
         return out
 
 
-def encode(model: str, column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+def encode(model: str, column: pa.Array, cache: int = CACHE) -> Iterator[tuple[int, int, list[bytes]]]:
     """For slices of the column: first row, row behind the last, ids of each text."""
-    if model not in _encoders:
-        _encoders[model] = Encoder(model)
+    if (model, cache) not in _encoders:
+        _encoders[model, cache] = Encoder(model, cache)
     for start, end in slices(column, 2 << 20):
         part = column.slice(start, end - start)
         data, offsets = text_buffers(part)
@@ -124,18 +124,18 @@ def encode(model: str, column: pa.Array) -> Iterator[tuple[int, int, list[bytes]
         odd = np.flatnonzero(_MAY_BE_ODD[data])
         two = np.flatnonzero(blank[:-1] & blank[1:])   # also where one text ends and the next begins, which does no harm
         none = lambda places: np.searchsorted(places, offsets[1:]) == np.searchsorted(places, offsets[:-1])
-        yield start, end, _encoders[model].encode([t or "" for t in part.to_pylist()], (none(odd) & none(two)).tolist())
+        yield start, end, _encoders[model, cache].encode([t or "" for t in part.to_pylist()], (none(odd) & none(two)).tolist())
 
 
-def write_tokens(docs: DataFrame, path: str, model: str = "byte_bpe_50k.json", end_id: int = 2) -> None:
+def write_tokens(docs: DataFrame, path: str, model: str = "byte_bpe_50k.json", end_id: int = 2, cache: int = CACHE) -> None:
     """Writes ``part, row, doc_id, ids`` as ORC; rows ascend by doc_id (null first), then text, over files and in them.
 
-    A null text counts as empty and holds the end id alone. Repeated rows are all written, other columns are not.
+    ``cache`` bounds the words whose ids a worker keeps, which takes some 200 bytes each. A null text counts as empty and holds the end id alone. Repeated rows are all written, other columns are not.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for start, end, ids in encode(model, batch.column(1)):
+            for start, end, ids in encode(model, batch.column(1), cache):
                 ends = np.cumsum([len(x) // 4 + 1 for x in ids])
                 flat = np.frombuffer(b"".join(x + np.uint32(end_id).tobytes() for x in ids), "<i4")
                 n = end - start

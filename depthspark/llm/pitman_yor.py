@@ -1,19 +1,22 @@
 """Language-model scores from a hierarchical Pitman-Yor model of words in context.
 
-The vocabulary is open. The ``contexts`` most frequent training words are classes of their own, every other word belongs to
-one class *other*, and the end of a text is a class. Each class (and the start) is a context with a restaurant whose dishes
-are classes; all of them share one parent restaurant over classes, whose base is uniform. A word of the class *other* is
-then drawn from a restaurant of its own over all rarer words, with one share of its base for words never seen. So every
-training token of every document is a customer, and the probabilities of all words and the end add up to one.
+The vocabulary is open. Every training word, and the start of a text, is a context with a restaurant of its own, whose dishes
+are all words that followed it in any training document, and the end. All of these share one parent restaurant over words,
+whose base is uniform over the words seen and one share for words never seen. So every pair of neighbours in every training
+document is a customer, and the probabilities of all words, the unseen one and the end add up to one in every context.
 
 Seats are sampled by Gibbs sweeps: given the parent's probabilities and a restaurant's tables in the sweep before, the
 customers of each dish sit down anew, one after the other (those behind the 64th in blocks of 1/32 of who sits already, with
 the normal form of the binomial). The tables become the customers of the parent. Predictive probabilities are averaged over
 the sweeps after ``burn_in``. Random numbers are hashes of word, context and sweep, so reruns and repeated tasks agree.
 
-Counting is distributed: word counts and restaurants are grouped by key, each sweep is a job, and only sums and tables
-of fixed size (``contexts``, ``frequent``) reach the driver. Scoring looks frequent words up in a broadcast table of
-``frequent`` rows; all other words of a document are joined with the full word table.
+Pairs are counted with a shuffle and kept as one row each, so a hot context is many rows; tables are summed per context and
+per word. Each sweep is a job, and the history of a word (its tables as a context, its customers and tables in the parent) is
+a row of a stored table. That of the ``frequent`` most frequent words is broadcast, that of others is joined. In scoring the
+scores of the ``contexts * contexts`` most frequent pairs are broadcast as a cache, and all other pairs of a text are joined
+with the table of pairs; both give the same score. Only sums and these two tables of fixed size reach the driver.
+
+``context_model`` and ``other_words`` are the model over classes of words; ``score_documents`` does not use them.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from depthspark.llm.common import END_HASH, Words, mix, slices, store
 
@@ -262,37 +266,219 @@ def other_words(words: DataFrame, classes: Classes, sweeps: int = SWEEPS, burn_i
     return words.mapInArrow(predict, "word long, n long, log10 double"), float(np.log10(unseen))
 
 
+def neighbours(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Context and word of every token as hashes; END_HASH is the end as a word and the start as a context."""
+    h = words.hashes.view(np.int64)
+    word = np.insert(h, words.bounds[1:], END_HASH)
+    context = np.roll(word, 1)
+    context[words.bounds[:-1] + np.arange(len(words.bounds) - 1)] = END_HASH
+    return context, word
+
+
+def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return _keys(word, context)
+
+
+class Frequent:
+    """The sorted hashes of the frequent words and the start or end, which no join is made for."""
+
+    def __init__(self, words: np.ndarray):
+        self.sorted = np.unique(np.append(words.astype(np.int64), END_HASH))
+
+    def at(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return at, self.sorted[at] == hashes
+
+    def both(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return self.at(context)[1] & self.at(word)[1]
+
+
+def pair_counts(docs: DataFrame, frequent: Frequent) -> DataFrame:
+    """``context, word, n, rare`` over all tokens; ``rare`` where one of the two is not frequent."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            context, word = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, first, n = np.unique(pair_key(context, word), return_index=True, return_counts=True)
+            order = np.argsort(context[first])   # neighbours of one context compress well
+            context, word = context[first][order], word[first][order]
+            return pa.RecordBatch.from_arrays([pa.array(context), pa.array(word), pa.array(n[order]), pa.array(~frequent.both(context, word))],
+                                              ["context", "word", "n", "rare"])
+
+        for batch in batches:
+            for _, words in _slices_of_words(batch.column(0)):
+                held.append(neighbours(words))
+                size += len(held[-1][0])
+                if size >= FLUSH_WORDS:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    return _texts(docs).mapInArrow(run, "context long, word long, n long, rare boolean").groupBy("context", "word", "rare").agg(F.sum("n").alias("n"))
+
+
+class Back:
+    """What is known of words at some sweeps: customers and tables as a context, customers and tables in the parent restaurant.
+
+    ``rows`` holds it for the frequent words, one row per word: [n, tables...], [customers...], [tables in the parent...].
+    ``sums`` has the parent's customers and tables of each of those sweeps.
+    """
+
+    def __init__(self, frequent: Frequent, known: pa.Table, sums: list[tuple[int, int]], types: int, discount: float, parent_discount: float, strength: float):
+        self.frequent, self.discount, self.parent_discount, self.strength, self.types = frequent, discount, parent_discount, strength, types
+        self.customers, self.tables = (np.array(x, float) for x in zip(*sums, strict=True))
+        at, _ = frequent.at(known["word"].to_numpy())
+        self.rows = []
+        for name, width in (("t", len(sums) + 1), ("c", len(sums)), ("r", len(sums))):
+            out = np.zeros((len(frequent.sorted), width))
+            if len(at):
+                out[at] = known[name].combine_chunks().flatten().to_numpy().reshape(-1, width)
+            self.rows.append(out)
+
+    def _values(self, which: int, hashes: np.ndarray, joined: pa.Array | None) -> np.ndarray:
+        out = np.zeros((len(hashes), self.rows[which].shape[1]))
+        if joined is not None and joined.null_count < len(joined):
+            out[joined.is_valid().to_numpy(zero_copy_only=False)] = joined.flatten().to_numpy().reshape(-1, out.shape[1])
+        at, found = self.frequent.at(hashes)
+        out[found] = self.rows[which][at[found]]
+        return out
+
+    def of(self, context: np.ndarray, word: np.ndarray, joined: tuple[pa.Array, ...] = (None, None, None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Customers of the context; per sweep its tables and the parent's probability of the word."""
+        t, c, r = (self._values(k, h, j) for k, (h, j) in enumerate(zip((context, word, word), joined, strict=True)))
+        parent = (c - self.parent_discount * r + (self.strength + self.parent_discount * self.tables) / (self.types + 1)) / (self.strength + self.customers)
+        return t[:, 0], t[:, 1:], parent
+
+    def seats(self, context: np.ndarray, word: np.ndarray, n: np.ndarray, tables: np.ndarray, parent: np.ndarray, sweep: int) -> np.ndarray:
+        return seat(n, (self.strength + self.discount * tables) * parent, self.discount, _keys(word, context, sweep))
+
+    def log10(self, context: np.ndarray, word: np.ndarray, n: np.ndarray, first_sweep: int, joined: tuple[pa.Array, ...] = (None, None, None)) -> np.ndarray:
+        """Of the mean probability of the word in the context, in which it was seen ``n`` times, over the sweeps from ``first_sweep``."""
+        total, tables, parent = self.of(context, word, joined)
+        mean, count = np.zeros(len(n)), tables.shape[1] - 1
+        for s in range(count):
+            own = self.seats(context, word, n, tables[:, s], parent[:, s], first_sweep + s)
+            mean += n - self.discount * own + (self.strength + self.discount * tables[:, s + 1]) * parent[:, s + 1]
+        return np.log10(mean / count / (self.strength + total))
+
+
+def _with_rare(rows: DataFrame, state: DataFrame, frequent: Frequent, least: int, last: int) -> DataFrame:
+    """``rows`` with context and word, and ``t, c, r`` of those that are not frequent, from the ``last`` sweeps of ``state``.
+
+    A frequent one's key is dealt at random, so that no key of the joins is hot; its values are in the broadcast part.
+    """
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, word = batch.column("context").to_numpy(), batch.column("word").to_numpy()
+            dealt = _keys(word, context, len(context) + np.arange(len(context))).view(np.int64)
+            keys = [pa.array(np.where(frequent.at(h)[1], dealt, h)) for h in (context, word)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *keys], [*batch.schema.names, "ck", "wk"])
+
+    rows = rows.mapInArrow(deal, StructType([*rows.schema.fields, StructField("ck", LongType()), StructField("wk", LongType())]))
+    known = _last(state.where((F.col("n") < least) & (F.col("word") != int(END_HASH))), last)
+    return (rows.join(known.select(F.col("word").alias("ck"), "t"), "ck", "left")
+            .join(known.select(F.col("word").alias("wk"), "c", "r"), "wk", "left").drop("ck", "wk"))
+
+
+def _last(state: DataFrame, last: int) -> DataFrame:
+    return state.select("word", F.concat(F.array("n"), F.slice("t", -last, last)).alias("t"), F.slice("c", -last, last).alias("c"), F.slice("r", -last, last).alias("r"))
+
+
+class Restaurants:
+    """The fitted model: pairs with their counts, words with their history over the sweeps, and what is broadcast of them."""
+
+    def __init__(self, docs: DataFrame, words: DataFrame, frequent: Frequent, least: int, types: int, sweeps: int, burn_in: int, strength: float = STRENGTH):
+        self.frequent, self.least, self.types, self.burn_in, self.strength = frequent, least, types, burn_in, strength
+        self.pairs = store(pair_counts(docs, frequent), "pairs")
+        spread = self.pairs.agg(*(F.sum((F.col("n") == k).cast("long")) for k in (1, 2))).first()
+        self.discount = _discount(spread[0] or 0, spread[1] or 0)
+        # Pairs seen once have one table in every sweep; only the others are seated anew.
+        once, all_ = F.sum((F.col("n") == 1).cast("long")), F.count("*")
+        as_context = self.pairs.groupBy(F.col("context").alias("word")).agg(once.alias("t1"), all_.alias("t0"))
+        as_word = self.pairs.groupBy("word").agg(once.alias("c1"), all_.alias("c0"))
+        start = store(words.join(as_context, "word", "left").join(as_word, "word", "left").na.fill(0), "start")
+        spread = start.agg(*(F.sum((F.col("c0") == k).cast("long")) for k in (1, 2))).first()
+        self.parent_discount, self.sums = _discount(spread[0] or 0, spread[1] or 0), []
+        self.state = self._parent(start.select("word", "n", "t1", "c1", *(F.array().cast("array<long>").alias(x) for x in "tcr"), F.col("t0").alias("nt"), F.col("c0").alias("nc")), -1, types)
+        many = self.pairs.where("n > 1").select("context", "word", "n", "rare")
+        for sweep in range(sweeps):
+            back = docs.sparkSession.sparkContext.broadcast(self.back(1))
+            both = self._sit(many.where("not rare"), back, sweep)
+            one = self._sit(_with_rare(many.where("rare"), self.state, frequent, least, 1), back, sweep)
+            sat = both.unionByName(one).groupBy("word").agg(F.sum("as_context").alias("as_context"), F.sum("as_word").alias("as_word"))
+            zero = lambda c: F.coalesce(c, F.lit(0))
+            self.state = self._parent(self.state.join(sat, "word", "left").select(
+                "word", "n", "t1", "c1", "t", "c", "r", (F.col("t1") + zero("as_context")).alias("nt"), (F.col("c1") + zero("as_word")).alias("nc")), sweep, self.sums[-1][1])
+
+    def back(self, last: int) -> Back:
+        some = _last(self.state.where((F.col("n") >= self.least) | (F.col("word") == int(END_HASH))), last).toArrow()
+        return Back(self.frequent, some, self.sums[-last:], self.types, self.discount, self.parent_discount, self.strength)
+
+    def _sit(self, rows: DataFrame, back, sweep: int) -> DataFrame:
+        """``word, as_context, as_word``: new tables of the pairs, for their contexts and for their words."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                context, word, n = (batch.column(c).to_numpy() for c in ("context", "word", "n"))
+                joined = tuple(batch.column(c) for c in "tcr") if "t" in batch.schema.names else (None, None, None)
+                _, tables, parent = back.value.of(context, word, joined)
+                own = back.value.seats(context, word, n, tables[:, 0], parent[:, 0], sweep)
+                words, at = np.unique(np.concatenate([context, word]), return_inverse=True)
+                sums = [np.bincount(part, own, len(words)).astype(np.int64) for part in (at[:len(own)], at[len(own):])]
+                yield pa.RecordBatch.from_arrays([pa.array(words), *map(pa.array, sums)], ["word", "as_context", "as_word"])
+        return rows.mapInArrow(run, "word long, as_context long, as_word long")
+
+    def _parent(self, rows: DataFrame, sweep: int, before: int) -> DataFrame:
+        """Seats the new customers ``nc`` of every word in the parent restaurant and appends this sweep to the history."""
+        discount, share = self.parent_discount, (self.strength + self.parent_discount * before) / (self.types + 1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                c = batch.column("nc").to_numpy()
+                tables = seat(c, np.full(len(c), share), discount, _keys(batch.column("word").to_numpy(), sweep, 2))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tables)], [*batch.schema.names, "nr"])
+
+        longer = lambda x: F.concat(x, F.array(f"n{x}")).alias(x)
+        out = store(rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("nr", LongType())])).select("word", "n", "t1", "c1", *map(longer, "tcr")), "state")
+        totals = out.agg(F.sum(F.element_at("c", -1)), F.sum(F.element_at("r", -1))).first()
+        self.sums.append((totals[0] or 0, totals[1] or 0))
+        return out
+
+
 class _Scorer:
-    """Broadcast part of the model: class matrix, and the frequent words with their counts."""
+    """Broadcast part of the model: counts of the frequent words, and the scores of the most frequent pairs."""
 
-    def __init__(self, classes: Classes, matrix: np.ndarray, words: np.ndarray, n: np.ndarray, log10: np.ndarray, norm: float, ends: int):
-        order = np.argsort(words)
-        self.classes, self.matrix, self.norm, self.ends = classes, matrix, norm, ends
-        self.words, self.n, self.log10 = words[order], n[order], log10[order]
+    def __init__(self, frequent: Frequent, known: pa.Table, keys: np.ndarray, log10: np.ndarray, norm: float, ends: int):
+        order, place = np.argsort(keys), np.argsort(known["word"].to_numpy())
+        self.keys, self.log10, self.frequent, self.norm, self.ends = keys[order], log10[order], frequent, norm, ends
+        self.words, self.n = known["word"].to_numpy()[place], known["n"].to_numpy()[place]
 
     def score(self, words: Words) -> tuple[np.ndarray, ...]:
-        """Per document: tokens, known, base and model sums over frequent words; words to look up, as (document, word)."""
+        """Per document: tokens, known, base and model sums over what is broadcast; then the words and the pairs to look up,
+        each with its document."""
         h, docs = words.hashes.view(np.int64), len(words.bounds) - 1
-        context, dish, _ = self.classes.pairs(words)
-        model = self.matrix[context, dish].astype(np.float64)
+        context, word = neighbours(words)
+        key, model, cached = pair_key(context, word), np.zeros(len(word)), np.zeros(len(word), bool)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            cached = self.keys[at] == key
+            model[cached] = self.log10[at[cached]]
+        found, base = np.zeros(len(h), bool), np.zeros(len(h))
         if len(self.words):
             at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
             found = self.words[at] == h
             base = np.where(found, np.log10((self.n[at] + 0.5) / self.norm), 0.0)
-            rest = np.where(found & (self.classes.of(h) == self.classes.other), self.log10[at], 0.0)
-        else:
-            found, base, rest = np.zeros(len(h), bool), np.zeros(len(h)), np.zeros(len(h))
 
         def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             out = np.add.reduceat(np.append(values, 0), bounds[:-1]) if docs else np.zeros(0)
             return np.where(bounds[1:] > bounds[:-1], out, 0)
 
         end = np.log10((self.ends + 0.5) / self.norm)
-        tokens = np.diff(words.bounds) + 1
         with_ends = words.bounds + np.arange(docs + 1)
-        owner = np.repeat(np.arange(docs), np.diff(words.bounds))
-        return (tokens, sums(found.astype(np.int64), words.bounds) + (self.ends > 0), sums(base, words.bounds) + end,
-                sums(model, with_ends) + sums(rest, words.bounds), owner[~found], h[~found])
+        owner, owner_of_pair = np.repeat(np.arange(docs), np.diff(words.bounds)), np.repeat(np.arange(docs), np.diff(with_ends))
+        return (np.diff(with_ends), sums(found.astype(np.int64), words.bounds) + (self.ends > 0), sums(base, words.bounds) + end, sums(model, with_ends),
+                (owner[~found], h[~found]), (owner_of_pair[~cached], context[~cached], word[~cached]))
 
 
 def score_documents(docs: DataFrame, training: Column, contexts: int = CONTEXTS, frequent: int = FREQUENT,
@@ -308,34 +494,55 @@ def score_documents(docs: DataFrame, training: Column, contexts: int = CONTEXTS,
     n_all, n_types = words.agg(F.sum("n"), F.count("*")).first()
     n_all = n_all or 0
     norm = n_all + 0.5 * (n_types + 1)
-    top = most_frequent(words, contexts).toPandas()
-    classes = Classes(top["word"].to_numpy(np.int64))
+    top = most_frequent(words, frequent).toArrow()
+    least = min(top["n"].to_pylist(), default=1 << 62)
     ends = (words.where(F.col("word") == int(END_HASH)).first() or (0, 0))[1]
-    matrix = context_model(class_pairs(learn, classes), classes, sweeps, burn_in)
-    known, unseen = other_words(words, classes, sweeps, burn_in)
-    known = store(known, "known")
-    top = most_frequent(known, frequent).toPandas()
-    scorer = spark.sparkContext.broadcast(_Scorer(classes, matrix, *(top[c].to_numpy() for c in ("word", "n", "log10")), norm, ends))
+    some = Frequent(top["word"].to_numpy())
+    model = Restaurants(learn, words, some, least, n_types, sweeps, burn_in)
+    back = spark.sparkContext.broadcast(model.back(sweeps - burn_in + 1))
+
+    def judge(rows: DataFrame, keep: str, kind: str) -> DataFrame:
+        """``keep`` and the logarithm of the probability of each pair; n is null where it was not seen."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                context, word, n = batch.column("context").to_numpy(), batch.column("word").to_numpy(), batch.column("n").fill_null(0).to_numpy()
+                joined = tuple(batch.column(c) for c in "tcr") if "t" in batch.schema.names else (None, None, None)
+                kept = pa.array(pair_key(context, word).view(np.int64)) if keep == "key" else batch.column(keep)
+                yield pa.RecordBatch.from_arrays([kept, pa.array(back.value.log10(context, word, n, burn_in, joined))], [keep, "log10"])
+        return rows.mapInArrow(run, f"{keep} {kind}, log10 double")
+
+    def judged(rows: DataFrame, keep: str, kind: str) -> DataFrame:
+        rare = _with_rare(rows.where("rare").drop("rare"), model.state, some, least, sweeps - burn_in + 1)
+        return judge(rows.where("not rare").drop("rare"), keep, kind).unionByName(judge(rare, keep, kind))
+
+    often = most_frequent(model.pairs.where("n > 1"), contexts * contexts)
+    cache = judged(often.select("context", "word", "n", "rare"), "key", "long").toArrow()
+    scorer = spark.sparkContext.broadcast(_Scorer(some, top, cache["key"].to_numpy().view(np.uint64), cache["log10"].to_numpy(), norm, ends))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for start, part in _slices_of_words(batch.column(0)):
-                tokens, n_known, base, model, owner, lost = scorer.value.score(part)
+                tokens, n_known, base, score, (owner, lost), (owner_of_pair, context, word) = scorer.value.score(part)
                 n = len(tokens)
-                ends = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
+                cut = lambda owner: pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32))  # noqa: B023, E731
+                at = cut(owner_of_pair)
+                rare = pa.array(~some.both(context, word))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(row, row + n)), batch.column(1).slice(start, n), batch.column(2).slice(start, n), pa.array(tokens.astype(np.int64)),
-                    pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(model), pa.ListArray.from_arrays(pa.array(ends), pa.array(lost))],
-                    ["row", "doc_id", "learned", "n_tokens", "n_known", "base", "model", "rest"])
+                    pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score), pa.ListArray.from_arrays(cut(owner), pa.array(lost)),
+                    pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(context), pa.array(word), rare], ["context", "word", "rare"]))],
+                    ["row", "doc_id", "learned", "n_tokens", "n_known", "base", "model", "rest", "pairs"])
                 row += n
 
     scored = store(_texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("learned")).mapInArrow(
-        run, "row long, doc_id long, learned boolean, n_tokens long, n_known long, base double, model double, rest array<long>"), "scored")
-    looked_up = scored.select("row", F.explode("rest").alias("word")).join(known, "word", "left").groupBy("row").agg(
-        F.sum(F.col("n").isNotNull().cast("long")).alias("k"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / norm)).alias("b"),
-        F.sum(F.coalesce("log10", F.lit(unseen))).alias("m"))
-    out = scored.drop("rest").join(looked_up, "row", "left")
+        run, "row long, doc_id long, learned boolean, n_tokens long, n_known long, base double, model double, rest array<long>, "
+             "pairs array<struct<context: long, word: long, rare: boolean>>"), "scored")
+    looked_up = scored.select("row", F.explode("rest").alias("word")).join(words, "word", "left").groupBy("row").agg(
+        F.sum(F.col("n").isNotNull().cast("long")).alias("k"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / norm)).alias("b"))
+    asked = scored.select("row", F.explode("pairs").alias("p")).select("row", "p.*")
+    in_pairs = judged(asked.join(model.pairs, ["context", "word", "rare"], "left"), "row", "long").groupBy("row").agg(F.sum("log10").alias("m"))
+    out = scored.drop("rest", "pairs").join(looked_up, "row", "left").join(in_pairs, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return (out.withColumn("score", F.col("model") + zero("m")).select(
         "doc_id", "learned", "n_tokens", (F.col("n_known") + zero("k")).alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),

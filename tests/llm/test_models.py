@@ -282,3 +282,35 @@ def test_query_runs(spark, name):
     want = spark.read.parquet(f"{SMALL}/{'embeddings' if 'multi_index' in name else 'documents'}.parquet").count()
     assert df.count() == want or "decontaminate" in name
     assert name not in llm_sql() or llm_sql()[name]
+
+
+def test_language_model_learns_pairs_of_rare_words(spark):
+    """Rare words that always follow each other: their pairs count however few words are frequent or cached."""
+    rows = [(i, f"{prose(i, 30)} left{i % 25} right{i % 25}", "en", "a") for i in range(100)]
+    rows += [(200 + i, f"left{i} right{i}", "en", "a") for i in range(25)] + [(300 + i, f"left{i} right{(i + 1) % 25}", "en", "a") for i in range(25)]
+    def score(contexts, frequent):
+        got = pitman_yor.score_documents(table(spark, rows), F.col("doc_id") < 200, contexts=contexts, frequent=frequent, sweeps=3, burn_in=1)
+        return {r.doc_id: r.score for r in got.collect()}
+    few = score(2, 3)
+    assert all(few[200 + i] > few[300 + i] + 1.5 for i in range(25))
+    many = score(40, 5000)
+    assert few.keys() == many.keys() and all(math.isclose(few[i], many[i], rel_tol=1e-9) for i in few)
+
+
+def test_language_model_over_pairs_adds_up_to_one(spark):
+    docs = table(spark, [(i, prose(i % 9, 25) + " a b a b", "en", "a") for i in range(20)])
+    counted = store(pitman_yor.word_counts(docs), "words")
+    top = pitman_yor.most_frequent(counted, 6).toPandas()
+    model = pitman_yor.Restaurants(docs, counted, pitman_yor.Frequent(top["word"].to_numpy()), int(top["n"].min()), counted.count(), 3, 1)
+    state = {r.word: r for r in model.state.collect()}
+    pairs = {(r.context, r.word): r.n for r in model.pairs.collect()}
+    every = pitman_yor.Frequent(np.array(list(state)))
+    known = pitman_yor._last(model.state, 3).toArrow()
+    back = pitman_yor.Back(every, known, model.sums[-3:], len(state), model.discount, model.parent_discount, model.strength)
+    word = np.array([*state, 12345], np.int64)
+    for context in [*list(state)[:12], -1, 12345]:
+        n = np.array([pairs.get((context, w), 0) for w in word.tolist()])
+        assert n.sum() == (state[context].n if context in state else 0)
+        assert math.isclose((10.0 ** back.log10(np.full(len(word), context), word, n, 1)).sum(), 1, rel_tol=1e-9)
+    for s in range(4):
+        assert sum(r.c[s] for r in state.values()) == sum(r.t[s] for r in state.values()) == model.sums[s][0]

@@ -33,7 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_leaks(docs, tune(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without_leaks(docs, tune(spark).read.parquet(f"{sf_dir}/benchmark.parquet"), answer_share=None)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

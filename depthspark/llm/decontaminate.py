@@ -7,8 +7,10 @@ of the index, so an item lies whole in one of them.
 
 Three bounds, each exact: the sum of the words' largest weights in the index, then that of their largest weights per block of
 items (both for a whole slice of documents at once), then the walk over the postings of what is left (``Index.walk``), which
-scores an item only if the block maxima of its lists reach the threshold. Retrieved items are verified: enough of the
-five-word runs of their question and of the short runs of their answer must stand in the passage.
+scores an item only if the block maxima of its lists reach the threshold. Retrieved items are verified. Where an item has an
+answer, enough of the five-word runs of its question and of the short runs of its answer must stand in the passage. An item
+that is one text needs enough of the runs of the whole text, or one verbatim stretch of half its words, wherever that lies;
+its weights are raised in retrieval so far that every such stretch reaches the threshold.
 
 The index is broadcast in parts of at most ``PART_WORDS`` words of items, so its size does not follow the benchmark's.
 """
@@ -45,13 +47,44 @@ def runs(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(mix(out))
 
 
+def _runs_in_order(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words, one per place; of all words together where there are fewer."""
+    size = min(size, len(words))
+    out = np.zeros(len(words) - size + 1 if size else 0, np.uint64)
+    for k in range(size):
+        out += words[k:len(out) + k] * _STEP[k]
+    return mix(out)
+
+
+def _half(n: int) -> int:
+    return -(-n // 2)
+
+
+def _least_half(text: np.ndarray, words: np.ndarray, weight: np.ndarray) -> float:
+    """The least weight of the distinct words of any stretch of half the text."""
+    at, size = np.searchsorted(words, text), _half(len(text))
+    held, total, least = np.zeros(len(words), int), 0.0, np.inf
+    for k, t in enumerate(at.tolist()):
+        held[t] += 1
+        total += weight[t] if held[t] == 1 else 0.0
+        if k >= size:
+            gone = at[k - size]
+            held[gone] -= 1
+            total -= weight[gone] if held[gone] == 0 else 0.0
+        if k >= size - 1:
+            least = min(least, total)
+    return max(float(least), 1e-6)
+
+
 class Index:
     """Inverted index over ``items``: (id, hashes of the words of the question, those of the answer)."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], question_run: int = 5, answer_run: int = 3):
+    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], question_run: int = 5, answer_run: int = 3, threshold: float = 0.5):
         self.ids = [i for i, _, _ in items]
         self.runs = [(runs(q, question_run), runs(a, answer_run), question_run, min(answer_run, len(a)), min(question_run, len(q))) for _, q, a in items]
         texts = [np.concatenate([q, a]) for _, q, a in items]
+        self.in_order = [None if len(a) else _runs_in_order(q, question_run) for _, q, a in items]
+        self.raised = np.ones(len(items))
         self.stretch = max([LEAST_STRETCH, *map(len, texts)])
         self.per_block = max(1, -(-len(items) // BLOCKS))
         lengths = np.array([len(t) for t in texts], float)
@@ -65,6 +98,9 @@ class Index:
             at = np.searchsorted(self.terms, words)
             weight = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[i] / mean))
             weight = weight / weight.sum() if len(weight) else weight
+            if self.in_order[i] is not None:
+                self.raised[i] = max(1.0, threshold / _least_half(texts[i], words, weight) * 1.0001)   # the bounds are sums of single precision
+                weight = weight * self.raised[i]
             for t, w in zip(at.tolist(), weight.tolist(), strict=True):
                 found[t].append((i, w))
             block = i // self.per_block
@@ -148,6 +184,13 @@ class Index:
         share = lambda wanted, size: float(np.isin(wanted, runs(words, size)).mean()) if len(wanted) and len(words) >= size else float(not len(wanted))
         return share(question, question_run), share(answer, answer_run)
 
+    def half_stands(self, item: int, words: np.ndarray) -> bool:
+        """Whether a verbatim stretch of half the words of an item that is one text stands in the words."""
+        wanted, question_run = self.in_order[item], self.runs[item][4]
+        need = max(1, _half(len(wanted) + question_run - 1) - question_run + 1)
+        there = np.isin(wanted, runs(words, question_run)) if len(words) >= question_run else np.zeros(len(wanted), bool)
+        gaps = np.flatnonzero(np.concatenate([[True], ~there, [True]]))
+        return int(np.diff(gaps).max()) - 1 >= need
 
     def hits(self, texts: pa.Array, threshold: float, question: float, answer: float) -> Iterator[tuple[int, tuple[int, float, float, float]]]:
         """Row and (item id, score, overlaps) of every retrieved item that is verified, passage by passage."""
@@ -156,8 +199,8 @@ class Index:
             for doc, a, b, found in self.search(words, threshold):
                 for item, score in found:
                     q, s = self.overlap(item, words.hashes[a:b])
-                    if q >= question and s >= answer:
-                        yield start + doc, (self.ids[item], score, q, s)
+                    if (q >= question and s >= answer) or (self.in_order[item] is not None and self.half_stands(item, words.hashes[a:b])):
+                        yield start + doc, (self.ids[item], score / self.raised[item], q, s)
 
 
 def split_item(text: str | None, answer_share: float = 0.25) -> tuple[np.ndarray, np.ndarray]:
@@ -167,25 +210,34 @@ def split_item(text: str | None, answer_share: float = 0.25) -> tuple[np.ndarray
     return hashes[:cut], hashes[cut:]
 
 
-def indexes(items: DataFrame, part_words: int = PART_WORDS) -> Iterator[Index]:
-    """Indexes over parts of the items (item_id, text), one part in memory at a time. Items without words are left out."""
+def indexes(items: DataFrame, part_words: int = PART_WORDS, answer_share: float | None = 0.25, threshold: float = 0.5) -> Iterator[Index]:
+    """Indexes over parts of the items (item_id, text), one part in memory at a time. Items without words are left out.
+
+    The answer is the column ``answer`` where the items have one, else the last ``answer_share`` of the text's words, or with None
+    there is none and the text is verified as a whole.
+    """
     part, size = [], 0
-    for item, text in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator():
-        question, answer = split_item(text)
+    own = "answer" in items.columns
+    columns = [F.col("item_id").cast("long"), F.col("text").cast("string"), (F.col("answer") if own else F.lit(None)).cast("string").alias("answer")]
+    for item, text, told in items.select(*columns).orderBy("item_id", "text", "answer").toLocalIterator():
+        question, answer = split_item(text, 0.0 if own or answer_share is None else answer_share)
+        if own:
+            answer = split_item(told, 0.0)[0]
         if len(question) + len(answer):
             part.append((item, question, answer))
             size += len(question) + len(answer)
         if size >= part_words:
-            yield Index(part)
+            yield Index(part, threshold=threshold)
             part, size = [], 0
     if part:
-        yield Index(part)
+        yield Index(part, threshold=threshold)
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5,
+          answer_share: float | None = 0.25) -> DataFrame:
     """``doc_id, item_id, score, question_overlap, answer_overlap``: the best passage per document and item that leaked.
 
-    Null and empty texts and items match nothing; a null id is kept as null. Repeated documents with one id are one group. An
+    See ``indexes`` for ``answer_share``. Null and empty texts and items match nothing; a null id is kept as null. Repeated documents with one id are one group. An
     empty table on either side gives no rows.
     """
     spark, out = docs.sparkSession, None
@@ -202,7 +254,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, question: f
                                                  ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
         return run
 
-    for index in indexes(items):
+    for index in indexes(items, PART_WORDS, answer_share, threshold):
         found = ready.mapInArrow(searcher(spark.sparkContext.broadcast(index)), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
@@ -211,7 +263,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, question: f
     return best.select("doc_id", "item_id", "best.*")
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5,
+                  answer_share: float | None = 0.25) -> DataFrame:
     """The rows of ``docs``, all columns, in whose text no item leaked. Nothing is shuffled; each index part is one pass more.
 
     Rows with null or empty text stay, and all rows if there are no items.
@@ -226,7 +279,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, que
                 yield pa.RecordBatch.from_arrays([batch.column(1)], ["row"]).filter(pa.array(keep))
         return run
 
-    for index in indexes(items):
+    for index in indexes(items, PART_WORDS, answer_share, threshold):
         ready = docs.select(F.col("text").cast("string").alias("text"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
         docs = ready.mapInArrow(cleaner(spark.sparkContext.broadcast(index)), StructType([StructField("row", schema)])).select("row.*")
     return docs

@@ -31,7 +31,7 @@ def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depthspark.llm.decontaminate import leaks
-    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), answer_share=None)
 
 
 def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -314,3 +314,19 @@ def test_language_model_over_pairs_adds_up_to_one(spark):
         assert math.isclose((10.0 ** back.log10(np.full(len(word), context), word, n, 1)).sum(), 1, rel_tol=1e-9)
     for s in range(4):
         assert sum(r.c[s] for r in state.values()) == sum(r.t[s] for r in state.values()) == model.sums[s][0]
+
+
+def test_parts_of_items_without_answers_are_leaks(spark, tmp_path):
+    items = [(i, prose(500 + i, 20 + i)) for i in range(30)] + [(40, ""), (41, "one two three")]
+    cuts = {0: lambda w: w[:-(-3 * len(w) // 4)], 1: lambda w: w[len(w) // 2:], 2: lambda w: w[:-(-len(w) // 2)], 3: lambda w: w[len(w) // 4:][:-(-len(w) // 2)],
+            4: lambda w: w[:len(w) // 4], 5: lambda w: w[::2]}
+    rows = [(100 * k + i, " ".join([prose(900 + i, 70 * (i % 3)), *cut(text.split()), prose(950 + i, 40)]), "en", "a") for k, cut in cuts.items() for i, text in items[:30]]
+    docs, bench = table(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    want = {(100 * k + i, i) for k in range(4) for i in range(30)}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {(r.doc_id, r.item_id) for r in llm_queries()["op3_decontaminate"](spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()} == {r[0] for r in rows} - {d for d, _ in want}
+    told = spark.createDataFrame([(i, " ".join(t.split()[:12]), " ".join(t.split()[12:])) for i, t in items[:30]], "item_id long, text string, answer string")
+    whole = table(spark, [(i, t, "en", "a") for i, t in items[:30]] + [(100 + i, " ".join(t.split()[:12]), "en", "a") for i, t in items[:30]])
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(whole, told).collect()} == {(i, i) for i in range(30)}

@@ -330,3 +330,30 @@ def test_parts_of_items_without_answers_are_leaks(spark, tmp_path):
     told = spark.createDataFrame([(i, " ".join(t.split()[:12]), " ".join(t.split()[12:])) for i, t in items[:30]], "item_id long, text string, answer string")
     whole = table(spark, [(i, t, "en", "a") for i, t in items[:30]] + [(100 + i, " ".join(t.split()[:12]), "en", "a") for i, t in items[:30]])
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(whole, told).collect()} == {(i, i) for i in range(30)}
+
+
+def test_runs_of_characters(monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK", 7)
+    texts = ["idiot", '"idiot",', "nidiotisch", "плохой", "(плохой)", "a", "é", "idiot"]
+    characters = toxicity.Characters(Words(pa.array([" ".join(texts), None])))
+    runs = [set(characters.stored(np.array([i])).runs.tolist()) for i in range(len(texts))]
+    assert [int(characters.stored(np.array([i])).number.sum()) for i in range(len(texts))] == [max(0, 3 * len(t) - 3) or 1 for t in texts]
+    inner = 3 + 2 + 1
+    assert len(runs[0] & runs[1]) >= inner and len(runs[0] & runs[2]) >= inner and runs[0] == runs[7]
+    assert len(runs[3] & runs[4]) >= 4 + 3 + 2 and not runs[0] & runs[3]
+    both = characters.features()
+    network = toxicity.Network()
+    want = np.array([network.p["part"][characters.stored(np.array([i])).runs].sum(axis=0) / math.sqrt(max(1, 3 * len(t) - 3)) for i, t in enumerate(texts)])
+    assert np.allclose(network.parts(both)[both.at], want, atol=1e-5)
+    assert 2 * toxicity.STEP <= toxicity.WINDOW
+
+
+def test_toxic_words_in_marks_and_compounds(spark):
+    rows, marks, docs, labels = labelled(spark, "toxic")
+    network = toxicity.fit(docs, labels, F.lit(True))
+    forms = ['"nastyword",', "(nastyword)", "**nastyword**", "xxnastywordzz"]
+    def text(i, w):
+        return " ".join([prose(5000 + i, 12), w, prose(6000 + i, 12)])
+    new = [(i, text(i, forms[i % 4]), "en", "a") for i in range(40)] + [(100 + i, text(i, prose(7000 + i, 1)), "en", "a") for i in range(40)]
+    score = {r.doc_id: r.toxicity for r in toxicity.toxicity_scores(table(spark, new), network).collect()}
+    assert sum(score[i] > score[100 + i] for i in range(40)) >= 36

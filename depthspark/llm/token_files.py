@@ -4,11 +4,10 @@ ORC keeps the ids as run-length encoded integers in stripes, with row indexes (m
 Bloom filters on ``doc_id``. Files hold ascending, disjoint ranges of ``doc_id``, so a reader takes stripes in parallel
 and a look-up opens only the stripes whose statistics and Bloom filter allow the id.
 
-Encoding works on runs ``blank + characters``. The byte-level splitter never joins a character that is no white space
-to the blank behind it, so the ids of the runs, one behind the other, are the ids of the text. Runs are split into the
-model's words, and each word goes to the tokenizer's model; a worker keeps the ids of up to ``CACHE`` words and runs.
-Texts with other white space than blanks and line feeds are one run. Texts that spell a special token go to the tokenizer
-whole, and so do all texts if the tokenizer is not byte-level.
+Encoding splits a slice of documents into the model's words (``pretokens``), tells distinct ones apart by hash, and looks those
+up in what the worker has met before, which is a sorted array; only words that are new go to the tokenizer's model, one by
+one. The ids of all words are then gathered at once, so no Python object is made per word of a text. Texts that spell a special
+token go to the tokenizer whole, and so do all texts if the tokenizer is not byte-level.
 """
 
 from __future__ import annotations
@@ -17,27 +16,19 @@ import itertools
 import json
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from depthspark.llm.common import slices, store, text_buffers
+from depthspark.llm.pretokens import Pretokens, library_classes, ragged
 from depthspark.llm.token_counts import load
 
-CACHE = 800_000
-HOT = 30_000   # of those, the ones met first; they make most of a text, and their table stays in the processor's cache
-# Fixed value: the splitting pattern of byte-level models.
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_RUN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_ODD = re.compile(r"[^\S \n]")
-_MAY_BE_ODD = np.zeros(256, bool)   # first bytes of all white space but blank and line feed; and NUL
-_MAY_BE_ODD[[0, 9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+CACHE = 1_500_000
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
@@ -48,97 +39,124 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+class WordIds:
+    """Ids of words by hash, in sorted arrays. When ``most`` words are in, it starts anew."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.starts, self.lengths, self.flat, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words, and which are there."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, (self.keys[at] == keys) & (self.checks[at] == checks)
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: list[list[int]]) -> None:
+        if len(self.keys) + len(keys) > self.most:
+            self._clear()
+        flat, lengths = np.array(list(itertools.chain.from_iterable(ids)), np.uint32), np.array(list(map(len, ids)), np.int64)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used:self.used + len(flat)] = flat
+        starts = self.used + np.cumsum(lengths) - lengths
+        self.used += len(flat)
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.checks, self.starts, self.lengths = (np.insert(old, at, new[order]) for old, new in (
+            (self.keys, keys), (self.checks, checks), (self.starts, starts), (self.lengths, lengths)))
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit integers, by a tokenizers model."""
+    """Ids of texts by a tokenizers model."""
 
     def __init__(self, model: str, cache: int = CACHE):
-        self.tool, self.cache = load(model), cache
+        self.tool, self.known = load(model), WordIds(cache)
         rules = json.loads(self.tool.to_str())
         split = rules["pre_tokenizer"] or {}
         self.by_words = (split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
                          and rules["normalizer"] is None and not rules["model"].get("ignore_merges"))
-        self.special = [t["content"] for t in rules["added_tokens"]]
+        self.special = [t["content"].encode() for t in rules["added_tokens"]]
         self.letters, self.spell = _byte_letters(), self.tool.model.tokenize
-        self.blank = self.letters[32]
-        self.known: dict[str, bytes] = {}
-        self.hot: dict[str, bytes] = {"": b""}
-
-    def _keep(self, text: str, ids: bytes) -> bytes:
-        if len(self.known) < self.cache and len(text) < 40:
-            self.known[text] = ids
-            if len(self.hot) < HOT:
-                self.hot[text] = ids
-        return ids
-
-    def _word(self, word: str) -> bytes:
-        ids = self.known.get(word)
-        return self._spelled(word) if ids is None else ids
-
-    def _spelled(self, word: str) -> bytes:
-        plain = word[0] == " " and word.isascii() and word[1:].isalpha()
-        spelled = self.blank + word[1:] if plain else word.encode().decode("latin-1").translate(self.letters)
-        return self._keep(word, array("I", [t.id for t in self.spell(spelled)]).tobytes())
-
-    def _run(self, run: str) -> bytes:
-        """Ids of a run; the usual forms (blank, letters, one mark) need no pattern."""
-        ids = self.known.get(run)
-        if ids is not None:
-            return ids
-        if run[0] != "\n":
-            body = run[1:] if run[0] == " " else run
-            if body.isalpha():
-                return self._spelled(run)
-            if body[:-1].isalpha() and body[-1] in ".,!":
-                return self._keep(run, self._word(run[:-1]) + self._word(body[-1]))
-        return self._keep(run, b"".join([self._word(w) for w in _WORD.findall(run)]))
-
-    def _split(self, text: str, plain: bool) -> list[str]:
-        if plain:
-            return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        return [text] if _ODD.search(text) else _RUN.findall(text)
-
-    def encode(self, texts: list[str], plain: list[bool]) -> list[bytes]:
-        """``plain`` tells texts whose only white space is single blanks and line feeds."""
+        self.bytes = {letter: b for b, letter in self.letters.items()}
+        self.classes: dict[int, np.ndarray] = {}
+
+    def _split(self, text: str) -> list[str]:
+        return [bytes(map(self.bytes.get, word)).decode() for word, _ in self.tool.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _classes(self, column: pa.Array) -> np.ndarray:
+        """Classes as the tokenizer sees them, up to the last character that the longest sequences of bytes can be."""
+        data, _ = text_buffers(column)
+        largest = int(data.max()) if len(data) else 0
+        upto = 0x110000 if largest >= 0xF0 else 0x10000 if largest >= 0xE0 else 0x800
+        if upto not in self.classes:
+            self.classes[upto] = library_classes(self._split, upto)
+        return self.classes[upto]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (uint32) of a slice of texts, one text behind the other, and the number of each text's."""
         if not self.by_words:
-            return [array("I", e.ids).tobytes() for e in self.tool.encode_batch(texts, add_special_tokens=False)]
-        out, split, places = [b""] * len(texts), [], []
-        for i, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                out[i] = array("I", self.tool.encode(text, add_special_tokens=False).ids).tobytes()
-            else:
-                split.append(self._split(text, plain[i]))
-                places.append(i)
-        for i, runs in zip(places, split, strict=True):
-            out[i] = b"".join([self._run(run) if ids is None else ids for ids, run in zip(map(self.hot.get, runs), runs, strict=True)])
-        return out
-
-
-def encode(model: str, column: pa.Array, cache: int = CACHE) -> Iterator[tuple[int, int, list[bytes]]]:
-    """For slices of the column: first row, row behind the last, ids of each text."""
+            return _joined([np.array(e.ids, np.uint32) for e in self.tool.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)])
+        words = Pretokens(column, self._classes(column))
+        keys, checks, first, place = words.distinct()
+        _, found = self.known.find(keys, checks)
+        if not found.all():
+            new = first[~found]
+            raw = words.data.tobytes().decode("latin-1").translate(self.letters)
+            ids = [[t.id for t in self.spell(raw[a:b])] for a, b in zip(words.starts[new].tolist(), words.starts[new + 1].tolist(), strict=True)]
+            kept = self.known
+            if len(kept.keys) + len(new) > kept.most and found.any():
+                kept = self.known = WordIds(kept.most)   # starts anew with all words of this slice
+                return self.encode(column)
+            kept.add(keys[~found], checks[~found], ids)
+        at, _ = self.known.find(keys, checks)
+        starts, lengths = self.known.starts[at], self.known.lengths[at][place]
+        flat = self.known.flat[ragged(starts[place], lengths)]
+        counts = np.diff(np.concatenate([[0], np.cumsum(lengths)])[words.bounds])
+        raw = words.data.tobytes()
+        special = {int(np.searchsorted(words.offsets, m.start(), "right")) - 1 for s in self.special for m in re.finditer(re.escape(s), raw)}
+        if special:
+            texts = np.split(flat, np.cumsum(counts)[:-1])
+            for i in special:
+                texts[i] = np.array(self.tool.encode(column[i].as_py(), add_special_tokens=False).ids, np.uint32)
+            return _joined(texts)
+        return flat, counts
+
+
+def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, np.uint32), *texts]), np.array(list(map(len, texts)), np.int64)
+
+
+def encode_slices(model: str, column: pa.Array, cache: int = CACHE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For slices of the column: first row, row behind the last, all ids, and the number of ids of each text."""
     if (model, cache) not in _encoders:
         _encoders[model, cache] = Encoder(model, cache)
     for start, end in slices(column, 2 << 20):
-        part = column.slice(start, end - start)
-        data, offsets = text_buffers(part)
-        blank = (data == 32) | (data == 10)
-        odd = np.flatnonzero(_MAY_BE_ODD[data])
-        two = np.flatnonzero(blank[:-1] & blank[1:])   # also where one text ends and the next begins, which does no harm
-        none = lambda places: np.searchsorted(places, offsets[1:]) == np.searchsorted(places, offsets[:-1])
-        yield start, end, _encoders[model, cache].encode([t or "" for t in part.to_pylist()], (none(odd) & none(two)).tolist())
+        yield start, end, *_encoders[model, cache].encode(column.slice(start, end - start))
+
+
+def encode(model: str, column: pa.Array, cache: int = CACHE) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """For slices of the column: first row, row behind the last, ids of each text."""
+    for start, end, flat, counts in encode_slices(model, column, cache):
+        yield start, end, np.split(flat, np.cumsum(counts)[:-1])
 
 
 def write_tokens(docs: DataFrame, path: str, model: str = "byte_bpe_50k.json", end_id: int = 2, cache: int = CACHE) -> None:
     """Writes ``part, row, doc_id, ids`` as ORC; rows ascend by doc_id (null first), then text, over files and in them.
 
-    ``cache`` bounds the words whose ids a worker keeps, which takes some 200 bytes each. A null text counts as empty and holds the end id alone. Repeated rows are all written, other columns are not.
+    ``cache`` bounds the words whose ids a worker keeps, which takes some 50 bytes each. A null text counts as empty and holds the end id alone. Repeated rows are all written, other columns are not.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for start, end, ids in encode(model, batch.column(1), cache):
-                ends = np.cumsum([len(x) // 4 + 1 for x in ids])
-                flat = np.frombuffer(b"".join(x + np.uint32(end_id).tobytes() for x in ids), "<i4")
-                n = end - start
+            for start, end, ids, counts in encode_slices(model, batch.column(1), cache):
+                n, ends = end - start, np.cumsum(counts + 1)
+                flat = np.insert(ids, np.cumsum(counts), end_id).view(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), batch.column(0).slice(start, n),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))],

@@ -77,13 +77,19 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depthspark.llm.merkle import tampered_manifest
+    checked = tampered_manifest(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+    return checked.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depthspark.llm.byte_bpe import decode, digests, encode
     return digests(decode(encode(_table(spark, sf_dir, "documents"))))
 
 
 _QUERIES = [op1_knn_quality, op2_multi_index, op3_decontaminate, op4_entropy_mix, op5_toxicity, op6_token_files, op7_secret_owners, op8_pitman_yor, op9_token_counts, op10_ngram_join,
-            op13_byte_bpe]
+            op11_merkle_manifest, op13_byte_bpe]
 
 
 def _spans_sql(kind: str, place: int, pattern: str, group: int, least: int) -> str:

@@ -27,7 +27,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 OTHER, LETTER, NUMBER, BLANK = range(4)
 # Fixed value: the code points that the libraries take for white space.
 _WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_BYTES = constants(256, 21), constants(256, 23)
+_BYTES = constants(256, 21)
 _LENGTH = constants(2, 25)
 
 
@@ -123,21 +123,30 @@ class Pretokens:
         for ending, size in ((short, 2), (long, 3)):
             begins[mark[ending] + size] = True   # a letter goes on, another run begins there anyway, or the text ends
 
-    def hashes(self, which: int = 0) -> np.ndarray:
-        """A 64-bit hash of the bytes of every match; two of them, which are independent."""
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of the bytes of every match."""
         n = len(self.data)
         powers, inverse = _power_tables(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[which][self.data] * powers[:n], out=sums[1:])
+        np.cumsum(_BYTES[self.data] * powers[:n], out=sums[1:])
         raw = np.diff(sums[self.starts]) * inverse[self.starts[:-1]]
-        return mix(raw ^ np.diff(self.starts).astype(np.uint64) * _LENGTH[which])
+        return mix(raw ^ np.diff(self.starts).astype(np.uint64) * _LENGTH[0])
+
+    def checks(self) -> np.ndarray:
+        """The first and the last eight bytes and the length of every match in one number."""
+        padded = np.concatenate([np.zeros(8, np.uint8), self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(padded) - 7, "<u8", padded, 0, (1,))   # the eight bytes from each place on
+        first, lengths = eight[self.starts[:-1] + 8], np.diff(self.starts)
+        beyond = (8 * (8 - np.minimum(lengths, 8))).astype(np.uint64)
+        ends = eight[self.starts[1:]] >> beyond
+        return mix(first << beyond ^ _LENGTH[1]) ^ ends * _LENGTH[0] ^ lengths.astype(np.uint64)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Both hashes of the distinct matches, where each stands first, and for every match its place among them.
+        """Hashes and checks of the distinct matches, where each stands first, and for every match its place among them.
 
-        Matches are told apart by 128 bits; the second half is looked at only to see whether the first one was enough.
+        Matches are told apart by the hash; should the checks show that it is one for several, by both.
         """
-        one, two = self.hashes(0), self.hashes(1)
+        one, two = self.hashes(), self.checks()
         place = pa.array(one).dictionary_encode().indices.to_numpy().astype(np.int64)   # numbered as they come
         first = np.flatnonzero(np.diff(np.maximum.accumulate(place), prepend=-1)) if len(place) else place
         if (two != two[first][place]).any():

@@ -40,13 +40,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordIds:
-    """Ids of words by hash, in sorted arrays. When ``most`` words are in, it starts anew."""
+    """Ids of words by hash, in sorted arrays; whoever adds to it starts a new one behind ``most`` words."""
 
     def __init__(self, most: int):
         self.most = most
-        self._clear()
-
-    def _clear(self) -> None:
         self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.starts, self.lengths, self.flat, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
 
@@ -57,10 +54,7 @@ class WordIds:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return at, (self.keys[at] == keys) & (self.checks[at] == checks)
 
-    def add(self, keys: np.ndarray, checks: np.ndarray, ids: list[list[int]]) -> None:
-        if len(self.keys) + len(keys) > self.most:
-            self._clear()
-        flat, lengths = np.array(list(itertools.chain.from_iterable(ids)), np.uint32), np.array(list(map(len, ids)), np.int64)
+    def add(self, keys: np.ndarray, checks: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> None:
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used:self.used + len(flat)] = flat
@@ -98,23 +92,25 @@ class Encoder:
             self.classes[upto] = library_classes(self._split, upto)
         return self.classes[upto]
 
+    def _spelled(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and the number of each one's."""
+        spell, letters = self.spell, self.letters
+        ids = [[t.id for t in spell(word.decode("latin-1").translate(letters))] for word in words]
+        return np.array(list(itertools.chain.from_iterable(ids)), np.uint32), np.array(list(map(len, ids)), np.int64)
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) of a slice of texts, one text behind the other, and the number of each text's."""
         if not self.by_words:
             return _joined([np.array(e.ids, np.uint32) for e in self.tool.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)])
         words = Pretokens(column, self._classes(column))
         keys, checks, first, place = words.distinct()
-        _, found = self.known.find(keys, checks)
+        at, found = self.known.find(keys, checks)
         if not found.all():
-            new = first[~found]
-            raw = words.data.tobytes().decode("latin-1").translate(self.letters)
-            ids = [[t.id for t in self.spell(raw[a:b])] for a, b in zip(words.starts[new].tolist(), words.starts[new + 1].tolist(), strict=True)]
-            kept = self.known
-            if len(kept.keys) + len(new) > kept.most and found.any():
-                kept = self.known = WordIds(kept.most)   # starts anew with all words of this slice
-                return self.encode(column)
-            kept.add(keys[~found], checks[~found], ids)
-        at, _ = self.known.find(keys, checks)
+            if len(self.known.keys) + int((~found).sum()) > self.known.most and found.any():
+                self.known = WordIds(self.known.most)   # starts anew with the words of this slice
+                found[:] = False
+            self.known.add(keys[~found], checks[~found], *self._spelled(words.words(first[~found])))
+            at, _ = self.known.find(keys, checks)
         starts, lengths = self.known.starts[at], self.known.lengths[at][place]
         flat = self.known.flat[ragged(starts[place], lengths)]
         counts = np.diff(np.concatenate([[0], np.cumsum(lengths)])[words.bounds])

@@ -83,13 +83,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from depthspark.llm.conversations import damaged, repair
+    return repair(damaged(_table(spark, sf_dir, "conversations")))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from depthspark.llm.byte_bpe import decode, digests, encode
     return digests(decode(encode(_table(spark, sf_dir, "documents"))))
 
 
 _QUERIES = [op1_knn_quality, op2_multi_index, op3_decontaminate, op4_entropy_mix, op5_toxicity, op6_token_files, op7_secret_owners, op8_pitman_yor, op9_token_counts, op10_ngram_join,
-            op11_merkle_manifest, op13_byte_bpe]
+            op11_merkle_manifest, op12_conversation_repair, op13_byte_bpe]
 
 
 def _spans_sql(kind: str, place: int, pattern: str, group: int, least: int) -> str:

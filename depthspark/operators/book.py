@@ -6,12 +6,10 @@ place inside one diff. Distances are fractions of the mid price, ``band`` too.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depthspark.operators import scan
+from depthspark.operators import dyadic, scan
 from depthspark.operators.intervals import interval_join
 
 BAND = 0.1
@@ -21,6 +19,9 @@ LEVEL = ["symbol", "market", "side", "price"]
 # A price level sees few of the changes of its book, so scans per level use longer blocks.
 LEVEL_STRETCH = 64
 
+# Diff ids whose whole covers are kept together in the search for best prices, as a power of two.
+STRIDE = 6
+
 # Blocks over arrival time are as long as a block of ids at this many milliseconds per diff.
 MS_PER_DIFF = 50
 
@@ -266,77 +267,55 @@ def book_at(changes: DataFrame, start_ms: int, end_ms: int | Column, step_ms: in
 # --- best prices at every diff, and the sweep ---------------------------------------------------
 
 
-def _replay_best(key: tuple, rows: pa.Table) -> pa.Table:
-    """Best bid and ask after every diff of one block; heaps with lazy removal."""
-    import heapq
-
-    columns = [rows.column(c).to_numpy() for c in ("is_bid", "price", "qty", "update_id", "carried", "pos")]
-    order = np.lexsort((columns[5], columns[3], ~columns[4]))
-    sides, prices, sizes, updates, carried = (c[order].tolist() for c in columns[:5])
-    live: tuple[dict, dict] = ({}, {})
-    # Asks at index 0, bids at 1; bids go into their heap with the sign turned.
-    heaps: tuple[list, list] = ([], [])
-    ids, asks, bids = [], [], []
-
-    def best() -> None:
-        low, high, ask, bid = heaps[0], heaps[1], live[0], live[1]
-        while low and low[0] not in ask:
-            heapq.heappop(low)
-        while high and -high[0] not in bid:
-            heapq.heappop(high)
-        asks.append(low[0] if low else None)
-        bids.append(-high[0] if high else None)
-
-    current = None
-    for side, price, qty, update_id, brought in zip(sides, prices, sizes, updates, carried):
-        if current is not None and update_id != current:
-            ids.append(current)
-            best()
-        levels = live[side]
-        if qty > 0:
-            if price not in levels:
-                heapq.heappush(heaps[side], -price if side else price)
-            levels[price] = qty
-        else:
-            levels.pop(price, None)
-        current = None if brought else update_id
-    if current is not None:
-        ids.append(current)
-        best()
-    return pa.table({"symbol": pa.repeat(key[0], len(ids)), "market": pa.repeat(key[1], len(ids)),
-                     "update_id": pa.array(ids, pa.int64()), "best_bid": pa.array(bids, pa.float64()),
-                     "best_ask": pa.array(asks, pa.float64())})
+def id_ranges(changes: DataFrame, width: int = scan.WIDTH) -> DataFrame:
+    """Each set level with the diff ids it holds for: ``[from_id, to_id)``, up to the last id of the book."""
+    back = changes.withColumn("__back", -_rank(changes))
+    ahead = scan.previous(back, LEVEL, ["__back"], ["update_id"], width * LEVEL_STRETCH * 65_536, prefix="next_")
+    last = changes.groupBy(*BOOK).agg(F.max("update_id").alias("__last"))
+    return (ahead.filter(F.col("qty") > 0).join(last, BOOK)
+            .select(*LEVEL, "qty", F.col("update_id").alias("from_id"), F.coalesce("next_update_id", F.col("__last") + 1).alias("to_id")))
 
 
-def mids(changes: DataFrame, width: int = scan.WIDTH) -> DataFrame:
-    """Best bid, best ask and mid after every diff id, from books that are not swept.
+def best_over(ranges: DataFrame, ids: DataFrame, keys: list[str] = BOOK) -> DataFrame:
+    """``keys, update_id, best_bid, best_ask``: the best prices that hold at each id; ``ranges`` are ``id_ranges``.
 
-    The ids of a book are cut into blocks of ``width``. A block starts with the levels that are live at
-    its first id and replays only its own changes, so the blocks of one busy book run side by side and
-    the changes are shuffled once. The levels to start with come from one partial aggregate per
-    (level, block), not from replaying the past.
+    Ids are cut into strides of ``2**STRIDE``. What a range covers of whole strides becomes a few dyadic buckets; each bucket keeps its
+    best bid and ask, and a stride takes the best of the buckets that hold it. Of the two ends of a range, which lie inside a
+    stride, only those that beat the best of their whole stride matter, and only these are spread over their ids.
     """
-    cut = changes.select(
-        *LEVEL, "qty", "update_id", scan.block_of("update_id", width).alias("block"),
-        (F.col("pos").cast("int") if "pos" in changes.columns else F.lit(0)).alias("pos"))
-    last_set = (cut.groupBy(*LEVEL, "block")
-                .agg(F.max_by("qty", _rank(cut)).alias("qty")))
-    ends = cut.groupBy(*BOOK).agg(F.max("block").alias("__last_block"))
-    ahead = last_set.withColumn(
-        "__next", F.lead("block").over(Window.partitionBy(*LEVEL).orderBy("block")))
-    carried = (ahead.filter(F.col("qty") > 0).join(ends, BOOK)
-               .withColumn("__until", F.coalesce("__next", "__last_block"))
-               .filter(F.col("__until") > F.col("block"))
-               .select(*LEVEL, "qty", F.lit(0).cast("bigint").alias("update_id"),
-                       F.explode(F.sequence(F.col("block") + 1, F.col("__until"))).alias("block"),
-                       F.lit(0).alias("pos"), F.lit(True).alias("carried")))
-    replayed = (cut.withColumn("carried", F.lit(False)).unionByName(carried)
-                .select(*BOOK, "block", (F.col("side") == "BID").alias("is_bid"), "price", "qty", "update_id", "pos",
-                        "carried")
-                .groupBy(*BOOK, "block")
-                .applyInArrow(_replay_best,
-                              "symbol string, market string, update_id bigint, best_bid double, best_ask double"))
-    return replayed.withColumn("mid", (F.col("best_bid") + F.col("best_ask")) / 2.0)
+    bid, ask = F.when(F.col("side") == "BID", F.col("price")), F.when(F.col("side") == "ASK", F.col("price"))
+    best = (F.max("bid").alias("bid"), F.min("ask").alias("ask"))
+    begin, end = F.col("from_id"), F.col("to_id")
+    up, down = -F.shiftright(-begin, STRIDE), F.shiftright(end, STRIDE)      # the whole strides are [up, down)
+    cut = ranges.filter(end > begin).select(*keys, bid.alias("bid"), ask.alias("ask"), "from_id", "to_id", up.alias("__up"), down.alias("__down"))
+    held = (cut.filter("__up < __down").withColumn("__bucket", F.explode(dyadic.buckets(F.col("__up"), F.col("__down"))))
+            .groupBy(*keys, "__bucket").agg(*best))
+    named = ids.select(*keys, "update_id").distinct().withColumn("__stride", F.shiftright("update_id", STRIDE))
+    strides = named.select(*keys, "__stride").distinct()
+    spread = strides.groupBy(*keys).agg((F.max("__stride") - F.min("__stride") + 1).alias("n"))
+    top = F.coalesce(spread.select(F.max(dyadic.height_of(F.col("n")))).scalar(), F.lit(0))
+    whole = (strides.withColumn("__top", top + 1).withColumn("__bucket", F.explode(dyadic.above(F.col("__stride"), F.col("__top"))))
+             .join(held, [*keys, "__bucket"]).groupBy(*keys, "__stride").agg(F.max("bid").alias("__bid"), F.min("ask").alias("__ask")))
+
+    def piece(a: Column, b: Column) -> Column:
+        return F.when(a < b, F.struct(F.shiftright(a, STRIDE).alias("__stride"), a.alias("a"), b.alias("b")))
+
+    ends = F.array_compact(F.array(piece(begin, F.least(end, F.shiftleft("__up", STRIDE))),
+                                   piece(F.greatest(F.shiftleft("__down", STRIDE), F.shiftleft("__up", STRIDE)), end)))
+    # An end inside one stride lies between the borders ``__down <= from`` and ``to <= __up``; it is the first piece.
+    beats = (F.coalesce(F.col("bid") > F.col("__bid"), F.col("bid").isNotNull()) | F.coalesce(F.col("ask") < F.col("__ask"), F.col("ask").isNotNull()))
+    partly = (cut.select(*keys, "bid", "ask", F.explode(ends).alias("__end")).select(*keys, "bid", "ask", "__end.*")
+              .join(whole, [*keys, "__stride"], "left").filter(beats)
+              .select(*keys, "bid", "ask", F.explode(F.sequence("a", F.col("b") - 1)).alias("update_id"))
+              .groupBy(*keys, "update_id").agg(*best))
+    return (named.join(whole, [*keys, "__stride"], "left").join(partly, [*keys, "update_id"], "left")
+            .select(*keys, "update_id", F.greatest("bid", "__bid").alias("best_bid"), F.least("ask", "__ask").alias("best_ask")))
+
+
+def mids(changes: DataFrame, width: int = scan.WIDTH) -> DataFrame:
+    """Best bid, best ask and mid after every diff id, from books that are not swept."""
+    best = best_over(id_ranges(changes, width), changes)
+    return best.withColumn("mid", (F.col("best_bid") + F.col("best_ask")) / 2.0)
 
 
 def sweep_book(book: DataFrame, mid_rows: DataFrame, as_of_id: int | None = None, band: float = BAND,

@@ -193,6 +193,12 @@ SELECT event_id AS session_id, user_id % 40 AS user_id, 1704067200000 + event_id
   1704067200000 + event_id * 18 + 20 + (event_id * 37) % 150 AS closed_ms FROM events
 """
 
+# Sessions that stay open for a day, or have no end yet; some opened long before the first event.
+VIEWS["long_sessions"] = """
+SELECT event_id AS session_id, user_id % 40 AS user_id, 1704067200000 + (event_id * 7919) % 150000 - CASE WHEN event_id % 2 = 0 THEN 43200000 ELSE 0 END AS opened_ms,
+  CASE WHEN event_id % 3 = 0 THEN CAST(NULL AS BIGINT) ELSE 1704067200000 + (event_id * 7919) % 150000 + 43200000 END AS closed_ms FROM events WHERE event_id % 400 = 7 OR event_id % 800 = 10
+"""
+
 VIEWS["resnapshot_requests"] = """
 SELECT event_id AS session_id, 1704067200000 + event_id * 18 + 60 AS asked_ms FROM events WHERE event_type = 'error'
 """

@@ -21,7 +21,7 @@ BASE_TABLES = ("region nation customer supplier part orders lineitem events docu
                "benchmark labels conversations").split()
 
 VIEWS: dict[str, str] = {}
-STORED = ("depth_raw", "snapshot_raw")
+STORED = ("depth_raw", "snapshot_raw", "snapshot_levels")
 
 VIEWS["depth_levels"] = """
 SELECT symbol, market, CASE WHEN k < 120 THEN 'BID' ELSE 'ASK' END AS side, CAST(880 + k AS DOUBLE) AS price,
@@ -46,6 +46,14 @@ VIEWS["depth_snapshots"] = """
 SELECT symbol, market, update_id AS snapshot_id, recv_ms FROM depth_levels WHERE update_id % 500 = 20 OR update_id = 1
 """
 
+# What a snapshot holds: the book of its moment, but every fifth price is missing, as it is beyond its depth.
+VIEWS["snapshot_levels"] = """
+SELECT v.symbol, v.market, s.snapshot_id, v.side, v.price, v.qty FROM (
+  SELECT symbol, market, side, price, qty, update_id, lead(update_id) OVER (PARTITION BY symbol, market, side, price ORDER BY update_id) AS next_id FROM depth_levels) v
+JOIN depth_snapshots s ON v.symbol = s.symbol AND v.market = s.market AND v.update_id <= s.snapshot_id AND (v.next_id IS NULL OR s.snapshot_id < v.next_id)
+WHERE CAST(v.price AS BIGINT) % 5 <> 0
+"""
+
 VIEWS["tier_rules"] = """
 SELECT * FROM (VALUES (false, 4, 10000000.0e0, 0.05e0), (false, 3, 1000000.0e0, 0.02e0), (false, 2, 500000.0e0, 0.01e0), (false, 1, 200000.0e0, 0.005e0),
   (true, 4, 100000000.0e0, 0.025e0), (true, 3, 30000000.0e0, 0.01e0), (true, 2, 10000000.0e0, 0.005e0), (true, 1, 3000000.0e0, 0.0025e0))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depthspark.operators import book
+from depthspark.operators import book, synced
 from depthspark.plans.fixtures import Tables
 from depthspark.plans.queries import query
 from depthspark.session import materialize
 
 START_MS = 1704067200000
 AS_OF_MS = START_MS + 10_000_000
+VIEW_MS = START_MS + 15_000   # about the 300th diff of every book
 
 _GAPS = """
 SELECT symbol, market, first_id, final_id, recv_ms, prev_id, coalesce(CASE WHEN market = 'SPOT' THEN first_id <> prev_id + 1
@@ -31,19 +32,28 @@ LEFT JOIN ({_RUNS}) d ON s.symbol = d.symbol AND s.market = d.market AND s.segme
   AND d.recv_ms <= s.recv_ms AND d.final_id >= s.snapshot_id
 GROUP BY 1, 2, 3, 4, 5
 """
-_STATES = f"""
+
+
+def _states_sql(sync: str) -> str:
+    return f"""
 SELECT r.symbol, r.market, r.segment, CASE WHEN r.final_id >= f.sync_id THEN 'SYNCED' WHEN r.is_gap THEN 'PENDING' ELSE 'SNAPSHOT_REQUESTED' END AS state,
   min(r.final_id) AS from_id, max(r.final_id) AS to_id, min(r.recv_ms) AS from_ms, max(r.recv_ms) AS to_ms
-FROM ({_RUNS}) r LEFT JOIN (SELECT symbol, market, segment, arg_min(sync_id, recv_ms) AS sync_id FROM ({_SYNC}) y
+FROM ({_RUNS}) r LEFT JOIN (SELECT symbol, market, segment, arg_min(sync_id, recv_ms) AS sync_id FROM ({sync}) y
     WHERE sync_id IS NOT NULL GROUP BY 1, 2, 3) f ON r.symbol = f.symbol AND r.market = f.market AND r.segment = f.segment
 GROUP BY 1, 2, 3, 4
 """
-_NOW = f"""
-SELECT symbol, market, arg_max(state, from_ms) AS state, max(from_ms) AS since_ms FROM ({_STATES}) z
-WHERE from_ms <= {AS_OF_MS} GROUP BY 1, 2
+
+
+def _now_sql(states: str, as_of_ms: int) -> str:
+    return f"""
+SELECT symbol, market, arg_max(state, from_ms) AS state, max(from_ms) AS since_ms FROM ({states}) z
+WHERE from_ms <= {as_of_ms} GROUP BY 1, 2
 """
 
 
+_STATES = _states_sql(_SYNC)
+
+
 @query(f"SELECT symbol, market, first_id, final_id, coalesce(prev_id, -1) AS prev_id, is_gap FROM ({_GAPS}) g")
 def sequence_gaps(t: Tables) -> DataFrame:
     gaps = book.sequence_gaps(t.depth_diffs, t.width)
@@ -78,29 +88,95 @@ def sync_segments(t: Tables) -> DataFrame:
     return _states(t)
 
 
-@query(f"SELECT market, count(*) AS synced FROM ({_NOW}) n WHERE state = 'SYNCED' GROUP BY market")
+@query(f"SELECT market, count(*) AS synced FROM ({_now_sql(_STATES, AS_OF_MS)}) n WHERE state = 'SYNCED' GROUP BY market")
 def sync_counts(t: Tables) -> DataFrame:
     return book.sync_counts(_states(t), AS_OF_MS)
 
 
-# With no snapshot at all every book waits since its last break.
+# Snapshots came for some of the symbols only; the other books wait since their last break.
+_SERVED = ("BTCUSDT", "SYM2", "SYM4", "SYM7")
+_WAITING = _now_sql(_states_sql(f"SELECT * FROM ({_SYNC}) s WHERE symbol IN {_SERVED}"), AS_OF_MS)
+
+
 @query(f"""
-SELECT market, symbol, waiting_since, row_number() OVER (PARTITION BY market ORDER BY waiting_since, symbol) <= 3 AS admitted
-FROM (SELECT market, symbol, arg_max(state, from_ms) AS state, max(from_ms) AS waiting_since FROM (
-    SELECT symbol, market, segment, CASE WHEN is_gap THEN 'PENDING' ELSE 'SNAPSHOT_REQUESTED' END AS state, min(recv_ms) AS from_ms
-    FROM ({_RUNS}) r GROUP BY 1, 2, 3, 4) z GROUP BY 1, 2) x WHERE state = 'SNAPSHOT_REQUESTED'
+SELECT market, symbol, since_ms AS waiting_since, row_number() OVER (PARTITION BY market ORDER BY since_ms, symbol) <= 3 AS admitted
+FROM ({_WAITING}) x WHERE state = 'SNAPSHOT_REQUESTED'
 """)
 def snapshot_backlog(t: Tables) -> DataFrame:
-    none = _sync(t).filter(F.lit(False))
-    return book.snapshot_backlog(book.sync_segments(_runs(t), none), AS_OF_MS, limit=3)
+    served = _sync(t).filter(F.col("symbol").isin(*_SERVED))
+    return book.snapshot_backlog(book.sync_segments(_runs(t), served), AS_OF_MS, limit=3)
+
+
+# --- synced runs ---------------------------------------------------------------------------------
+
+# The first good snapshot of each run, its levels, the changes after it, and what becomes of each level.
+SYNCED_SQL = f"""
+WITH runs AS MATERIALIZED ({_RUNS}), sync AS MATERIALIZED ({_SYNC}),
+shown AS MATERIALIZED (SELECT g.*, e.end_id, n.lost_ms FROM (
+    SELECT symbol, market, segment, min(recv_ms) AS snap_ms, arg_min(snapshot_id, recv_ms) AS snapshot_id, arg_min(sync_id, recv_ms) AS sync_id
+    FROM sync WHERE sync_id IS NOT NULL GROUP BY 1, 2, 3) g
+  JOIN (SELECT symbol, market, segment, max(final_id) AS end_id FROM runs WHERE NOT is_gap GROUP BY 1, 2, 3) e USING (symbol, market, segment)
+  LEFT JOIN (SELECT symbol, market, segment - 1 AS segment, min(recv_ms) AS lost_ms FROM runs GROUP BY 1, 2, 3) n USING (symbol, market, segment)),
+changed AS MATERIALIZED (
+  SELECT r.symbol, r.market, r.segment, l.side, l.price, l.qty, l.update_id, 1 AS pos, greatest(l.recv_ms, r.snap_ms) AS ms, r.lost_ms, false AS load
+  FROM depth_levels l JOIN shown r ON l.symbol = r.symbol AND l.market = r.market AND l.update_id BETWEEN r.sync_id AND r.end_id
+  UNION ALL SELECT r.symbol, r.market, r.segment, s.side, s.price, s.qty, r.sync_id, 0, r.snap_ms, r.lost_ms, true
+  FROM snapshot_levels s JOIN shown r ON s.symbol = r.symbol AND s.market = r.market AND s.snapshot_id = r.snapshot_id WHERE s.qty > 0),
+ahead AS MATERIALIZED (SELECT *, lead(update_id) OVER w AS next_id, lead(ms) OVER w AS next_ms, lead(qty) OVER w AS next_qty FROM changed
+  WINDOW w AS (PARTITION BY symbol, market, segment, side, price ORDER BY update_id, pos)),
+run_mids AS MATERIALIZED (SELECT d.symbol, d.market, d.segment, d.update_id, d.ms,
+    (max(CASE WHEN v.side = 'BID' THEN v.price END) + min(CASE WHEN v.side = 'ASK' THEN v.price END)) / 2.0e0 AS mid
+  FROM (SELECT DISTINCT symbol, market, segment, update_id, ms FROM changed) d JOIN ahead v ON d.symbol = v.symbol AND d.market = v.market AND d.segment = v.segment
+    AND v.qty > 0 AND v.update_id <= d.update_id AND (v.next_id IS NULL OR d.update_id < v.next_id) GROUP BY 1, 2, 3, 4, 5),
+swept AS MATERIALIZED (SELECT v.symbol, v.market, v.segment, v.side, v.price, v.update_id, v.pos, min(m.ms) AS swept_ms, min(m.update_id) AS swept_id
+  FROM ahead v JOIN run_mids m ON v.symbol = m.symbol AND v.market = m.market AND v.segment = m.segment AND v.qty > 0
+    AND v.update_id <= m.update_id AND (v.next_id IS NULL OR m.update_id < v.next_id)
+  WHERE v.price < m.mid * (1.0e0 - 0.1e0) OR v.price > m.mid * (1.0e0 + 0.1e0) GROUP BY 1, 2, 3, 4, 5, 6, 7),
+lives AS MATERIALIZED (SELECT symbol, market, segment, side, price, qty, update_id, ms AS from_ms, least(next_ms, swept_ms, lost_ms) AS to_ms, next_qty, next_ms, swept_ms, lost_ms, why,
+    max(CASE WHEN why IS NOT NULL THEN ms END) OVER (PARTITION BY symbol, market, segment, side, price ORDER BY update_id, pos ROWS UNBOUNDED PRECEDING) AS first_seen_ms
+  FROM (SELECT a.*, s.swept_ms, CASE WHEN a.load THEN 'LOAD' WHEN lag(a.qty) OVER w IS NULL THEN 'NEW' WHEN lag(a.qty) OVER w = 0 THEN 'DELETED'
+      WHEN lag(s.swept_ms) OVER w IS NOT NULL THEN 'SWEPT' END AS why
+    FROM ahead a LEFT JOIN swept s ON a.symbol = s.symbol AND a.market = s.market AND a.segment = s.segment AND a.side = s.side AND a.price = s.price
+      AND a.update_id = s.update_id AND a.pos = s.pos WINDOW w AS (PARTITION BY a.symbol, a.market, a.segment, a.side, a.price ORDER BY a.update_id, a.pos)) x WHERE qty > 0)
+"""
+
+
+def synced_events(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Shown runs and the level events in them; the events are written once, as they are read several times."""
+    runs = materialize(lambda: synced.shown_runs(_runs(t), _sync(t)), f"{t.sf_dir}/shown_runs", t.spark)
+    events = materialize(lambda: synced.level_events(t.depth_levels, t.snapshot_levels, _runs(t), runs), f"{t.sf_dir}/synced_events", t.spark)
+    return runs, events
 
 
-_LIVE = """
-SELECT symbol, market, side, price, arg_max(qty, update_id) AS qty, max(update_id) AS last_id FROM depth_levels
+def synced_lives(t: Tables) -> DataFrame:
+    return materialize(lambda: synced.level_lives(synced_events(t)[1], width=t.width), f"{t.sf_dir}/synced_lives", t.spark)
+
+
+@query(SYNCED_SQL + "SELECT symbol, market, segment, snapshot_id, snap_ms, sync_id, end_id, coalesce(lost_ms, -1) AS lost_ms FROM shown")
+def shown_runs(t: Tables) -> DataFrame:
+    return synced_events(t)[0].withColumn("lost_ms", F.coalesce("lost_ms", F.lit(-1)))
+
+
+@query(SYNCED_SQL + """
+SELECT symbol, market, segment, side, price, qty, update_id, from_ms, coalesce(to_ms, -1) AS to_ms, first_seen_ms,
+  coalesce(CASE WHEN to_ms IS NULL THEN NULL WHEN swept_ms = to_ms THEN 'SWEPT' WHEN next_ms = to_ms THEN CASE WHEN next_qty > 0 THEN 'SET' ELSE 'DELETED' END ELSE 'LOST' END, 'LIVE') AS ended
+FROM lives
+""")
+def first_seen_restarts(t: Tables) -> DataFrame:
+    """Each level's life over synced runs; first seen anew after a delete, a sweep and a load."""
+    return synced_lives(t).withColumns({"to_ms": F.coalesce("to_ms", F.lit(-1)), "ended": F.coalesce("ended", F.lit("LIVE"))})
+
+
+def _live_sql(changes: str) -> str:
+    return f"""
+SELECT symbol, market, side, price, arg_max(qty, update_id) AS qty, max(update_id) AS last_id FROM {changes if changes.isidentifier() else f"({changes}) c"}
 GROUP BY 1, 2, 3, 4 HAVING arg_max(qty, update_id) > 0
 """
 
 
+_LIVE = _live_sql("depth_levels")
+
+
 def banded_sql(live: str) -> str:
     return f"""
 SELECT l.*, m.mid, abs(l.price - m.mid) / m.mid AS distance FROM ({live}) l JOIN (
@@ -220,19 +296,24 @@ def book_of_record(t: Tables) -> DataFrame:
     return book.book_of_record(t.depth_levels, width=t.width)
 
 
+_AT_VIEW = f"SELECT * FROM depth_levels WHERE recv_ms <= {VIEW_MS}"
+
+
 @query(f"""
-SELECT b.symbol, b.market, b.side, b.price, b.qty, b.distance, {AS_OF_MS} - f.first_seen_ms AS lifetime_ms,
+SELECT b.symbol, b.market, b.side, b.price, b.qty, b.distance, {VIEW_MS} - f.first_seen_ms AS lifetime_ms,
   count(*) FILTER (WHERE b.side = 'BID') OVER (PARTITION BY b.symbol, b.market) AS bid_count,
   count(*) FILTER (WHERE b.side = 'ASK') OVER (PARTITION BY b.symbol, b.market) AS ask_count, n.state
-FROM ({BANDED_SQL}) b JOIN (
+FROM ({banded_sql(_live_sql(_AT_VIEW))}) b JOIN (
   SELECT symbol, market, side, price, update_id, max(CASE WHEN starts THEN recv_ms END) OVER (
       PARTITION BY symbol, market, side, price ORDER BY update_id ROWS UNBOUNDED PRECEDING) AS first_seen_ms
   FROM (SELECT *, qty > 0 AND coalesce(lag(qty) OVER (PARTITION BY symbol, market, side, price ORDER BY update_id), 0) = 0 AS starts
-    FROM depth_levels) x) f ON b.symbol = f.symbol AND b.market = f.market AND b.side = f.side AND b.price = f.price AND b.last_id = f.update_id
-JOIN ({_NOW}) n ON b.symbol = n.symbol AND b.market = n.market
+    FROM ({_AT_VIEW}) w) x) f ON b.symbol = f.symbol AND b.market = f.market AND b.side = f.side AND b.price = f.price AND b.last_id = f.update_id
+JOIN ({_now_sql(_STATES, VIEW_MS)}) n ON b.symbol = n.symbol AND b.market = n.market
 """)
 def book_view(t: Tables) -> DataFrame:
-    levels = book.with_distance(book.reconstruct_book(book.first_seen(t.depth_levels, t.width)))
-    view = book.book_view(levels, AS_OF_MS, _states(t))
+    """The book and its state as of one moment."""
+    known = t.depth_levels.filter(F.col("recv_ms") <= VIEW_MS)
+    levels = book.with_distance(book.reconstruct_book(book.first_seen(known, t.width)))
+    view = book.book_view(levels, VIEW_MS, _states(t))
     return view.select("symbol", "market", "side", "price", "qty", "distance", "lifetime_ms", "bid_count",
                        "ask_count", "state")

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depthspark.operators import book, classify, rules
+from depthspark.operators import book, classify, rules, synced
 from depthspark.plans import market
 from depthspark.plans.fixtures import Tables
 from depthspark.plans.queries import query
-from depthspark.plans.queries.books import BANDED_SQL, START_MS, VERSIONS_SQL, grid_sql, last_ms
-
-STEP_MS = 2_000
-USER_STEP_MS = 10_000
+from depthspark.plans.queries.books import BANDED_SQL, SYNCED_SQL, synced_events, synced_lives
+from depthspark.session import materialize
 
 
 def _banded(t: Tables) -> DataFrame:
@@ -114,21 +112,24 @@ def visible_books(t: Tables) -> DataFrame:
     return classify.visible_books(market.top_of_books(t.depth_levels))
 
 
-def _over_time_sql(step_ms: int) -> str:
-    ticks = f"""
-SELECT v.symbol, v.market, v.side, v.price, v.qty, g.tick_ms FROM ({VERSIONS_SQL}) v
-JOIN ({grid_sql(step_ms)}) g ON v.from_ms <= g.tick_ms AND (v.to_ms IS NULL OR g.tick_ms < v.to_ms)
-"""
-    return f"""
-SELECT * FROM (SELECT l.*, abs(l.price - m.mid) / m.mid AS distance, m.mid FROM ({ticks}) l JOIN (
-  SELECT symbol, market, tick_ms, (max(CASE WHEN side = 'BID' THEN price END) + min(CASE WHEN side = 'ASK' THEN price END)) / 2.0e0 AS mid
-  FROM ({ticks}) k GROUP BY 1, 2, 3) m ON l.symbol = m.symbol AND l.market = m.market AND l.tick_ms = m.tick_ms) n
-WHERE mid IS NULL OR (price >= mid * (1.0e0 - 0.1e0) AND price <= mid * (1.0e0 + 0.1e0))
+# Ticks of 100 ms at which a shown book changes, its levels there, and the ticks at which it is lost.
+_T = "CAST(ceil({} / 100.0e0) AS BIGINT)"
+_CHANGES_SQL = SYNCED_SQL + f""",
+ticks AS MATERIALIZED (SELECT symbol, market, tick, bool_or(synced) AS synced FROM (
+    SELECT symbol, market, {_T.format("ms")} AS tick, true AS synced FROM changed WHERE lost_ms IS NULL OR {_T.format("ms")} < {_T.format("lost_ms")}
+    UNION ALL SELECT symbol, market, {_T.format("lost_ms")}, false FROM shown WHERE lost_ms IS NOT NULL) x GROUP BY 1, 2, 3),
+at_tick AS MATERIALIZED (SELECT k.symbol, k.market, k.tick, v.side, v.price, v.qty, v.first_seen_ms FROM ticks k JOIN lives v ON k.symbol = v.symbol AND k.market = v.market
+    AND k.synced AND {_T.format("v.from_ms")} <= k.tick AND (v.to_ms IS NULL OR k.tick < {_T.format("v.to_ms")})),
+levels AS MATERIALIZED (SELECT l.*, abs(l.price - m.mid) / m.mid AS distance, l.tick * 100 AS tick_ms FROM at_tick l JOIN (
+    SELECT symbol, market, tick, (max(CASE WHEN side = 'BID' THEN price END) + min(CASE WHEN side = 'ASK' THEN price END)) / 2.0e0 AS mid FROM at_tick GROUP BY 1, 2, 3) m
+    ON l.symbol = m.symbol AND l.market = m.market AND l.tick = m.tick
+  WHERE l.price >= m.mid * (1.0e0 - 0.1e0) AND l.price <= m.mid * (1.0e0 + 0.1e0))
 """
 
 
-_LEVEL_TEXT = ("concat(CAST(CAST(price AS BIGINT) AS STRING), 'x', CAST(CAST(qty AS BIGINT) AS STRING), 't', "
-               "CAST(tier AS STRING), 'd', CAST(CAST(floor(distance * 1000000) AS BIGINT) AS STRING))")
+def _level_text(first_seen: str = "first_seen_ms") -> str:
+    return ("concat(CAST(CAST(price AS BIGINT) AS STRING), 'x', CAST(CAST(qty AS BIGINT) AS STRING), 't', "
+            f"CAST(tier AS STRING), 'd', CAST(CAST(floor(distance * 1000000) AS BIGINT) AS STRING), 'f', CAST({first_seen} AS STRING))")
 
 
 def _activity_sql(top: str, grid: str, keys: str) -> str:
@@ -141,8 +142,8 @@ SELECT {keys}, tick_ms, CASE WHEN visible AND NOT was THEN 'ADD' WHEN NOT visibl
     AND (bids, asks, exact) IS DISTINCT FROM (lag(bids) OVER w, lag(asks) OVER w, lag(exact) OVER w) AS changed FROM (
     SELECT {', '.join('g.' + k.strip() for k in keys.split(','))}, g.tick_ms, coalesce(s.visible, false) AS visible, s.bids, s.asks, s.exact FROM ({grid}) g LEFT JOIN (
       SELECT {keys}, tick_ms, coalesce(max(CASE WHEN slot = 1 THEN tier END) >= 1 AND count(DISTINCT side) = 2, false) AS visible,
-        coalesce(string_agg(CASE WHEN side = 'BID' THEN {_LEVEL_TEXT} END, ',' ORDER BY slot), '') AS bids,
-        coalesce(string_agg(CASE WHEN side = 'ASK' THEN {_LEVEL_TEXT} END, ',' ORDER BY slot), '') AS asks,
+        coalesce(string_agg(CASE WHEN side = 'BID' THEN {_level_text()} END, ',' ORDER BY slot), '') AS bids,
+        coalesce(string_agg(CASE WHEN side = 'ASK' THEN {_level_text()} END, ',' ORDER BY slot), '') AS asks,
         list(distance ORDER BY side, slot) AS exact
       FROM ({top}) t3 GROUP BY {keys}, tick_ms) s ON {on} AND g.tick_ms = s.tick_ms) a
   WINDOW w AS (PARTITION BY {keys} ORDER BY tick_ms)) b
@@ -154,39 +155,51 @@ def _texts(df: DataFrame) -> DataFrame:
     def text(side: str) -> Column:
         levels = F.transform(side, lambda x: F.concat(
             x["price"].cast("bigint").cast("string"), F.lit("x"), x["qty"].cast("bigint").cast("string"), F.lit("t"),
-            x["tier"].cast("string"), F.lit("d"), F.floor(x["distance"] * 1000000).cast("bigint").cast("string")))
+            x["tier"].cast("string"), F.lit("d"), F.floor(x["distance"] * 1000000).cast("bigint").cast("string"),
+            F.lit("f"), x["first_seen_ms"].cast("string")))
         return F.coalesce(F.array_join(levels, ","), F.lit(""))
 
     return df.withColumns({"bids": text("bids"), "asks": text("asks")})
 
 
-_BOOKS = "SELECT DISTINCT symbol, market FROM depth_levels"
+def _ticks(t: Tables) -> DataFrame:
+    runs, events = synced_events(t)
+    return materialize(lambda: synced.change_ticks(events, runs), f"{t.sf_dir}/change_ticks", t.spark)
 
 
-@query(_activity_sql(_top_sql(_tiered_sql(_over_time_sql(STEP_MS)), "symbol, market, tick_ms"),
-                     f"SELECT * FROM ({_BOOKS}) k CROSS JOIN ({grid_sql(STEP_MS)}) h", "symbol, market"))
+@query(_CHANGES_SQL + _activity_sql(_top_sql(_tiered_sql("SELECT * FROM levels"), "symbol, market, tick_ms"),
+                                    "SELECT symbol, market, tick * 100 AS tick_ms FROM ticks", "symbol, market"))
 def activity_events(t: Tables) -> DataFrame:
-    return _texts(market.activity(t.depth_levels, START_MS, last_ms(t), STEP_MS, t.width))
+    return _texts(synced.activity(synced_lives(t), _ticks(t), width=t.width))
 
 
-@query(_activity_sql(_top_sql(_USER_TIERED.format(levels=_over_time_sql(USER_STEP_MS)), "user_id, symbol, market, tick_ms"),
-                     "SELECT * FROM (SELECT DISTINCT user_id, symbol, market FROM user_rules) k CROSS JOIN "
-                     f"({grid_sql(USER_STEP_MS)}) h", "user_id, symbol, market"))
+@query(_CHANGES_SQL + _activity_sql(_top_sql(_USER_TIERED.format(levels="SELECT * FROM levels"), "user_id, symbol, market, tick_ms"),
+                                    "SELECT r.user_id, k.symbol, k.market, k.tick * 100 AS tick_ms FROM ticks k JOIN "
+                                    "(SELECT DISTINCT user_id, symbol, market FROM user_rules) r ON k.symbol = r.symbol AND k.market = r.market",
+                                    "user_id, symbol, market"))
 def personal_activity(t: Tables) -> DataFrame:
-    return _texts(market.personal_activity(
-        t.depth_levels, rules.compile_rules(t.user_rules), START_MS, last_ms(t), USER_STEP_MS, t.width))
+    return _texts(market.personal(synced_lives(t), _ticks(t), rules.compile_rules(t.user_rules), width=t.width))
+
+
+def _arrays_sql(top: str, keys: str) -> str:
+    text = _level_text("-1")
+    return f"""
+SELECT {keys}, coalesce(max(CASE WHEN slot = 1 THEN tier END) >= 1 AND count(DISTINCT side) = 2, false) AS visible,
+  coalesce(string_agg(CASE WHEN side = 'BID' THEN {text} END, ',' ORDER BY slot), '') AS bids,
+  coalesce(string_agg(CASE WHEN side = 'ASK' THEN {text} END, ',' ORDER BY slot), '') AS asks FROM ({top}) t3 GROUP BY {keys}
+"""
 
 
 @query(f"""
-SELECT 'ALL' AS scope, -1 AS user_id, symbol, market, visible FROM ({_visible_sql(_TOP, "symbol, market")}) a
-UNION ALL SELECT 'USER', user_id, symbol, market, visible FROM
-  ({_visible_sql(_top_sql(_USER_TIERED.format(levels=BANDED_SQL), "user_id, symbol, market"), "user_id, symbol, market")}) b
+SELECT 'ALL' AS scope, -1 AS user_id, symbol, market, visible, bids, asks FROM ({_arrays_sql(_TOP, "symbol, market")}) a
+UNION ALL SELECT 'USER', user_id, symbol, market, visible, bids, asks FROM
+  ({_arrays_sql(_top_sql(_USER_TIERED.format(levels=BANDED_SQL), "user_id, symbol, market"), "user_id, symbol, market")}) b
 """)
 def classify_books(t: Tables) -> DataFrame:
-    everyone, personal = classify.classify(_banded(t), rules.compile_rules(t.user_rules))
-    columns = ["scope", "user_id", "symbol", "market", "visible"]
-    return (everyone.withColumns({"scope": F.lit("ALL"), "user_id": F.lit(-1)}).select(*columns)
-            .unionByName(personal.withColumn("scope", F.lit("USER")).select(*columns)))
+    everyone, personal = classify.classify(_banded(t).withColumn("first_seen_ms", F.lit(-1).cast("bigint")), rules.compile_rules(t.user_rules))
+    columns = ["scope", "user_id", "symbol", "market", "visible", "bids", "asks"]
+    return _texts(everyone.withColumns({"scope": F.lit("ALL"), "user_id": F.lit(-1)}).select(*columns)
+                  .unionByName(personal.withColumn("scope", F.lit("USER")).select(*columns)))
 
 
 # --- rules -------------------------------------------------------------------------------------

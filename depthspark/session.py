@@ -73,3 +73,13 @@ def materialize(make: Callable[[], DataFrame], name: str, spark: SparkSession) -
         df.write.parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A table that an operator reads several times, written once into the shared folder; the same plan where there is none."""
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
+        return df
+    path = f"{folder}/part-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,6 +13,7 @@ the smallest hash of their id. So the broadcast is at most ``2 * per_class * dim
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from depthspark.llm.common import Words, constants, slices, text_buffers
+from depthspark.llm.common import Words, constants, release_memory, slices, text_buffers
 
 TERMS = 4_096
 SHAPES = 64
@@ -98,7 +99,9 @@ class Voters:
         self.prior = per_label.get(1, 0) / total if total else 0.5
         self.labels = labels.astype(np.float32)
         self.weights = np.array([per_label[y] / max(1, int((labels == y).sum())) for y in labels.tolist()], np.float32)
-        x = self._weighted(rows)
+        x = np.empty(rows.shape, np.float32)
+        for first in range(0, len(rows), BLOCK):
+            x[first:first + BLOCK] = self._weighted(rows[first:first + BLOCK])
         self.space = _singular_vectors(x, min(dimensions, *x.shape)) if len(x) else np.zeros((TERMS + SHAPES, 1), np.float32)
         self.vectors = _unit(x @ self.space)
 
@@ -141,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, per_class: int = P
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, counts in term_counts(batch.column(1)):
-                packed = [np.minimum(c, 65535).astype(np.uint16).tobytes() for c in counts]
+                packed = [zlib.compress(c.astype(np.uint32).tobytes(), 1) for c in counts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(packed)), batch.column(2).slice(first, len(packed)), pa.array(packed, pa.binary())],
                                                  ["doc_id", "quality", "counts"])
 
@@ -149,8 +152,13 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, per_class: int = P
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     sample = sorted({r.doc_id: (r.doc_id, r.quality, bytes(r.counts)) for r in mine.mapInArrow(rows, "doc_id long, quality int, counts binary").toLocalIterator()}.values())
     found, total = document_frequencies(docs)
-    counts = np.array([np.frombuffer(c, np.uint16) for _, _, c in sample], np.float32).reshape(-1, TERMS + SHAPES)
-    return Voters(np.log((1 + total) / (1 + found)) + 0.05, counts, np.array([y for _, y, _ in sample], int), per_label, **shape)
+    counts = np.empty((len(sample), TERMS + SHAPES), np.float32)
+    for row, (_, _, packed) in zip(counts, sample, strict=True):
+        row[:] = np.frombuffer(zlib.decompress(packed), np.uint32)
+    voters = Voters(np.log((1 + total) / (1 + found)) + 0.05, counts, np.array([y for _, y, _ in sample], int), per_label, **shape)
+    del counts, sample
+    release_memory()
+    return voters
 
 
 def quality_scores(docs: DataFrame, voters: Voters) -> DataFrame:

@@ -157,8 +157,7 @@ def test_leaks_match_brute_force(spark):
                     want.add((doc_id, index.ids[item]))
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
     assert got == want and {d for d, _ in got} == {200 + i for i in range(60) if i % 3 == 0}
-    parts = decontaminate.Index.__init__
-    assert parts and {tuple(r[:2]) for r in decontaminate.leaks(docs, bench.repartition(3)).collect()} == want
+    assert {tuple(r[:2]) for r in decontaminate.leaks(docs, bench.repartition(3)).collect()} == want
     clean = decontaminate.without_leaks(docs, bench)
     assert clean.columns == docs.columns and sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(r[0]) for r in rows if r[0] not in {d for d, _ in got})
     nothing = spark.createDataFrame([], "item_id long, text string")
@@ -166,11 +165,74 @@ def test_leaks_match_brute_force(spark):
     assert decontaminate.leaks(table(spark, []), bench).count() == 0
 
 
-def test_parts_of_the_index_find_the_same(spark):
-    items = [(i, prose(500 + i, 30)) for i in range(20)]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    assert len(list(decontaminate.indexes(bench, part_words=100))) > 3
-    assert sum(len(i.ids) for i in decontaminate.indexes(bench, part_words=100)) == 20
+def plain_leaks(rows, items, threshold=0.5):
+    """The registered mode on lists of words: item by item and passage by passage, with weights from counters."""
+    texts = [(i, words(t)) for i, t in items if words(t)]
+    df = Counter(w for _, t in texts for w in set(t))
+    mean, stretch = sum(len(t) for _, t in texts) / len(texts), max(decontaminate.LEAST_STRETCH, *(len(t) for _, t in texts))
+    out = {}
+    for doc_id, text, *_ in rows:
+        doc = words(text)
+        for a in range(0, len(doc), stretch):
+            passage = doc[a:a + 2 * stretch]
+            for item, t in texts:
+                weight = {w: math.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w, n in Counter(t).items()}
+                total = sum(weight.values())
+                half = -(-len(t) // 2)
+                least = min(sum(weight[w] for w in set(t[k:k + half])) / total for k in range(len(t) - half + 1))
+                score = sum(weight[w] for w in set(passage) & set(t)) / total
+                if score * max(1.0, threshold / least * 1.0001) < threshold:
+                    continue
+                run = min(5, len(t))
+                shingles = [tuple(t[k:k + run]) for k in range(len(t) - run + 1)]
+                there = {tuple(passage[k:k + run]) for k in range(len(passage) - run + 1)}
+                verbatim = any(set(shingles[k:k + max(1, half - run + 1)]) <= there for k in range(len(shingles) - max(1, half - run + 1) + 1))
+                if verbatim or sum(x in there for x in set(shingles)) >= 0.5 * len(set(shingles)):
+                    out[doc_id, item] = max(out.get((doc_id, item), 0.0), score)
+    return out
+
+
+def test_whole_items_match_brute_force_in_any_parts(spark, monkeypatch):
+    items = [(i, prose(500 + i, 12 + 3 * i)) for i in range(25)] + [(30, prose(500, 12)), (31, "one two three"), (32, None), (None, prose(700, 25))]
+    rng, rows = random.Random(8), [r for r in edge_rows() if r[0] not in (6, None)]
+    for i in range(50):
+        item = words(rng.choice(items[:25])[1])
+        k = rng.randrange(len(item) // 2 + 1)
+        cut = {0: item, 1: item[k:k + len(item) // 3], 2: item[k:k + -(-len(item) // 2)], 3: [w for j, w in enumerate(item) if j % 9]}[i % 4]
+        rows.append((200 + i, " ".join([prose(900 + i, rng.randint(0, 120)), *(w.decode() for w in cut), prose(950 + i, rng.randint(0, 60))]), "en", "a"))
+    docs, bench = table(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    want = plain_leaks(rows, items)
+    found = decontaminate.leaks(docs, bench, answer_share=None).collect()
+    got = {(r.doc_id, r.item_id): r.score for r in found}
+    assert got.keys() == want.keys() and len(want) > 20 and all(math.isclose(got[k], want[k], rel_tol=1e-6) for k in want)
+    one = {share: sorted(map(str, decontaminate.leaks(docs, bench, answer_share=share).collect())) for share in (None, 0.25)}
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 100)
+    assert len(list(decontaminate.indexes(bench, 100))) > 1
+    assert sum(len(i.ids) for some in decontaminate.indexes(bench, 100) for i in some) == 28
+    for share, rows_of_one in one.items():
+        assert sorted(map(str, decontaminate.leaks(docs, bench, answer_share=share).collect())) == rows_of_one
+        kept = {r.doc_id for r in decontaminate.without_leaks(docs, bench, answer_share=share).collect()}
+        assert kept == {r[0] for r in rows} - {r.doc_id for r in decontaminate.leaks(docs, bench, answer_share=share).collect()}
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from depthspark.llm import common
+
+    class Far:
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("Context", (), {"master": "spark://somewhere:7077"})
+
+    with pytest.raises(RuntimeError):
+        common.shared_folder(Far())
+
+
+def test_counts_beyond_sixteen_bits_are_kept(spark):
+    text = "ab " * 70_000
+    docs, labels = spark.createDataFrame([(1, text), (2, prose(1, 30))], "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    voters = knn_quality.fit(docs, labels, F.lit(True))
+    counts = np.concatenate([c for _, c in knn_quality.term_counts(pa.array([text]))])
+    x = voters._weighted(counts) @ voters.space
+    assert counts.max() > 65_535 and np.allclose(x / np.linalg.norm(x), voters.vectors[0], atol=1e-5)
 
 
 def labelled(spark, kind: str):

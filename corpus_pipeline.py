@@ -7,9 +7,11 @@ are written; the last stage returns where each document's ids are.
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
-from depthspark.llm.common import new_path, store, tune
+from depthspark.llm.common import new_path, release_memory, store, tune
 from depthspark.llm.decontaminate import without_leaks
 from depthspark.llm.knn_quality import fit, quality_scores
 from depthspark.llm.mixing import mix, repeated
@@ -18,32 +20,38 @@ from depthspark.llm.pitman_yor import remainder
 from depthspark.llm.token_files import token_digest, write_tokens
 
 LEAST_QUALITY = 0.3
-WORDS_KEPT = 200_000   # workers live through all stages, so each keeps less than the writer alone would
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with its settings; what the driver kept for the stage before goes back to the machine."""
+    gc.collect()
+    release_memory()
+    return tune(spark)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = tune(spark).read.parquet(f"{sf_dir}/labels.parquet")
+    labels = ready(spark).read.parquet(f"{sf_dir}/labels.parquet")
     scored = quality_scores(docs, fit(docs, labels, remainder("doc_id", 5) != 0))
     return scored.where(scored["quality_score"] >= LEAST_QUALITY).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    tune(spark)
+    ready(spark)
     return one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_leaks(docs, tune(spark).read.parquet(f"{sf_dir}/benchmark.parquet"), answer_share=None)
+    return without_leaks(docs, ready(spark).read.parquet(f"{sf_dir}/benchmark.parquet"), answer_share=None)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    tune(spark)
+    ready(spark)
     return repeated(docs, mix(docs))
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = new_path(tune(spark), "tokens")
-    write_tokens(docs, path, cache=WORDS_KEPT)
+    path = new_path(ready(spark), "tokens")
+    write_tokens(docs, path)
     return token_digest(spark, path)
 
 

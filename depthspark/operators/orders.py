@@ -17,6 +17,7 @@ HISTORY_ROWS = 100
 INVOICE_SECONDS = 30 * 60
 SECONDS_PER_DAY = 86_400
 PAGE_SIZE, MAX_PAGE_SIZE = 20, 100
+RANGE_S = 86_400      # users are counted per day of their creation
 
 
 # --- reads -------------------------------------------------------------------------------------
@@ -61,15 +62,33 @@ def transition_audit(history: DataFrame) -> DataFrame:
             .drop("prev_to_status"))
 
 
+def page_of_users(users: DataFrame, first: int, size: int, range_s: int = RANGE_S) -> DataFrame:
+    """The users at places ``first`` to ``first + size - 1``, newest first, with their ``place``.
+
+    Users are counted per range of ``range_s`` seconds of their creation; the running counts tell which ranges hold the page, and
+    only these are sorted, each by itself. So a page far down costs what the first one does: no task sorts, or holds,
+    more than one range. Users without a creation time come last, as one range.
+    """
+    ranged = users.withColumn("__range", scan.block_of("created_s", range_s))
+    newest = Window.orderBy(F.desc_nulls_last("__range"))
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n")).withColumn("__upto", F.sum("__n").over(newest))
+    held = counts.filter((F.col("__upto") > first) & (F.col("__upto") - F.col("__n") < first + size))
+    rows = ranged.join(held, ranged["__range"].eqNullSafe(held["__range"])).drop(held["__range"])
+    inside = Window.partitionBy("__range").orderBy(F.desc_nulls_last("created_s"), F.asc("user_id"))
+    place = F.col("__upto") - F.col("__n") + F.row_number().over(inside) - 1
+    return (rows.withColumn("place", place).filter((F.col("place") >= first) & (F.col("place") < first + size))
+            .select(*users.columns, "place"))
+
+
 def user_directory(users: DataFrame, entitlement: DataFrame, as_of_s: int, page: int = 0,
                    size: int = PAGE_SIZE) -> DataFrame:
     """One page of users, newest first, with access state; the expiry is shown for admins too.
 
-    ``entitlement`` has ``user_id, expires_s, has_paid``. The page is cut before the join.
+    ``entitlement`` has ``user_id, expires_s, has_paid``. The page is located and cut before the join (``page_of_users``).
     """
     size = PAGE_SIZE if size <= 0 else min(size, MAX_PAGE_SIZE)
     order = [F.desc("created_s"), F.asc("user_id")]
-    shown = users.orderBy(*order).offset(max(page, 0) * size).limit(size)
+    shown = page_of_users(users, max(page, 0) * size, size)
     expires = F.col("expires_s")
     state = (F.when(F.col("role") == "ADMIN", "ADMIN")
              .when(expires.isNull() | (F.lit(as_of_s) >= expires), "EXPIRED")
@@ -97,31 +116,19 @@ def _stale(as_of_s: int) -> Column:
     return F.coalesce(F.col("expires_s") <= as_of_s, F.lit(False))
 
 
-def reconcile(orders: DataFrame, payments: DataFrame, as_of_s: int) -> DataFrame:
-    """What a sweep does with every PENDING order, from the provider's answers.
-
-    ``payments`` has one row per fetched uuid: ``provider_uuid, raw_status, error_code, total_minor`` and
-    maybe ``provider_text``. Orders without an answer are left for the next sweep.
-    """
-    text = F.col("provider_text") if "provider_text" in payments.columns else F.lit(None).cast("string")
-    answers = map_provider_status(payments).select(
-        F.col("provider_uuid").alias("__uuid"), F.col("status").alias("__status"), "total_minor",
-        text.alias("__text"), F.lit(True).alias("__fetched"))
-    df = (orders.filter(F.col("status") == "PENDING")
-          .withColumn("__expected", cur.minor_units(F.col("amount")))
-          .join(answers, F.col("provider_uuid") == F.col("__uuid"), "left"))
-    status, paid, expected = F.col("__status"), F.col("total_minor"), F.col("__expected")
-    stale, success = _stale(as_of_s), F.col("__status") == "SUCCESS"
+def _sweep_verdict(df: DataFrame, answer: Column, paid: Column, expected: Column, text: Column, stale: Column) -> DataFrame:
+    """Adds ``action``, ``reason`` and ``detail`` of a sweep that finds the order PENDING."""
+    success = answer == "SUCCESS"
     inexact = success & expected.isNull()
     mismatch = success & (paid.isNull() | (paid != expected))
-    timed_out = stale & (F.col("provider_uuid").isNull() | (status == "PENDING"))
+    timed_out = stale & (F.col("provider_uuid").isNull() | (answer == "PENDING"))
     rules = [
         (inexact, "NONE", None),
         (mismatch, "FAIL", "AMOUNT_MISMATCH"),
         (success, "GRANT", "RECONCILED_GRANT"),
-        (status == "ERROR", "FAIL", "PROVIDER_ERROR"),
-        (status == "REVERT", "REVERT", "PROVIDER_REVERT"),
-        (status.isin("CANCELED", "NOT_FOUND"), "EXPIRE", "INVOICE_EXPIRED"),
+        (answer == "ERROR", "FAIL", "PROVIDER_ERROR"),
+        (answer == "REVERT", "REVERT", "PROVIDER_REVERT"),
+        (answer.isin("CANCELED", "NOT_FOUND"), "EXPIRE", "INVOICE_EXPIRED"),
         (timed_out, "EXPIRE", "INVOICE_EXPIRED"),
     ]
     action, reason = F.lit("NONE"), F.lit(None).cast("string")
@@ -133,8 +140,70 @@ def reconcile(orders: DataFrame, payments: DataFrame, as_of_s: int) -> DataFrame
     detail = (F.when(inexact, "amount not exact")
               .when(mismatch, F.concat(F.lit("reconciliation: provider="), shown, F.lit(" expected="),
                                        expected.cast("string")))
-              .when(status == "ERROR", F.col("__text")))
-    return df.select("order_id", action.alias("action"), reason.alias("reason"), detail.alias("detail"))
+              .when(answer == "ERROR", text))
+    return df.withColumns({"action": action, "reason": reason, "detail": detail})
+
+
+def _answers(payments: DataFrame, *more: str) -> DataFrame:
+    text = F.col("provider_text") if "provider_text" in payments.columns else F.lit(None).cast("string")
+    return map_provider_status(payments).select(
+        F.col("provider_uuid").alias("__uuid"), F.col("status").alias("__status"), "total_minor", text.alias("__text"), *more)
+
+
+def reconcile(orders: DataFrame, payments: DataFrame, as_of_s: int) -> DataFrame:
+    """What a sweep does with every PENDING order, from the provider's answers.
+
+    ``payments`` has one row per fetched uuid: ``provider_uuid, raw_status, error_code, total_minor`` and
+    maybe ``provider_text``. Orders without an answer are left for the next sweep.
+    """
+    df = (orders.filter(F.col("status") == "PENDING")
+          .withColumn("__expected", cur.minor_units(F.col("amount")))
+          .join(_answers(payments), F.col("provider_uuid") == F.col("__uuid"), "left"))
+    judged = _sweep_verdict(df, F.col("__status"), F.col("total_minor"), F.col("__expected"), F.col("__text"), _stale(as_of_s))
+    return judged.select("order_id", "action", "reason", "detail")
+
+
+def payment_log(callbacks: DataFrame, sweeps: DataFrame, orders: DataFrame, secrets: DataFrame, allowed_ip: str) -> DataFrame:
+    """Every callback and every sweep of an order in order of time, with the state it met and what it did.
+
+    ``callbacks`` have ``callback_id, at_s`` and what ``callback_audit`` needs; ``sweeps`` have ``sweep_id, at_s`` and a provider's answer,
+    one row per fetch. Returns ``order_id, at_s, source, event_id, before, action, reason, after, grants``. A sweep moves PENDING orders
+    only; a valid callback pays any order that is not CREATED, PAID or REVERTED. So what an event meets follows from the first
+    sweep before it that moved the order and from the valid callbacks before it: one window per order. At one time callbacks
+    come first, then ids decide. Callbacks of unknown orders are left out; see ``callback_audit`` for them.
+    """
+    known = orders.select("order_id", "status", "provider_uuid", "expires_s", cur.minor_units(F.col("amount")).alias("__expected"))
+    audited = callback_audit(callbacks, orders, secrets, allowed_ip).filter(F.col("order_id").isNotNull())
+    called = (audited.join(known.select("order_id", F.col("status").alias("__first"), "__expected"), "order_id")
+              .withColumn("__exact", F.coalesce(F.col("amount") == F.col("__expected"), F.lit(False)))
+              .select("order_id", "at_s", F.lit("CALLBACK").alias("source"), F.col("callback_id").cast("string").alias("event_id"), "__first",
+                      F.when(F.col("outcome").isin("BAD_SOURCE", "BAD_SIGN"), F.col("outcome"))
+                      .when(F.col("__expected").isNull(), "INEXACT").when(~F.col("__exact"), "MISMATCH").otherwise("PAY").alias("__does"),
+                      F.lit(None).cast("string").alias("__why")))
+    asked = known.join(_answers(sweeps, "sweep_id", "at_s"), F.col("provider_uuid") == F.col("__uuid"))
+    swept = _sweep_verdict(asked, F.col("__status"), F.col("total_minor"), F.col("__expected"), F.col("__text"), F.coalesce(F.col("expires_s") <= F.col("at_s"), F.lit(False)))
+    swept = swept.select("order_id", "at_s", F.lit("RECONCILIATION").alias("source"), F.col("sweep_id").cast("string").alias("event_id"), F.col("status").alias("__first"),
+                         F.col("action").alias("__does"), F.col("reason").alias("__why"))
+    log = called.unionByName(swept)
+    callback = F.col("source") == "CALLBACK"
+    before = Window.partitionBy("order_id").orderBy("at_s", "source", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    pays = callback & (F.col("__does") == "PAY")
+    moves = F.when(pays | (F.col("__does") == "GRANT"), "PAID").when(~callback, F.create_map(*[F.lit(x) for x in ("FAIL", "FAILED", "EXPIRE", "EXPIRED", "REVERT", "REVERTED")])[F.col("__does")])
+    log = log.withColumns({"__move": F.first(moves, ignorenulls=True).over(before), "__paid": F.coalesce(F.max(pays).over(before), F.lit(False))})
+    rescued = lambda state: F.when(F.col("__paid"), F.lit("PAID")).otherwise(state)
+    met = (F.when(F.col("__first") == "PENDING", F.when(F.col("__move").isNull(), "PENDING").when(F.col("__move").isin("PAID", "REVERTED"), F.col("__move"))
+                  .otherwise(rescued(F.col("__move"))))
+           .when(F.col("__first").isin("EXPIRED", "FAILED", "CANCELED"), rescued(F.col("__first"))).otherwise(F.col("__first")))
+    log = log.withColumn("before", met)
+    status, does = F.col("before"), F.col("__does")
+    grants = (pays & status.isin("PENDING", "EXPIRED", "FAILED", "CANCELED")) | (~callback & (does == "GRANT") & (status == "PENDING"))
+    action = (F.when(does.isin("BAD_SOURCE", "BAD_SIGN"), does)
+              .when(callback, F.when(grants, "GRANT").when(status == "PAID", "OK").when(does == "INEXACT", "RETRY").when(does == "MISMATCH", "REJECT")
+                    .when(status == "CREATED", "RETRY").otherwise("OK"))
+              .when(status == "PENDING", does).otherwise("NONE"))
+    reason = (F.when(callback & grants, "CALLBACK_GRANT").when(callback & (action == "REJECT"), "AMOUNT_MISMATCH").when(~callback & (status == "PENDING"), F.col("__why")))
+    after = F.when(grants, "PAID").when(~callback & (status == "PENDING"), F.coalesce(moves, status)).otherwise(status)
+    return log.select("order_id", "at_s", "source", "event_id", "before", action.alias("action"), reason.alias("reason"), after.alias("after"), grants.alias("grants"))
 
 
 def callback_audit(callbacks: DataFrame, orders: DataFrame, secrets: DataFrame, allowed_ip: str) -> DataFrame:
@@ -286,51 +355,93 @@ def _bad_rows(df: DataFrame, **checks: Column) -> DataFrame:
     return counted.select(F.explode(F.array(*pairs)).alias("__p")).select("__p.*")
 
 
-def _repeats(name: str, df: DataFrame, keys: list[str]) -> DataFrame:
-    return _one(name, df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > 1))
+_PARENT = ""   # the rule name under which a parent's own key stands
+
+
+class _Checks:
+    """What one table adds to the audit: for each row its keys to be unique, its bad values, the keys it has and the keys it points to."""
+
+    def __init__(self, df: DataFrame):
+        self.df, self.found, self.rules = df, [], []
+
+    def _add(self, space: str, rule: str, when: Column, *keys: str) -> _Checks:
+        self.rules.append(rule)
+        text = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x1e")) for k in keys]) if keys else F.lit("")
+        self.found.append(F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(space).alias("space"), text.alias("key"), F.lit(rule).alias("rule"))))
+        return self
+
+    def unique(self, rule: str, *keys: str, where: Column | None = None) -> _Checks:
+        return self._add(f"unique {rule}", rule, F.lit(True) if where is None else where, *keys)
+
+    def bad(self, **rules: Column) -> _Checks:
+        for rule, condition in rules.items():
+            self._add(f"bad {rule}", rule, condition)
+        return self
+
+    def filled(self, rule: str, *columns: str) -> _Checks:
+        """Rows in which one of the columns that the table has is null."""
+        missing = F.lit(False)
+        for c in (c for c in columns if c in self.df.columns):
+            missing = missing | F.col(c).isNull()
+        return self.bad(**{rule: missing})
+
+    def parent(self, name: str, key: str) -> _Checks:
+        return self._add(f"key {name}", _PARENT, F.col(key).isNotNull(), key)
+
+    def child(self, rule: str, column: str, parent: str) -> _Checks:
+        return self._add(f"key {parent}", rule, F.col(column).isNotNull(), column)
 
+    def names(self) -> list[str]:
+        return [rule for rule in self.rules if rule != _PARENT]
 
-def _orphans(name: str, df: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
-    # Partial distinct first: one row per key and task reaches the join.
-    used = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__rows"))
-    lost = used.join(parent.select(F.col(key).alias(column)).distinct(), column, "left_anti")
-    return lost.agg(F.coalesce(F.sum("__rows"), F.lit(0)).alias("violations")).select(
-        F.lit(name).alias("constraint"), "violations")
+    def rows(self) -> DataFrame:
+        return self.df.select(F.explode(F.array_compact(F.array(*self.found))).alias("__c")).select("__c.*")
 
 
 def constraint_audit(users: DataFrame, rules: DataFrame, plans: DataFrame, prices: DataFrame,
                      orders: DataFrame, history: DataFrame, ledger: DataFrame | None = None,
-                     connections: DataFrame | None = None) -> DataFrame:
-    """Violations per constraint: duplicate keys, bad values, and references that point nowhere.
+                     connections: DataFrame | None = None, entitlements: DataFrame | None = None) -> DataFrame:
+    """Violations per constraint: duplicate keys, bad or missing values, and references that point nowhere.
 
-    Duplicates are counted in keys, the rest in rows.
+    Duplicates are counted in keys, the rest in rows. Every table is read once: a row is expanded to one small row per constraint it
+    takes part in, as grouping sets do. One shuffle on (space of keys, key) then decides all of them: a key that is there twice, or
+    a key that is pointed to but that no parent has. Counts are summed before that shuffle, so a hot key is a few rows. ``users`` may
+    have an ``email`` and ``ledger`` an ``admin_id``.
     """
-    fixed = F.col("type") == "FIXED"
-    days = F.col("duration_days").isNotNull()
-    checks = [
-        _repeats("users_unique", users, ["user_id"]),
-        _bad_rows(users, users_role=~F.col("role").isin("USER", "ADMIN")),
-        _repeats("rules_unique_tier", rules, ["user_id", "symbol", "market", "tier_no"]),
-        _orphans("rules_user", rules, "user_id", users, "user_id"),
-        _repeats("plans_unique_code", plans, ["code"]),
-        _bad_rows(plans, plans_type=~F.col("type").isin("FIXED", "PER_DAY"), plans_duration=fixed != days),
-        _repeats("prices_unique", prices, ["code", "currency"]),
-        _bad_rows(prices, prices_amount=F.col("amount") < 0),
-        _orphans("prices_plan", prices, "code", plans, "code"),
-        _repeats("orders_unique", orders, ["order_id"]),
-        _bad_rows(orders, orders_status=~F.col("status").isin(*pay.STATUSES), orders_amount=F.col("amount") < 0),
-        _repeats("orders_one_open", orders.filter(pay.is_open(F.col("status"))), ["user_id"]),
-        _repeats("orders_provider_uuid", orders.filter(F.col("provider_uuid").isNotNull()), ["provider_uuid"]),
-        _orphans("orders_user", orders, "user_id", users, "user_id"),
-        _orphans("orders_plan", orders, "plan_code", plans.withColumnRenamed("code", "plan_code"), "plan_code"),
-        _orphans("history_order", history, "order_id", orders, "order_id"),
+    fixed, days = F.col("type") == "FIXED", F.col("duration_days").isNotNull()
+    u = _Checks(users).unique("users_unique", "user_id").bad(users_role=~F.col("role").isin("USER", "ADMIN")).parent("users", "user_id")
+    u.filled("users_not_null", "user_id", "role", *(["email"] if "email" in users.columns else []))
+    if "email" in users.columns:
+        u.unique("users_unique_email", "email", where=F.col("email").isNotNull())
+    tables = [
+        u,
+        _Checks(rules).unique("rules_unique_tier", "user_id", "symbol", "market", "tier_no").child("rules_user", "user_id", "users")
+        .filled("rules_not_null", "user_id", "symbol", "market", "tier_no", "min_notional", "max_distance"),
+        _Checks(plans).unique("plans_unique_code", "code").bad(plans_type=~F.col("type").isin("FIXED", "PER_DAY"), plans_duration=fixed != days).parent("plans", "code"),
+        _Checks(prices).unique("prices_unique", "code", "currency").bad(prices_amount=F.col("amount") < 0).child("prices_plan", "code", "plans"),
+        _Checks(orders).unique("orders_unique", "order_id").bad(orders_status=~F.col("status").isin(*pay.STATUSES), orders_amount=F.col("amount") < 0)
+        .unique("orders_one_open", "user_id", where=pay.is_open(F.col("status")))
+        .unique("orders_provider_uuid", "provider_uuid", where=F.col("provider_uuid").isNotNull())
+        .child("orders_user", "user_id", "users").child("orders_plan", "plan_code", "plans").parent("orders", "order_id")
+        .filled("orders_not_null", "order_id", "user_id", "status", "amount"),
+        _Checks(history).child("history_order", "order_id", "orders"),
     ]
     if ledger is not None:
-        checks += [_orphans("ledger_user", ledger, "user_id", users, "user_id"),
-                   _orphans("ledger_order", ledger, "order_id", orders, "order_id")]
+        own = _Checks(ledger).child("ledger_user", "user_id", "users").child("ledger_order", "order_id", "orders").filled("ledger_not_null", "user_id", "source", "granted_seconds")
+        tables.append(own.child("ledger_admin", "admin_id", "users") if "admin_id" in ledger.columns else own)
     if connections is not None:
-        checks.append(_orphans("connections_user", connections, "user_id", users, "user_id"))
-    result = checks[0]
-    for check in checks[1:]:
-        result = result.unionByName(check)
-    return result
+        tables.append(_Checks(connections).child("connections_user", "user_id", "users"))
+    if entitlements is not None:
+        tables.append(_Checks(entitlements).unique("entitlement_unique", "user_id").child("entitlement_user", "user_id", "users").filled("entitlement_not_null", "user_id", "has_paid"))
+    expanded = tables[0].rows()
+    for table in tables[1:]:
+        expanded = expanded.unionByName(table.rows())
+    counted = expanded.groupBy("space", "key", "rule").agg(F.count("*").alias("n"))
+    has_parent = F.max(F.col("rule") == _PARENT).over(Window.partitionBy("space", "key"))
+    judged = counted.withColumn("__known", has_parent).filter(F.col("rule") != _PARENT)
+    hits = (F.when(F.col("space").startswith("unique "), (F.col("n") > 1).cast("bigint")).when(F.col("space").startswith("bad "), F.col("n"))
+            .otherwise(F.when(F.col("__known"), 0).otherwise(F.col("n"))))
+    found = judged.groupBy(F.col("rule").alias("constraint")).agg(F.sum(hits).alias("violations"))
+    names = [name for table in tables for name in table.names()]
+    every = users.sparkSession.createDataFrame([(name,) for name in names], "constraint string")
+    return every.join(found, "constraint", "left").withColumn("violations", F.coalesce("violations", F.lit(0).cast("bigint")))

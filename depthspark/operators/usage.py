@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from datetime import date, datetime, time, timedelta, timezone
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from depthspark.session import stored
+
 DEFAULT_ZONE = "Asia/Tashkent"
 DEFAULT_SLICE = "PT1H"
 MIN_SLICE_SECONDS = 60
@@ -149,3 +151,83 @@ def presence_totals(present: DataFrame) -> DataFrame:
 
 def last_seen(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max("connected_at").alias("last_seen_at"))
+
+
+# --- a state that merges --------------------------------------------------------------------------
+
+UNIT_S = 900   # every zone's offset is a whole number of these, so any local hour, day, month and year is made of them
+
+
+def user_numbers(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``user_id, number``: numbers from 0 on without large holes; users in ``known`` keep theirs, new ones follow.
+
+    Ranges of ids are numbered side by side; only one row per range is summed.
+    """
+    users = events.select("user_id").filter(F.col("user_id").isNotNull()).distinct()
+    first = F.lit(0).cast("bigint")
+    if known is not None:
+        users = users.join(known, "user_id", "left_anti")
+        first = F.coalesce(known.select(F.max("number") + 1).scalar(), first)
+    placed = stored(users.repartitionByRange("user_id").sortWithinPartitions("user_id").withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    inside = F.col("__at") - F.shiftleft(F.col("__part"), 33)
+    new = placed.withColumn("__part", part).join(before, "__part").select("user_id", (first + F.col("__before") + inside).alias("number"))
+    return new if known is None else known.select("user_id", "number").unionByName(new)
+
+
+def usage_state(events: DataFrame, numbers: DataFrame, unit_s: int = UNIT_S) -> DataFrame:
+    """``unit, bucket, users``: who connected in each unit of time, as bitmaps of user numbers (32,768 to a bucket).
+
+    Exact, small, and mergeable: units of two states are joined with ``merge_states``, and any slice made of whole units is counted from the
+    state without another look at the log.
+    """
+    unit = F.floor(F.unix_seconds(_instant()) / unit_s).cast("bigint")
+    numbered = events.select("user_id", unit.alias("unit")).distinct().join(numbers, "user_id")
+    number = F.col("number") + 1   # the bit functions count from 1
+    return (numbered.groupBy("unit", F.bitmap_bucket_number(number).alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("users")))
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """One state of several; a connect that is in more than one of them counts once."""
+    every = states[0]
+    for state in states[1:]:
+        every = every.unionByName(state)
+    return every.groupBy("unit", "bucket").agg(F.bitmap_or_agg("users").alias("users"))
+
+
+def _count(slices: DataFrame) -> DataFrame:
+    """Distinct users per ``slice``: the bitmaps of a bucket are joined, their bits are counted, buckets are added up."""
+    return (slices.groupBy("slice", "bucket").agg(F.bitmap_or_agg("users").alias("users"))
+            .groupBy("slice").agg(F.sum(F.bitmap_count("users")).alias("unique_connections")))
+
+
+def _units(state: DataFrame, window: UsageWindow, unit_s: int) -> DataFrame:
+    first, last = window.start_epoch, int(window.end.timestamp())
+    if first % unit_s or last % unit_s:
+        raise ValueError("the window is not made of whole units")
+    return state.filter((F.col("unit") >= first // unit_s) & (F.col("unit") < last // unit_s))
+
+
+def state_fixed(state: DataFrame, window: UsageWindow, slice_seconds: int, unit_s: int = UNIT_S) -> DataFrame:
+    """``usage_fixed`` from a state."""
+    if slice_seconds % unit_s:
+        raise ValueError(f"a slice of {slice_seconds} s is not made of units of {unit_s} s")
+    anchor = window.start_epoch
+    number = F.expr(f"(unit * {unit_s} - {anchor}) div {slice_seconds}")
+    start = F.lit(anchor) + F.col("slice") * slice_seconds
+    return _count(_units(state, window, unit_s).withColumn("slice", number)).select(
+        F.timestamp_seconds(start).alias("slice_start"), F.timestamp_seconds(start + slice_seconds).alias("slice_end"), "unique_connections")
+
+
+def state_calendar(state: DataFrame, window: UsageWindow, unit: str, unit_s: int = UNIT_S) -> DataFrame:
+    """``usage_calendar`` from a state."""
+    if unit not in CALENDAR.values():
+        raise ValueError(f"unit must be month or year: {unit}")
+    zone = F.lit(window.zone)
+    local = F.date_trunc(unit, F.from_utc_timestamp(F.timestamp_seconds(F.col("unit") * unit_s), zone))
+    after = F.add_months("slice", 1 if unit == "month" else 12).cast("timestamp")
+    return _count(_units(state, window, unit_s).withColumn("slice", local)).select(
+        F.to_utc_timestamp("slice", zone).alias("slice_start"), F.to_utc_timestamp(after, zone).alias("slice_end"), "unique_connections")

@@ -96,6 +96,11 @@ VIEWS["connection_events"] = """
 SELECT event_id AS id, user_id, ts AS connected_at FROM events
 """
 
+# A log over seven years.
+VIEWS["order_log"] = """
+SELECT o_orderkey AS id, o_custkey AS user_id, o_orderdate AS connected_at FROM orders
+"""
+
 VIEWS["sessions"] = """
 SELECT event_id AS session_id, user_id, 1704067200 + event_id * 259 AS opened_s,
   CASE WHEN event_id % 5 = 0 THEN NULL ELSE 1704067200 + event_id * 259 + 60 + (event_id * 37) % 40000 END AS closed_s FROM events
@@ -106,6 +111,16 @@ SELECT c_custkey AS user_id, CASE WHEN c_custkey % 50 = 0 THEN 'ADMIN' ELSE 'USE
   788918400 + c_custkey * 86400 AS created_s FROM customer
 """
 
+# Users with e-mail addresses, some of them twice or missing, and the ledger with the admin behind a grant.
+VIEWS["accounts"] = """
+SELECT user_id, role, CASE WHEN user_id % 71 = 0 THEN CAST(NULL AS STRING) WHEN user_id % 53 = 0 THEN 'same@example.org' ELSE concat('u', CAST(user_id - user_id % 97 % 2 AS STRING), '@example.org') END AS email FROM users
+"""
+
+VIEWS["ledger"] = """
+SELECT order_id + CASE WHEN order_id % 43 = 0 THEN 100000000 ELSE 0 END AS order_id, CASE WHEN order_id % 59 = 0 THEN CAST(NULL AS BIGINT) ELSE user_id END AS user_id, source, granted_seconds,
+  CASE WHEN source = 'ADMIN' THEN CASE WHEN order_id % 37 = 0 THEN -user_id ELSE user_id END END AS admin_id FROM grants
+"""
+
 VIEWS["plans"] = """
 SELECT * FROM (VALUES ('weekly', 'FIXED', 7, true), ('monthly', 'FIXED', 30, true), ('yearly', 'FIXED', 365, false),
   ('pay_as_you_go', 'PER_DAY', CAST(NULL AS INT), true)) AS p(code, type, duration_days, active)
@@ -150,6 +165,18 @@ SELECT order_id AS callback_id, 'store-1' AS store_id, CAST(order_id AS STRING)
 FROM pay_orders
 """
 
+# Callbacks and provider answers as they came in over time; some callbacks are sent again, and orders are swept twice.
+VIEWS["callback_log"] = """
+SELECT callback_id * 2 AS callback_id, store_id, invoice_id, uuid, amount, source_ip, sign, 1704067200 + (callback_id * 31) % 7200 AS at_s FROM callbacks
+UNION ALL SELECT callback_id * 2 + 1, store_id, invoice_id, uuid, amount, source_ip, sign, 1704067200 + (callback_id * 31) % 7200 + (callback_id % 3) * 900 FROM callbacks WHERE callback_id % 4 < 2
+"""
+
+VIEWS["sweep_log"] = """
+SELECT concat(provider_uuid, '-1') AS sweep_id, provider_uuid, raw_status, error_code, total_minor, 1704067200 + (CAST(substr(provider_uuid, 4) AS BIGINT) * 17) % 7200 AS at_s FROM provider_payments
+UNION ALL SELECT concat(provider_uuid, '-2'), provider_uuid, CASE WHEN raw_status = 'draft' THEN 'success' ELSE raw_status END, CAST(NULL AS STRING), total_minor,
+  1704067200 + (CAST(substr(provider_uuid, 4) AS BIGINT) * 17) % 7200 + 3000 FROM provider_payments
+"""
+
 VIEWS["status_history"] = """
 SELECT order_id, seq, CASE (order_id + seq * 3) % 7 WHEN 0 THEN 'CREATED' WHEN 1 THEN 'PENDING' WHEN 2 THEN 'PAID' WHEN 3 THEN 'EXPIRED' WHEN 4 THEN 'FAILED' WHEN 5 THEN 'CANCELED' ELSE 'REVERTED' END AS to_status,
   CASE WHEN (order_id + seq) % 3 = 0 THEN NULL ELSE 'PROVIDER_ERROR' END AS reason
@@ -314,7 +341,10 @@ def duckdb_sql(sql: str) -> str:
     if not ordered:
         return body
     views = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in ordered)
-    return f"WITH {views},\n{body[4:].strip()}" if body.startswith("WITH") else f"WITH {views}\n{body}"
+    for start in ("WITH RECURSIVE", "WITH"):
+        if body.startswith(start):
+            return f"{start} {views},\n{body[len(start):].strip()}"
+    return f"WITH {views}\n{body}"
 
 
 class Tables:

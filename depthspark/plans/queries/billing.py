@@ -261,6 +261,62 @@ def access_after_payments(t: Tables) -> DataFrame:
     return state.select("user_id", "state", F.coalesce(F.unix_seconds("access_expires_at"), F.lit(-1)).alias("expires_s"))
 
 
+# Each order's log is walked event by event; the state after an event is what the next one meets.
+_LOG = f"""
+WITH RECURSIVE answers AS (SELECT *, CASE WHEN error_code = 'ERROR_NOT_FOUND' THEN 'NOT_FOUND' WHEN error_code IS NOT NULL THEN NULL WHEN raw_status = 'success' THEN 'SUCCESS'
+    WHEN raw_status = 'error' THEN 'ERROR' WHEN raw_status = 'revert' THEN 'REVERT' WHEN raw_status IN ('cancelled', 'canceled') THEN 'CANCELED' ELSE 'PENDING' END AS answer FROM sweep_log),
+event AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY at_s, source, event_id) AS n FROM (
+  SELECT o.order_id, c.at_s, 'CALLBACK' AS source, CAST(c.callback_id AS STRING) AS event_id, o.status AS first, CASE WHEN c.source_ip <> '{ALLOWED_IP}' THEN 'BAD_SOURCE'
+      WHEN c.sign <> md5(concat(c.store_id, c.invoice_id, CAST(c.amount AS STRING), 'fixture-key')) THEN 'BAD_SIGN' WHEN c.amount <> o.amount_minor THEN 'MISMATCH' ELSE 'PAY' END AS does, NULL AS why
+  FROM callback_log c JOIN pay_orders o ON c.uuid = o.provider_uuid
+  UNION ALL SELECT o.order_id, a.at_s, 'RECONCILIATION', a.sweep_id, o.status,
+    CASE WHEN answer = 'SUCCESS' THEN CASE WHEN a.total_minor = o.amount_minor THEN 'GRANT' ELSE 'FAIL' END WHEN answer = 'ERROR' THEN 'FAIL' WHEN answer = 'REVERT' THEN 'REVERT'
+      WHEN answer IN ('CANCELED', 'NOT_FOUND') OR (answer = 'PENDING' AND o.expires_s <= a.at_s) THEN 'EXPIRE' ELSE 'NONE' END,
+    CASE WHEN answer = 'SUCCESS' THEN CASE WHEN a.total_minor = o.amount_minor THEN 'RECONCILED_GRANT' ELSE 'AMOUNT_MISMATCH' END WHEN answer = 'ERROR' THEN 'PROVIDER_ERROR'
+      WHEN answer = 'REVERT' THEN 'PROVIDER_REVERT' WHEN answer IN ('CANCELED', 'NOT_FOUND') OR (answer = 'PENDING' AND o.expires_s <= a.at_s) THEN 'INVOICE_EXPIRED' END
+  FROM answers a JOIN pay_orders o ON a.provider_uuid = o.provider_uuid) x),
+walk AS (SELECT order_id, 0 AS n, first AS before, first AS after FROM event WHERE n = 1
+  UNION ALL SELECT e.order_id, e.n, w.after, CASE WHEN e.source = 'CALLBACK' THEN CASE WHEN e.does = 'PAY' AND w.after IN ('PENDING', 'EXPIRED', 'FAILED', 'CANCELED') THEN 'PAID' ELSE w.after END
+    WHEN w.after <> 'PENDING' THEN w.after WHEN e.does = 'GRANT' THEN 'PAID' WHEN e.does = 'FAIL' THEN 'FAILED' WHEN e.does = 'REVERT' THEN 'REVERTED' WHEN e.does = 'EXPIRE' THEN 'EXPIRED' ELSE w.after END
+  FROM walk w JOIN event e ON e.order_id = w.order_id AND e.n = w.n + 1),
+told AS (SELECT e.*, w.before, w.after, w.before <> 'PAID' AND w.after = 'PAID' AS grants FROM walk w JOIN event e ON e.order_id = w.order_id AND e.n = w.n)
+"""
+
+
+def _log(t: Tables) -> DataFrame:
+    secrets = t.spark.createDataFrame([("fixture-key",)], "secret string")
+    return orders.payment_log(t.callback_log, t.sweep_log, _orders(t), secrets, ALLOWED_IP)
+
+
+@query(_LOG + """
+SELECT order_id, at_s, source, event_id, before, CASE WHEN does IN ('BAD_SOURCE', 'BAD_SIGN') THEN does WHEN source = 'CALLBACK' THEN
+    CASE WHEN grants THEN 'GRANT' WHEN before = 'PAID' THEN 'OK' WHEN does = 'MISMATCH' THEN 'REJECT' WHEN before = 'CREATED' THEN 'RETRY' ELSE 'OK' END
+  WHEN before = 'PENDING' THEN does ELSE 'NONE' END AS action,
+  coalesce(CASE WHEN source = 'CALLBACK' THEN CASE WHEN grants THEN 'CALLBACK_GRANT' WHEN does = 'MISMATCH' AND before <> 'PAID' THEN 'AMOUNT_MISMATCH' END WHEN before = 'PENDING' THEN why END, 'none') AS reason,
+  after, grants FROM told
+""")
+def payment_log(t: Tables) -> DataFrame:
+    return _log(t).withColumn("reason", F.coalesce("reason", F.lit("none")))
+
+
+@query(_LOG + f"""
+SELECT u.user_id, CASE WHEN u.role = 'ADMIN' THEN 'ADMIN' WHEN e.expires_s IS NULL OR e.expires_s <= {AFTER_S} THEN 'EXPIRED'
+  WHEN e.has_paid THEN 'ACTIVE' ELSE 'TRIAL' END AS state, CASE WHEN u.role = 'ADMIN' THEN -1 ELSE coalesce(e.expires_s, -1) END AS expires_s
+FROM users u LEFT JOIN (
+  SELECT user_id, CAST(sum(g) + max(at_s - s + g) AS BIGINT) AS expires_s, bool_or(source = 'PURCHASE') AS has_paid FROM (
+    SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY at_s, id ROWS UNBOUNDED PRECEDING) AS s FROM (
+      SELECT concat('old-', CAST(order_id AS STRING)) AS id, user_id, CAST(epoch(granted_at) AS BIGINT) AS at_s, granted_seconds AS g, source FROM grants
+      UNION ALL SELECT concat('order-', CAST(p.order_id AS STRING)), o.user_id, CAST(p.at_s AS BIGINT), CAST(86400 * (1 + p.order_id % 45) AS BIGINT), 'PURCHASE'
+      FROM told p JOIN pay_orders o ON p.order_id = o.order_id WHERE p.grants) a) b GROUP BY 1) e ON u.user_id = e.user_id
+""")
+def access_from_logs(t: Tables) -> DataFrame:
+    """Logs of callbacks and of provider answers to the access of every user, as one plan."""
+    secrets = t.spark.createDataFrame([("fixture-key",)], "secret string")
+    ledger = t.grants.withColumn("grant_id", F.concat(F.lit("old-"), F.col("order_id").cast("string")))
+    state = payments.access_from_logs(t.callback_log, t.sweep_log, _known(t), secrets, ALLOWED_IP, ledger, t.users, datetime.fromtimestamp(AFTER_S, timezone.utc))
+    return state.select("user_id", "state", F.coalesce(F.unix_seconds("access_expires_at"), F.lit(-1)).alias("expires_s"))
+
+
 _PRICED = "SELECT code, currency, amount_minor FROM plan_prices WHERE active"
 _DECIDED = f"""
 SELECT r.request_id, r.user_id, r.plan_code, r.currency, r.amount_minor, r.request_id = min(r.request_id) OVER (PARTITION BY r.user_id) AS turn, r.kind,
@@ -320,9 +376,11 @@ def _lost(name: str, table: str, column: str, parent: str, key: str) -> str:
 
 
 @query(" UNION ALL ".join([
-    _many("users_unique", "users", "user_id"), _rows("users_role", "users", "role NOT IN ('USER', 'ADMIN')"),
+    _many("users_unique", "accounts", "user_id"), _rows("users_role", "accounts", "role NOT IN ('USER', 'ADMIN')"),
+    _many("users_unique_email", "accounts", "email", "email IS NOT NULL"), _rows("users_not_null", "accounts", "user_id IS NULL OR role IS NULL OR email IS NULL"),
     _many("rules_unique_tier", "user_rules", "user_id, symbol, market, tier_no"),
     _lost("rules_user", "user_rules", "user_id", "users", "user_id"),
+    _rows("rules_not_null", "user_rules", "user_id IS NULL OR symbol IS NULL OR market IS NULL OR tier_no IS NULL OR min_notional IS NULL OR max_distance IS NULL"),
     _many("plans_unique_code", "plans", "code"), _rows("plans_type", "plans", "type NOT IN ('FIXED', 'PER_DAY')"),
     _rows("plans_duration", "plans", "(type = 'FIXED') <> (duration_days IS NOT NULL)"),
     _many("prices_unique", "plan_prices", "code, currency"), _rows("prices_amount", "plan_prices", "amount_minor < 0"),
@@ -330,18 +388,23 @@ def _lost(name: str, table: str, column: str, parent: str, key: str) -> str:
     _many("orders_unique", "pay_orders", "order_id"),
     _rows("orders_status", "pay_orders", "status NOT IN ('CREATED', 'PENDING', 'PAID', 'EXPIRED', 'FAILED', 'CANCELED', 'REVERTED')"),
     _rows("orders_amount", "pay_orders", "amount_minor < 0"),
+    _rows("orders_not_null", "pay_orders", "order_id IS NULL OR user_id IS NULL OR status IS NULL OR amount_minor IS NULL"),
     _many("orders_one_open", "pay_orders", "user_id", "status IN ('CREATED', 'PENDING')"),
     _many("orders_provider_uuid", "pay_orders", "provider_uuid", "provider_uuid IS NOT NULL"),
     _lost("orders_user", "pay_orders", "user_id", "users", "user_id"),
     _lost("orders_plan", "pay_orders", "plan_code", "plans", "code"),
     _lost("history_order", "status_history", "order_id", "pay_orders", "order_id"),
-    _lost("ledger_user", "grants", "user_id", "users", "user_id"),
-    _lost("ledger_order", "grants", "order_id", "pay_orders", "order_id"),
+    _lost("ledger_user", "ledger", "user_id", "users", "user_id"),
+    _lost("ledger_order", "ledger", "order_id", "pay_orders", "order_id"),
+    _lost("ledger_admin", "ledger", "admin_id", "users", "user_id"),
+    _rows("ledger_not_null", "ledger", "user_id IS NULL OR source IS NULL OR granted_seconds IS NULL"),
     _lost("connections_user", "connection_events", "user_id", "users", "user_id"),
+    _many("entitlement_unique", "entitlements", "user_id"), _lost("entitlement_user", "entitlements", "user_id", "users", "user_id"),
+    _rows("entitlement_not_null", "entitlements", "user_id IS NULL OR has_paid IS NULL"),
 ]))
 def constraint_audit(t: Tables) -> DataFrame:
-    return orders.constraint_audit(t.users, t.user_rules, t.plans, _money(t.plan_prices), _orders(t), t.status_history,
-                                   t.grants, t.connection_events)
+    return orders.constraint_audit(t.accounts, t.user_rules, t.plans, _money(t.plan_prices), _orders(t), t.status_history,
+                                   t.ledger, t.connection_events, t.entitlements)
 
 
 @query(f"""

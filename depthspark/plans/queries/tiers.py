@@ -151,7 +151,7 @@ WHERE visible <> was OR changed
 """
 
 
-def _texts(df: DataFrame) -> DataFrame:
+def level_texts(df: DataFrame) -> DataFrame:
     def text(side: str) -> Column:
         levels = F.transform(side, lambda x: F.concat(
             x["price"].cast("bigint").cast("string"), F.lit("x"), x["qty"].cast("bigint").cast("string"), F.lit("t"),
@@ -167,10 +167,17 @@ def _ticks(t: Tables) -> DataFrame:
     return materialize(lambda: synced.change_ticks(events, runs), f"{t.sf_dir}/change_ticks", t.spark)
 
 
-@query(_CHANGES_SQL + _activity_sql(_top_sql(_tiered_sql("SELECT * FROM levels"), "symbol, market, tick_ms"),
-                                    "SELECT symbol, market, tick * 100 AS tick_ms FROM ticks", "symbol, market"))
+ACTIVITY_SQL = _CHANGES_SQL + _activity_sql(_top_sql(_tiered_sql("SELECT * FROM levels"), "symbol, market, tick_ms"),
+                                            "SELECT symbol, market, tick * 100 AS tick_ms FROM ticks", "symbol, market")
+
+
+def activity(t: Tables) -> DataFrame:
+    return synced.activity(synced_lives(t), _ticks(t), width=t.width)
+
+
+@query(ACTIVITY_SQL)
 def activity_events(t: Tables) -> DataFrame:
-    return _texts(synced.activity(synced_lives(t), _ticks(t), width=t.width))
+    return level_texts(activity(t))
 
 
 @query(_CHANGES_SQL + _activity_sql(_top_sql(_USER_TIERED.format(levels="SELECT * FROM levels"), "user_id, symbol, market, tick_ms"),
@@ -178,7 +185,7 @@ def activity_events(t: Tables) -> DataFrame:
                                     "(SELECT DISTINCT user_id, symbol, market FROM user_rules) r ON k.symbol = r.symbol AND k.market = r.market",
                                     "user_id, symbol, market"))
 def personal_activity(t: Tables) -> DataFrame:
-    return _texts(market.personal(synced_lives(t), _ticks(t), rules.compile_rules(t.user_rules), width=t.width))
+    return level_texts(market.personal(synced_lives(t), _ticks(t), rules.compile_rules(t.user_rules), width=t.width))
 
 
 def _arrays_sql(top: str, keys: str) -> str:
@@ -198,7 +205,7 @@ UNION ALL SELECT 'USER', user_id, symbol, market, visible, bids, asks FROM
 def classify_books(t: Tables) -> DataFrame:
     everyone, personal = classify.classify(_banded(t).withColumn("first_seen_ms", F.lit(-1).cast("bigint")), rules.compile_rules(t.user_rules))
     columns = ["scope", "user_id", "symbol", "market", "visible", "bids", "asks"]
-    return _texts(everyone.withColumns({"scope": F.lit("ALL"), "user_id": F.lit(-1)}).select(*columns)
+    return level_texts(everyone.withColumns({"scope": F.lit("ALL"), "user_id": F.lit(-1)}).select(*columns)
                   .unionByName(personal.withColumn("scope", F.lit("USER")).select(*columns)))
 
 

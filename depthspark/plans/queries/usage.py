@@ -56,6 +56,35 @@ def usage_by_year(t: Tables) -> DataFrame:
     return _seconds(_slices(t, "P1Y"))
 
 
+YEARS = usage.UsageWindow.of(date(1992, 1, 1), date(1998, 12, 31), "America/New_York")
+_LOCAL = "timezone('America/New_York', timezone('UTC', CAST(connected_at AS TIMESTAMP)))"
+
+
+def _merged(t: Tables) -> DataFrame:
+    """The state of the log over years, from two parts of it that overlap."""
+    numbers = usage.user_numbers(t.order_log)
+    parts = [t.order_log.filter(f"id % 3 <> {k}") for k in (0, 1)]
+    return usage.merge_states(*[usage.usage_state(part, numbers) for part in parts])
+
+
+@query(f"""
+SELECT CAST(epoch(timezone('America/New_York', s)) AS BIGINT) AS slice_start, CAST(epoch(timezone('America/New_York', s + INTERVAL 1 MONTH)) AS BIGINT) AS slice_end, n AS unique_connections
+FROM (SELECT date_trunc('month', {_LOCAL}) AS s, count(DISTINCT user_id) AS n FROM order_log WHERE {_LOCAL} >= TIMESTAMP '1992-01-01' AND {_LOCAL} < TIMESTAMP '1999-01-01' GROUP BY 1) x
+""")
+def usage_months_merged(t: Tables) -> DataFrame:
+    """Months over years in a zone with daylight saving, counted from the merged state."""
+    return _seconds(usage.state_calendar(_merged(t), YEARS, "month"))
+
+
+@query(f"""
+SELECT a + b * 604800 AS slice_start, a + b * 604800 + 604800 AS slice_end, n AS unique_connections FROM (
+  SELECT {YEARS.start_epoch} AS a, CAST(floor((epoch(CAST(connected_at AS TIMESTAMP)) - {YEARS.start_epoch}) / 604800) AS BIGINT) AS b, count(DISTINCT user_id) AS n
+  FROM order_log WHERE epoch(CAST(connected_at AS TIMESTAMP)) >= {YEARS.start_epoch} AND epoch(CAST(connected_at AS TIMESTAMP)) < {int(YEARS.end.timestamp())} GROUP BY 2) x
+""")
+def usage_weeks_merged(t: Tables) -> DataFrame:
+    return _seconds(usage.state_fixed(_merged(t), YEARS, 604_800))
+
+
 @query(f"""
 SELECT count(*) AS slice_count, CAST(sum(unique_connections) AS BIGINT) AS total_connections,
   (SELECT slice_start FROM ({_FIXED}) y ORDER BY unique_connections DESC, slice_start LIMIT 1) AS most_active_start,

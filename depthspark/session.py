@@ -75,6 +75,14 @@ def materialize(make: Callable[[], DataFrame], name: str, spark: SparkSession) -
     return spark.read.parquet(_WRITTEN[key])
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder for one run's output, in the shared folder; without one there is an error, as executors could not read each other's files."""
+    folder = shared_folder(spark)
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{folder}/out-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """A table that an operator reads several times, written once into the shared folder; the same plan where there is none."""
     folder = shared_folder(df.sparkSession)

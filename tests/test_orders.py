@@ -162,3 +162,31 @@ def test_directory_pages(spark):
     assert [(r["state"], r["expires_s"]) for r in first[:5]] == [("ADMIN", NOW + 5), ("EXPIRED", NOW), ("ACTIVE", NOW + 1), ("TRIAL", NOW + 1), ("EXPIRED", None)]
     assert orders.user_directory(users, facts, NOW, 1, 20).count() == 10
     assert orders.directory_totals(users, 7).first()["total_pages"] == 5
+
+
+def test_deep_pages_sort_one_range(spark):
+    days = spark.range(40_000).select(F.col("id").alias("user_id"), F.lit("USER").alias("role"), (F.col("id") * 8640 % 40_000_000).alias("created_s"))
+    want = [r.user_id for r in days.orderBy(F.desc("created_s"), "user_id").collect()]
+    for first in (0, 15, 19_990, 39_995, 50_000):
+        found = orders.page_of_users(days, first, 20)
+        assert [r.user_id for r in found.orderBy("place").collect()] == want[first:first + 20]
+    most = days.groupBy(F.expr("created_s div 86400")).count().agg(F.max("count")).first()[0]
+    plan = orders.page_of_users(days, 10_000, 20)._jdf.queryExecution().executedPlan().toString()
+    assert most < 200 and "row_number() windowspecdefinition(__range" in plan and "TakeOrdered" not in plan
+    nulls = spark.createDataFrame([(1, 5), (2, None), (3, None), (4, 90_000)], "user_id int, created_s bigint")
+    assert [r.user_id for r in orders.page_of_users(nulls, 0, 9).orderBy("place").collect()] == [4, 1, 2, 3]
+
+
+def test_an_earlier_event_changes_what_the_next_one_meets(spark):
+    known = spark.createDataFrame([order(1), order(2), order(3, "EXPIRED"), order(4, "CREATED")], ORDERS)
+    calls = [(i, "s", str(o), f"p{o}", 100, "ip", at) for i, (o, at) in enumerate([(1, 30), (1, 40), (2, 10), (3, 5), (4, 5)])]
+    sign = lambda o: hashlib.md5(f"s{o}100k".encode()).hexdigest()
+    callbacks = spark.createDataFrame([(i, s, o, u, a, ip, sign(o), at) for i, s, o, u, a, ip, at in calls],
+                                      "callback_id int, store_id string, invoice_id string, uuid string, amount bigint, source_ip string, sign string, at_s bigint")
+    sweeps = spark.createDataFrame([("a", "p1", "error", None, 100, 20), ("b", "p1", "success", None, 100, 50), ("c", "p2", "revert", None, 100, 20), ("d", "p3", "success", None, 100, 1)],
+                                   "sweep_id string, provider_uuid string, raw_status string, error_code string, total_minor bigint, at_s bigint")
+    log = orders.payment_log(callbacks, sweeps, known, spark.createDataFrame([("k",)], "secret string"), "ip")
+    assert rows(log, "order_id", "at_s", "before", "action", "after", "grants") == [
+        (1, 20, "PENDING", "FAIL", "FAILED", False), (1, 30, "FAILED", "GRANT", "PAID", True), (1, 40, "PAID", "OK", "PAID", False), (1, 50, "PAID", "NONE", "PAID", False),
+        (2, 10, "PENDING", "GRANT", "PAID", True), (2, 20, "PAID", "NONE", "PAID", False), (3, 1, "EXPIRED", "NONE", "EXPIRED", False), (3, 5, "EXPIRED", "GRANT", "PAID", True),
+        (4, 5, "CREATED", "RETRY", "CREATED", False)]

@@ -107,3 +107,25 @@ def test_a_snapshot_fails_as_a_whole(spark, body):
     out = depth.parse_snapshots(raw).collect()
     assert [(r["snapshot_id"], [tuple(x) for x in r["bids"]], r["asks"]) for r in out] == [(6, [(1.0, 2.0)], [])]
     assert [r["bad"] for r in depth.read_snapshots(raw).orderBy("recv_ms").collect()] == [True, False]
+
+
+def test_feed_lines_are_numbered_without_holes_and_read_back(spark, folder):
+    level = "array<struct<price:double,qty:double,tier:int,first_seen_ms:bigint,distance:double>>"
+    one = [(10.5, 2.0, 3, 7, 0.01), (10.25, 1e-8, 0, None, 0.025)]
+    data = [("ADD", s, "SPOT", 100 * t, one, []) if t % 3 else ("DROP", s, "SPOT", 100 * t, None, None) for s in "AB" for t in range(1, 40)]
+    df = spark.createDataFrame(data, f"type string, symbol string, market string, tick_ms bigint, bids {level}, asks {level}").repartition(5)
+    sinks.write_feed(sinks.numbered_bodies(df, ["symbol", "market"], "tick_ms", 500), f"{folder}/feed")
+    got = sorted(sinks.read_feed(spark, f"{folder}/feed").collect(), key=lambda r: (r.symbol, r.seq))
+    assert [(r.symbol, r.seq, r.type) for r in got] == [(s, t, "ADD" if t % 3 else "DROP") for s in "AB" for t in range(1, 40)]
+    assert all([tuple(x) for x in r.bids] == one and r.asks == [] for r in got if r.type == "ADD") and all(r.bids is None for r in got if r.type == "DROP")
+
+
+def test_only_the_days_of_the_window_are_read(spark, folder):
+    log = spark.range(4000).selectExpr("id", "CAST(id % 50 AS STRING) AS user_id", "timestamp_seconds(1704067200 + id * 300) AS connected_at")
+    for part in (0, 1):
+        sinks.append_connections(log.filter(f"id % 2 = {part}"), f"{folder}/connection_events", files_per_day=3)
+    back = tables.load_tables(spark, folder, names=["connection_events"])["connection_events"]
+    some = back.filter("day BETWEEN DATE '2024-01-03' AND DATE '2024-01-04'")
+    assert some.count() == 576 and back.count() == 4000
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and len([f for f in some.inputFiles()]) <= 2 * 2 * 3

@@ -103,3 +103,30 @@ def test_the_log_is_pruned_by_day(spark, folder):
     assert rows(out, "unique_connections") == rows(usage.usage_fixed(events, window, 86400), "unique_connections") == [(1,), (1,)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: []" not in plan and "day" in plan.split("PartitionFilters:")[1].split("]")[0]
+
+
+@pytest.mark.parametrize("zone", ["Asia/Tashkent", "Europe/Berlin", "Asia/Kathmandu"])
+def test_a_merged_state_counts_as_the_log_does(spark, zone):
+    base = datetime(2026, 3, 1, tzinfo=timezone.utc)
+    data = [(f"u{(i * 7) % 90}" if i % 31 else None, base + timedelta(minutes=i * 37 % 87_000)) for i in range(3000)]
+    log_ = spark.createDataFrame(data, "user_id string, connected_at timestamp")
+    first, rest = log_.filter("connected_at < '2026-03-20'"), log_.filter("connected_at >= '2026-03-10'")   # they overlap
+    numbers = usage.user_numbers(rest, usage.user_numbers(first))
+    assert rows(numbers, "number") == [(i,) for i in range(90)]
+    state = usage.merge_states(usage.usage_state(first, numbers), usage.usage_state(rest, numbers))
+    window = usage.UsageWindow.of(date(2026, 3, 1), date(2026, 4, 30), zone)
+    known = log_.filter("user_id IS NOT NULL")
+    for length in (900, 3600, 86_400, 7 * 86_400):
+        assert rows(usage.state_fixed(state, window, length)) == rows(usage.usage_fixed(known, window, length))
+    for unit in ("month", "year"):
+        assert rows(usage.state_calendar(state, window, unit)) == rows(usage.usage_calendar(known, window, unit))
+    with pytest.raises(ValueError):
+        usage.state_fixed(state, window, 1000)
+
+
+def test_more_users_than_one_bitmap_holds(spark):
+    log_ = spark.range(100_000).select(F.col("id").alias("user_id"), F.lit(datetime(2026, 3, 1, 12)).alias("connected_at"))
+    state = usage.usage_state(log_, usage.user_numbers(log_))
+    assert state.count() == 4
+    window = usage.UsageWindow.of(date(2026, 3, 1), date(2026, 3, 1), "UTC")
+    assert [r.unique_connections for r in usage.state_fixed(usage.merge_states(state, state), window, 3600).collect()] == [100_000]

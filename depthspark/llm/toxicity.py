@@ -8,7 +8,8 @@ put on the scale of a probability by a logistic fit on a fifth of the sample, wh
 Only documents are labelled, so training takes turns: in each round the worst window of a toxic document stands for it, and
 all windows of clean documents are clean, of which the worst and some others are used. Embeddings start from the smoothed log
 odds of each feature between toxic and clean training documents. The sample is at most ``per_class`` labelled documents of
-each class with at most ``most_windows`` windows each, evenly spread; scoring takes all windows of all documents.
+each class. Of a sampled document all windows are weighed by those odds, which are counted over the whole texts of the sample first;
+the ``most_windows`` that training then gets are the heaviest ones and others that are evenly spread. Scoring takes all windows of all documents.
 """
 
 from __future__ import annotations
@@ -336,6 +337,54 @@ def _window_logits(network: Network, docs: list[tuple[Features, np.ndarray]]) ->
     return out
 
 
+def window_odds(tables: dict[str, np.ndarray], places: Features, bounds: np.ndarray) -> np.ndarray:
+    """The largest log odds of a word in every window, by those of the word and the mean of its runs of characters."""
+    network = Network()
+    network.p = {"word": tables["word"][:, None], "part": tables["part"][:, None]}
+    value = (network.p["word"][places.word, 0] + network.parts(places)[:, 0])[places.at]
+    _, start, length = windows(bounds)
+    return np.array([value[s:s + n].max() for s, n in zip(start.tolist(), length.tolist(), strict=True)])
+
+
+def chosen_windows(odds: np.ndarray, most: int) -> np.ndarray:
+    """Half of them the heaviest, the rest evenly spread; all where there are few."""
+    if len(odds) <= most:
+        return np.arange(len(odds))
+    heavy = np.argsort(-odds, kind="stable")[:most // 2]
+    return np.union1d(heavy, np.linspace(0, len(odds) - 1, most - len(heavy)).astype(int))
+
+
+def feature_odds(sample: DataFrame) -> dict[str, np.ndarray]:
+    """Log odds of each word and run of characters between toxic and clean documents of ``sample`` (doc_id, text, toxic), over whole texts."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, rows = np.zeros((2, 2, 1 << BUCKET_BITS), np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            for start, end in slices(batch.column(1), SLICE):
+                words = Words(batch.column(1).slice(start, end - start))
+                characters = Characters(words)
+                for i, a, b in words.documents():
+                    label = batch.column(2)[start + i].as_py()
+                    rows[label] += 1
+                    own = characters.features(slice(a, b))
+                    found[label, 0, np.unique(own.word)] += 1
+                    runs = np.zeros(1 << BUCKET_BITS, bool)
+                    for _, places in own.pieces():
+                        runs[places] = True
+                    found[label, 1] += runs
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(found.reshape(-1)[at], rows))], ["at", "n"])
+
+    # At most four numbers for each bucket.
+    sums = sample.select("doc_id", "text", "toxic").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    rows = [int(sums.loc[sums["at"] == k, "n"].sum()) for k in (-1, -2)]
+    n = np.zeros(4 << BUCKET_BITS)
+    sums = sums[sums["at"] >= 0]
+    n[sums["at"]] = sums["n"]
+    n = n.reshape(2, 2, -1)
+    odds = [np.log((n[1, k] + 0.5) / (max(1, rows[1]) + 1)) - np.log((n[0, k] + 0.5) / (max(1, rows[0]) + 1)) for k in (0, 1)]
+    return {"word": (0.5 * np.clip(odds[0], -2, 4)).astype(np.float32), "part": (0.25 * np.clip(odds[1], -2, 4)).astype(np.float32)}
+
+
 def fit(docs: DataFrame, labels: DataFrame, training: Column, per_class: int = PER_CLASS, most_windows: int = MOST_WINDOWS, rounds: int = ROUNDS) -> Network:
     """A network from ``labels`` (doc_id, toxic) where ``training`` holds. A doc_id labelled twice takes its highest label."""
     known = labels.where(training & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -350,7 +399,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, per_class: int = P
                 for i, a, b in words.documents():
                     _, first, length = windows(np.array([0, b - a]))
                     if len(first) > most_windows:
-                        pick = np.linspace(0, len(first) - 1, most_windows).astype(int)
+                        pick = chosen_windows(window_odds(odds.value, characters.features(slice(a, b)), np.array([0, b - a])), most_windows)
                         kept = np.concatenate([np.arange(a + s, a + s + n) for s, n in zip(first[pick], length[pick], strict=True)])
                         bounds = np.concatenate([[0], np.cumsum(length[pick])])
                     else:
@@ -363,6 +412,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, per_class: int = P
 
     # At most 2 * per_class rows on the broadcast side.
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    odds = docs.sparkSession.sparkContext.broadcast(feature_odds(mine))
     rows = {r.doc_id: r for r in mine.mapInArrow(read, "doc_id long, toxic int, at binary, word binary, number binary, runs binary, bounds binary").orderBy("doc_id", "word", "at").toLocalIterator()}
     sample = [(Features.stored(np.frombuffer(r.at, np.int32), np.frombuffer(r.word, np.uint16), np.frombuffer(r.number, np.int32), np.frombuffer(r.runs, np.uint16)),
                np.frombuffer(r.bounds, np.int64)) for r in rows.values()]

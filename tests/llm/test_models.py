@@ -266,6 +266,22 @@ def test_quality(spark):
     assert {r.quality_score for r in knn_quality.quality_scores(docs, empty).collect()} == {0.5}
 
 
+def test_all_windows_of_a_long_labelled_text_are_weighed(spark):
+    clean = [(i, prose(i, 80), 0) for i in range(30)]
+    toxic = [(100 + i, f"{prose(200 + i, 20)} nastyword {prose(300 + i, 20)}", 1) for i in range(30)]
+    long_text = prose(7, 9000).split()
+    long_text.insert(5001, "nastyword")
+    rows = [*clean, *toxic, (200, " ".join(long_text), 1), (201, None, 0), (202, "", 1)]
+    odds = toxicity.feature_odds(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    words_ = Words(pa.array([" ".join(long_text)]))
+    weight = toxicity.window_odds(odds, toxicity.Characters(words_).features(), words_.bounds)
+    _, start, length = toxicity.windows(words_.bounds)
+    holds = {k for k, (s, n) in enumerate(zip(start, length, strict=True)) if s <= 5001 < s + n}
+    picked = toxicity.chosen_windows(weight, 64)
+    assert len(weight) > 500 and len(picked) <= 64 and holds <= set(picked.tolist()) and picked[0] == 0 and picked[-1] == len(weight) - 1
+    assert toxicity.chosen_windows(weight[:10], 64).tolist() == list(range(10))
+
+
 def test_votes_are_exact():
     rng = np.random.default_rng(5)
     rows = rng.integers(0, 5, (40, knn_quality.TERMS + knn_quality.SHAPES)).astype(np.float32)

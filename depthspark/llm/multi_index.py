@@ -4,7 +4,8 @@ Each vector (of length one) is cut into halves, and each half has its own codebo
 grid of ``k * k`` cells; the index holds every vector in its cell. A vector visits the occupied cells nearest to it in order
 of the sum of its two squared distances, by multi-sequence traversal, and is compared with the vectors there in double
 precision. How many cells are visited is measured: vectors of a sample are compared with all rows, and the number of
-cells is the smallest by which ``recall`` of their links is found.
+cells is the smallest by which ``recall`` of their links is found. With a recall of 1 nothing is measured: a vector visits
+all cells that can hold a linked one, by the distances of its halves to the centres and the radii of their cells.
 
 Codebooks and that measurement come from bounded samples (``SAMPLE``, ``QUERIES``); everything else covers all rows. Equal
 vectors are one node with a count. Of two nodes the one in the lower cell visits the other, so a link is counted once, for
@@ -38,6 +39,7 @@ class Grid:
     def __init__(self, sample: np.ndarray, k: int):
         half = sample.shape[1] // 2
         self.half, self.k, self.cells = half, k, LEAST_CELLS
+        self.reach, self.radii = None, None
         self.books = [_centres(sample[:, :half], k, 1), _centres(sample[:, half:], k, 2)]
         self.occupied = np.ones(k * k, bool)
 
@@ -49,8 +51,10 @@ class Grid:
         return a.argmin(axis=1) * self.k + b.argmin(axis=1)
 
     def visits(self, x: np.ndarray, number: int | None = None) -> list[list[int]]:
-        """Nearest occupied cells of each vector, nearest first."""
+        """Nearest occupied cells of each vector, nearest first; with ``reach`` all that may hold a vector within that squared distance."""
         both = self.distances(x)
+        if self.reach is not None:
+            both = [np.maximum(0, np.sqrt(d) - r) ** 2 for d, r in zip(both, self.radii, strict=True)]
         orders = [np.argsort(d, axis=1, kind="stable") for d in both]
         ranked = [np.take_along_axis(d, o, axis=1).tolist() for d, o in zip(both, orders, strict=True)]
         return [self._traverse(*row, number or self.cells) for row in zip(*(o.tolist() for o in orders), *ranked, strict=True)]
@@ -59,7 +63,7 @@ class Grid:
         """Cells (i, j) of the sorted halves leave the queue in order of a[i] + b[j]; (i, j) opens (i + 1, j) and (i, j + 1)
         once both neighbours before those are done."""
         out, queue, done = [], [(a[0] + b[0], 0, 0)], [0] * (len(a) + 1)   # done[i]: cells taken in line i
-        while queue and len(out) < number:
+        while queue and (len(out) < number if self.reach is None else queue[0][0] <= self.reach):
             _, i, j = heapq.heappop(queue)
             cell = first[i] * self.k + second[j]
             if self.occupied[cell]:
@@ -130,6 +134,9 @@ def build(nodes: DataFrame, dimension: int, number: int, least: float, recall: f
     # At most k * k rows, and k is bounded.
     grid.occupied = np.zeros(k * k, bool)
     grid.occupied[placed.select("cell").distinct().toPandas()["cell"]] = True
+    if recall >= 1:
+        _within_reach(grid, placed, dimension, 2 * (1 - least))
+        return grid, placed
 
     queries = spark.sparkContext.broadcast(sample[:QUERIES])
 
@@ -158,6 +165,26 @@ def build(nodes: DataFrame, dimension: int, number: int, least: float, recall: f
     return grid, placed
 
 
+def _within_reach(grid: Grid, placed: DataFrame, dimension: int, reach: float) -> None:
+    """Lets the grid find every vector within ``reach``: a half is no nearer to a vector of a cell than to the cell's centre less the cell's radius."""
+    shared = placed.sparkSession.sparkContext.broadcast(grid)
+
+    def widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        radii = np.zeros((2, grid.k))
+        for batch in batches:
+            if batch.num_rows:
+                cells = batch.column(1).to_numpy()
+                for side, (d, own) in enumerate(zip(shared.value.distances(_unit(batch.column(0), dimension)), (cells // grid.k, cells % grid.k), strict=True)):
+                    np.maximum.at(radii[side], own, np.sqrt(d[np.arange(len(own)), own]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * grid.k)), pa.array(radii.reshape(-1))], ["at", "radius"])
+
+    # One number for each centre.
+    found = placed.select("raw", "cell").mapInArrow(widest, "at long, radius double").groupBy("at").agg(F.max("radius").alias("radius")).toPandas()
+    radii = np.zeros(2 * grid.k)
+    radii[found["at"]] = found["radius"]
+    grid.reach, grid.radii = reach + 1e-6, radii.reshape(2, -1) + 1e-6   # rounding decides nothing
+
+
 def compare(grid: Grid, placed: DataFrame, dimension: int, least: float) -> DataFrame:
     """Per block of a cell: ``node, links`` sums, and ``a, b`` edges of a spanning forest of the links found."""
     shared = placed.sparkSession.sparkContext.broadcast(grid)

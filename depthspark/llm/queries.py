@@ -116,7 +116,7 @@ base AS ({_spans_sql("assign", 0, "(" + _NAME + r""")["']?\x20*[:=]\x20*["']?([A
 owned AS (SELECT o.* FROM ({_spans_sql("owned", 3, "[A-Za-z0-9_-]{32,}", 0, 32)}) o WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = o.rid AND b.s < o.e AND o.s < b.e)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM owned),
-live AS (SELECT v, count(DISTINCT source) <= 2 AS live FROM every JOIN d USING (rid) GROUP BY v),
+live AS (SELECT v, count(DISTINCT source) <= 2 AND count(DISTINCT text) <= 8 AS live FROM every JOIN d USING (rid) GROUP BY v),
 judged AS (SELECT every.*, live.live FROM every JOIN live USING (v)),
 told AS (SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (WHERE kind <> 'owned') AS base,

@@ -77,26 +77,30 @@ def candidates(docs: DataFrame, repository: str = "source", owner: str = "source
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """``hash, repositories, owners, uses`` over all candidates; a null repository or owner counts as one of its own.
+    """``hash, repositories, owners, texts, uses`` over all candidates; a null repository or owner counts as one of its own.
 
-    Pairs are made distinct first, so a value that a third of all rows hold is summed in every task before it moves.
+    ``texts`` are the different texts that hold the value. What is counted is made distinct first, so a value that a third of all rows
+    hold is summed in every task before it moves.
     """
-    each = found.select("repository", "owner", F.explode(F.concat("base", "owned")).alias("c")).select(
-        F.col("c.hash").alias("hash"), F.coalesce("repository", F.lit("")).alias("repository"), F.coalesce("owner", F.lit("")).alias("owner"))
-    pairs = each.groupBy("hash", "repository", "owner").agg(F.count("*").alias("uses"))
-    return pairs.groupBy("hash").agg(F.countDistinct("repository").alias("repositories"), F.countDistinct("owner").alias("owners"), F.sum("uses").alias("uses"))
+    each = found.select("repository", "owner", "row", F.explode(F.concat("base", "owned")).alias("c")).select(
+        F.col("c.hash").alias("hash"), F.coalesce("repository", F.lit("")).alias("repository"), F.coalesce("owner", F.lit("")).alias("owner"), "row")
+    one = each.groupBy("hash", "repository", "owner", "row").agg(F.count("*").alias("uses"))
+    return one.groupBy("hash").agg(F.countDistinct("repository").alias("repositories"), F.countDistinct("owner").alias("owners"),
+                                   F.countDistinct("row").alias("texts"), F.sum("uses").alias("uses"))
 
 
-def scan_secrets(docs: DataFrame, repository: str = "source", owner: str = "source", most_owners: int = 2, most_repositories: int = 2) -> DataFrame:
+def scan_secrets(docs: DataFrame, repository: str = "source", owner: str = "source", most_owners: int = 2, most_repositories: int = 2,
+                 most_texts: int = 8) -> DataFrame:
     """One row per row of ``docs``: counts per base kind, ``base_sha256``, ``spans``, ``n_owned``, ``n_live``, ``n_shared``.
 
-    A value counts as live when at most ``most_owners`` owners and ``most_repositories`` repositories hold it. Null text is
-    empty: no spans, the hash of an empty string. Repeated rows are repeated in the result; an empty table gives none.
+    A value counts as live when at most ``most_owners`` owners, ``most_repositories`` repositories and ``most_texts`` different texts hold it, so
+    an example that is copied around inside one source is seen too. Null text is empty: no spans, the hash of an empty
+    string. Texts are scanned whole, whatever their length. Repeated rows are repeated in the result and are one text; an empty table gives none.
     """
     found = store(candidates(docs, repository, owner), "candidates")
     known = ownership(found)
     some = found.where((F.size("base") > 0) | (F.size("owned") > 0)).select("doc_id", "row", F.explode(F.concat("base", "owned")).alias("c")).distinct()
-    live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
+    live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories) & (F.col("texts") <= most_texts)
     judged = (some.select("doc_id", "row", "c", F.col("c.hash").alias("hash")).join(known, "hash").withColumn("live", live)
               .groupBy("doc_id", "row").agg(
                   F.collect_set(F.when(F.col("live") & (F.col("c.kind") == "owned"), F.struct("c.kind", "c.place", "c.start", "c.end"))).alias("kept"),

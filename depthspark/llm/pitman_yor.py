@@ -15,16 +15,13 @@ per word. Each sweep is a job, and the history of a word (its tables as a contex
 a row of a stored table. That of the ``frequent`` most frequent words is broadcast, that of others is joined. In scoring the
 scores of the ``contexts * contexts`` most frequent pairs are broadcast as a cache, and all other pairs of a text are joined
 with the table of pairs; both give the same score. Only sums and these two tables of fixed size reach the driver.
-
-``context_model`` and ``other_words`` are the model over classes of words; ``score_documents`` does not use them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -80,49 +77,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def most_frequent(words: DataFrame, most: int) -> DataFrame:
-    """The words above the least count that at most ``most`` words exceed; found from how many words have each count."""
+    """The words above the least count that at most ``most`` words exceed."""
     counted = words.where(F.col("word") != int(END_HASH))
-    sizes = counted.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
-    over = sizes["n"][np.cumsum(sizes["words"]) <= most]
-    return counted.where(F.col("n") >= int(over.min())) if len(over) else counted.where("false")
-
-
-class Classes:
-    """Classes of words: places in the sorted hashes of the frequent ones, then *other*, then end (as a context: start)."""
-
-    def __init__(self, frequent: np.ndarray):
-        self.sorted = np.sort(frequent.astype(np.int64))
-        self.other, self.end, self.size = len(frequent), len(frequent) + 1, len(frequent) + 2
-
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.sorted):
-            return np.full(len(hashes), self.other)
-        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, at, self.other)
-
-    def pairs(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Context and dish of every token with the ends in their places, and each document's first token."""
-        of = self.of(words.hashes.view(np.int64))
-        docs = len(words.bounds) - 1
-        first = words.bounds[:-1] + np.arange(docs)
-        dish = np.insert(of, words.bounds[1:], self.end)
-        context = np.roll(dish, 1)
-        context[first] = self.end
-        return context, dish, first
-
-
-def class_pairs(docs: DataFrame, classes: Classes) -> DataFrame:
-    """``context, dish, n`` over all tokens; each task sends its nonzero counts once."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(classes.size ** 2, np.int64)
-        for batch in batches:
-            for _, words in _slices_of_words(batch.column(0)):
-                context, dish, _ = classes.pairs(words)
-                counts += np.bincount(context * classes.size + dish, minlength=len(counts))
-        cells = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(cells // classes.size), pa.array(cells % classes.size), pa.array(counts[cells])], ["context", "dish", "n"])
-
-    return _texts(docs).mapInArrow(run, "context long, dish long, n long").groupBy("context", "dish").agg(F.sum("n").alias("n"))
+    next_count = counted.orderBy(F.desc("n")).limit(most + 1).agg(F.min("n"), F.count("*")).first()
+    return counted if next_count[1] <= most else counted.where(F.col("n") > next_count[0])
 
 
 def _uniform(key: np.ndarray, step: int) -> np.ndarray:
@@ -162,110 +120,6 @@ def _keys(*parts: np.ndarray | int) -> np.ndarray:
     return out
 
 
-class Root:
-    """The parent of all contexts: seats of the tables that stand for its customers, and its probabilities."""
-
-    def __init__(self, size: int, strength: float = STRENGTH, discount: float = 0.5):
-        self.size, self.strength, self.discount, self.tables = size, strength, discount, 0
-        self.probability = np.full(size, 1.0 / size)
-
-    def sample(self, customers: np.ndarray, sweep: int) -> np.ndarray:
-        start = self.tables or int((customers > 0).sum())
-        share = np.full(self.size, (self.strength + self.discount * start) / self.size)
-        tables = seat(customers, share, self.discount, _keys(np.arange(self.size), sweep, 1))
-        self.tables = int(tables.sum())
-        self.probability = ((customers - self.discount * tables + (self.strength + self.discount * self.tables) / self.size)
-                            / (self.strength + customers.sum()))
-        return self.probability
-
-
-def context_model(pairs: DataFrame, classes: Classes, sweeps: int = SWEEPS, burn_in: int = BURN_IN, strength: float = STRENGTH) -> np.ndarray:
-    """Matrix of log10 probabilities, one row per context and one column per class, averaged over the kept sweeps."""
-    size = classes.size
-    spread = pairs.agg(F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first()
-    discount = _discount(spread[0] or 0, spread[1] or 0)
-    cells = store(pairs.select("context", "dish", "n", F.array().cast("array<long>").alias("tables")), "seats")
-    root, parents = Root(size), []
-
-    def seats(parent: np.ndarray, sweep: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        def sit(group: pd.DataFrame) -> pd.DataFrame:
-            n, dish = group["n"].to_numpy(np.int64), group["dish"].to_numpy(np.int64)
-            before = [t[-1] if len(t) else 1 for t in group["tables"]]
-            share = (strength + discount * sum(before)) * parent[dish]
-            tables = seat(n, share, discount, _keys(dish, group["context"].to_numpy(np.int64), sweep))
-            group["tables"] = [[*old, new] for old, new in zip(group["tables"], tables.tolist(), strict=True)]
-            return group
-        return sit
-
-    for sweep in range(sweeps):
-        # A context has at most as many dishes as there are classes, so its group is bounded.
-        cells = store(cells.groupBy("context").applyInPandas(seats(root.probability.copy(), sweep), "context long, dish long, n long, tables array<long>"), "seats")
-        sums = cells.groupBy("dish").agg(F.sum(F.element_at("tables", -1)).alias("t")).toPandas()
-        customers = np.zeros(size, np.int64)
-        customers[sums["dish"]] = sums["t"]
-        parents.append(root.sample(customers, sweep).copy())
-    kept = parents[burn_in:]
-    count = len(kept)
-
-    def predict(group: pd.DataFrame) -> pd.DataFrame:
-        n, dish, total = group["n"].to_numpy(np.float64), group["dish"].to_numpy(np.int64), float(group["n"].sum())
-        tables, mean = np.array(group["tables"].to_list())[:, -count:], np.zeros(size)
-        for s, parent in enumerate(kept):
-            mean += (strength + discount * tables[:, s].sum()) * parent / (strength + total)
-            mean[dish] += (n - discount * tables[:, s]) / (strength + total)
-        return pd.DataFrame({"context": [int(group["context"].iloc[0])], "row": [np.log10(mean / count).astype(np.float32).tobytes()]})
-
-    out = np.tile(np.log10(np.mean(kept, axis=0)).astype(np.float32), (size, 1))
-    for context, row in cells.groupBy("context").applyInPandas(predict, "context long, row binary").toPandas().itertuples(index=False):
-        out[context] = np.frombuffer(row, np.float32)
-    return out
-
-
-def other_words(words: DataFrame, classes: Classes, sweeps: int = SWEEPS, burn_in: int = BURN_IN, strength: float = STRENGTH) -> tuple[DataFrame, float]:
-    """``word, n, log10`` of all words (for class *other*, its probability within the class), and that of an unseen word."""
-    rare = lambda w: (classes.of(w) == classes.other) & (w != END_HASH)
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(4, np.int64)
-        for batch in batches:
-            n = batch.column(1).to_numpy()[rare(batch.column(0).to_numpy())]
-            out += [len(n), n.sum(), (n == 1).sum(), (n == 2).sum()]
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out.tolist()], ["types", "tokens", "ones", "twos"])
-
-    sums = words.mapInArrow(tally, "types long, tokens long, ones long, twos long").agg(*(F.sum(c) for c in ("types", "tokens", "ones", "twos"))).first()
-    types, tokens, ones, twos = (x or 0 for x in sums)
-    discount, base = _discount(ones, twos), 1.0 / (types + 1)
-    totals = [types]
-
-    def tables(w: np.ndarray, n: np.ndarray, sweep: int, before: int) -> np.ndarray:
-        return seat(n, np.full(len(n), (strength + discount * before) * base), discount, _keys(w, sweep, 2))
-
-    def counter(sweep: int, before: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = 0
-            for batch in batches:
-                w, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                own = rare(w)
-                total += int(tables(w[own], n[own], sweep, before).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([total])], ["t"])
-        return count
-
-    for sweep in range(sweeps):
-        totals.append(words.mapInArrow(counter(sweep, totals[-1]), "t long").agg(F.sum("t")).first()[0] or 0)
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            mean = np.zeros(len(w))
-            for sweep in range(burn_in, sweeps):
-                t = tables(w, n, sweep, totals[sweep])
-                mean += (n - discount * t + (strength + discount * totals[sweep + 1]) * base) / (strength + tokens)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.log10(mean / (sweeps - burn_in)))], ["word", "n", "log10"])
-
-    unseen = np.mean([(strength + discount * t) * base / (strength + tokens) for t in totals[burn_in + 1:]])
-    return words.mapInArrow(predict, "word long, n long, log10 double"), float(np.log10(unseen))
-
-
 def neighbours(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Context and word of every token as hashes; END_HASH is the end as a word and the start as a context."""
     h = words.hashes.view(np.int64)

@@ -94,17 +94,10 @@ def test_language_model(spark):
     assert pitman_yor.score_documents(table(spark, []), F.lit(True)).count() == 0
 
 
-def test_language_model_adds_up_to_one(spark):
-    docs = table(spark, [(i, prose(i % 9, 25) + " a b a b", "en", "a") for i in range(20)])
-    counted = store(pitman_yor.word_counts(docs), "words")
-    top = pitman_yor.most_frequent(counted, 6).toPandas()
-    assert 0 < len(top) <= 6
-    classes = pitman_yor.Classes(top["word"].to_numpy(np.int64))
-    matrix = pitman_yor.context_model(pitman_yor.class_pairs(docs, classes), classes, 3, 1)
-    assert np.allclose((10.0 ** matrix).sum(axis=1), 1, atol=1e-4)
-    known, unseen = pitman_yor.other_words(counted, classes, 3, 1)
-    rare = [r.log10 for r in known.collect() if r.word != -1 and r.word not in set(top["word"])]
-    assert math.isclose(sum(10 ** x for x in rare) + 10 ** unseen, 1, rel_tol=1e-9)
+def test_most_frequent_words(spark):
+    words_ = spark.createDataFrame([(i, 10 - i // 3) for i in range(30)] + [(-1, 99)], "word long, n long")
+    for most, want in ((0, 0), (1, 0), (3, 3), (5, 3), (6, 6), (29, 27), (30, 30), (99, 30)):
+        assert pitman_yor.most_frequent(words_, most).count() == want
 
 
 def test_seats():

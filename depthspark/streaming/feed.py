@@ -2,8 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+
+LATE, ON_TIME, MARKS = "late", "on_time", "marks"
+
+
+def route_late(events: DataFrame, folder: str, checkpoint: str, lateness_ms: int = 10_000, **trigger) -> StreamingQuery:
+    """Writes a stream to ``folder/on_time`` and, what is behind the watermark, to ``folder/late``; no row is dropped.
+
+    The watermark of a batch is the latest ``recv_ms`` of all batches before it, less ``lateness_ms``. It is kept in ``folder/marks`` by
+    batch, and a batch writes folders of its own number, so a batch that runs again after a failure writes the same rows to the
+    same places. Rows without a time are late. Windows that read the first output with the same lateness lose nothing.
+    """
+    spark = events.sparkSession
+    spark.createDataFrame([], "high bigint").write.mode("ignore").parquet(f"{folder}/{MARKS}/epoch=-1")
+
+    def route(batch: DataFrame, epoch: int) -> None:
+        own = batch.sparkSession
+        marks = own.read.schema("high bigint, epoch bigint").parquet(f"{folder}/{MARKS}").filter(F.col("epoch") < epoch)
+        high = marks.agg(F.max("high")).first()[0]
+        late = F.col("recv_ms").isNull() | (F.lit(False) if high is None else F.col("recv_ms") < high - lateness_ms)
+        batch.filter(late).write.mode("overwrite").parquet(f"{folder}/{LATE}/epoch={epoch}")
+        batch.filter(~late).write.mode("overwrite").parquet(f"{folder}/{ON_TIME}/epoch={epoch}")
+        batch.agg(F.max("recv_ms").alias("high")).write.mode("overwrite").parquet(f"{folder}/{MARKS}/epoch={epoch}")
+
+    return events.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def late_counts(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """``symbol, market, late, earliest_ms, latest_ms`` of what came too late, per book."""
+    return (spark.read.schema(schema).parquet(f"{folder}/{LATE}").groupBy("symbol", "market")
+            .agg(F.count("*").alias("late"), F.min("recv_ms").alias("earliest_ms"), F.max("recv_ms").alias("latest_ms")))
 
 
 def message_rate(messages: DataFrame, window: str = "10 seconds", lateness: str = "30 seconds") -> DataFrame:

@@ -196,6 +196,22 @@ def test_message_rate_and_feed_ticks_as_streams(spark, folder):
     assert rows(run(windows.coalesce_stream, "net"), "tick_ms", "type", "update_id") == batch
 
 
+def test_late_rows_are_kept_apart(spark, folder):
+    shape = "symbol string, market string, update_id bigint, recv_ms bigint"
+    batches = [[("A", "SPOT", 1, 100_000), ("B", "SPOT", 2, 130_000)], [("A", "SPOT", 3, 119_999), ("A", "SPOT", 4, 120_000), ("B", "SPOT", 5, 150_000), ("B", "SPOT", 6, None)],
+               [("A", "SPOT", 7, 130_000), ("B", "SPOT", 8, 139_999), ("B", "SPOT", 9, 140_000)]]
+    for i, rows_ in enumerate(batches):
+        spark.createDataFrame(rows_, shape).coalesce(1).write.parquet(f"{folder}/in/{i}")
+        source = spark.readStream.schema(shape).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        windows.route_late(source, f"{folder}/out", f"{folder}/c", 10_000).awaitTermination()   # the query is started again for each batch
+    late, on_time = (rows(spark.read.schema(shape).parquet(f"{folder}/out/{name}")) for name in (windows.LATE, windows.ON_TIME))
+    assert sorted(map(str, late + on_time)) == sorted(str(r) for part in batches for r in part)
+    assert {r[2] for r in late} == {3, 6, 7, 8}
+    assert rows(windows.late_counts(spark, f"{folder}/out", shape), "symbol", "late", "latest_ms") == [("A", 2, 130_000), ("B", 2, 139_999)]
+    timed = spark.read.schema(shape).parquet(f"{folder}/out/{windows.ON_TIME}")
+    assert windows.message_rate(timed).agg({"messages": "sum"}).first()[0] + len(late) == 9
+
+
 def test_raw_messages_to_levels(spark):
     raw = spark.createDataFrame([m for m in story("ABCUSDT", "SPOT", 1, 50) if m[0] == "DIFF"], RAW)
     levels = market.depth_levels(raw.drop("symbol"))

@@ -205,7 +205,7 @@ def test_late_rows_are_kept_apart(spark, folder):
         source = spark.readStream.schema(shape).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
         windows.route_late(source, f"{folder}/out", f"{folder}/c", 10_000).awaitTermination()   # the query is started again for each batch
     late, on_time = (rows(spark.read.schema(shape).parquet(f"{folder}/out/{name}")) for name in (windows.LATE, windows.ON_TIME))
-    assert sorted(map(str, late + on_time)) == sorted(str(r) for part in batches for r in part)
+    assert sorted(map(str, (r[:4] for r in late + on_time))) == sorted(str(r) for part in batches for r in part)
     assert {r[2] for r in late} == {3, 6, 7, 8}
     assert rows(windows.late_counts(spark, f"{folder}/out", shape), "symbol", "late", "latest_ms") == [("A", 2, 130_000), ("B", 2, 139_999)]
     timed = spark.read.schema(shape).parquet(f"{folder}/out/{windows.ON_TIME}")

@@ -27,9 +27,9 @@ from depthspark.llm.common import new_path, slices
 from depthspark.llm.pretokens import PATTERN, Pretokens, ragged
 from depthspark.llm.token_counts import _where
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 PACK_ROWS = 1 << 20     # encoded words that a task holds before it sends them
-DECODE_IDS = 1 << 20
+AT_ONCE = 1 << 20       # numbers, positions or ids that are worked on together
 _IDS = "doc_id long, ids array<int>"
 
 
@@ -59,6 +59,10 @@ def token_bytes(model: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def pack(numbers: np.ndarray) -> bytes:
     """Whole numbers from 0 on, seven bits a byte, the lowest first; the top bit tells that more follow."""
+    return b"".join([_packed(numbers[i:i + AT_ONCE]) for i in range(0, len(numbers), AT_ONCE)])
+
+
+def _packed(numbers: np.ndarray) -> bytes:
     numbers = numbers.astype(np.uint64)
     sizes = np.ones(len(numbers), np.int64)
     for k in range(1, 9):
@@ -73,6 +77,17 @@ def pack(numbers: np.ndarray) -> bytes:
 
 def unpack(packed: bytes) -> np.ndarray:
     data = np.frombuffer(packed, np.uint8)
+    out, first = [np.zeros(0, np.int64)], 0
+    while first < len(data):
+        upto = first + AT_ONCE
+        while upto < len(data) and data[upto - 1] >= 128:   # a number is not cut
+            upto += 1
+        out.append(_unpacked(data[first:upto]))
+        first = upto
+    return np.concatenate(out)
+
+
+def _unpacked(data: np.ndarray) -> np.ndarray:
     ends = np.flatnonzero(data < 128)
     starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
     out = np.zeros(len(ends), np.int64)
@@ -97,7 +112,7 @@ class _Block:
         self.keys.append(np.stack([keys, checks], axis=1))
         self.doc_ids.append(doc_ids)
         self.counts.append(np.diff(words.bounds))
-        self.places.append(place + self.n)
+        self.places.append((place + self.n).astype(np.int32))
         self.n += len(first)
         self.bytes += len(words.data)
 
@@ -105,12 +120,13 @@ class _Block:
         """Words are numbered from the most frequent on, so that most numbers are small."""
         keys, places = np.concatenate(self.keys), np.concatenate(self.places)
         # 16 bytes tell words of different slices apart, as they do within a slice.
-        same = pa.Array.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(np.ascontiguousarray(keys))]).dictionary_encode().indices.to_numpy().astype(np.int64)
-        first = np.flatnonzero(np.diff(np.maximum.accumulate(same), prepend=-1)) if len(same) else same
+        same = pa.Array.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(np.ascontiguousarray(keys))]).dictionary_encode().indices.to_numpy()
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(same), prepend=np.int32(-1))) if len(same) else np.zeros(0, np.int64)
+        self.keys, self.places = [], []
         places = same[places] if len(places) else places
         order = np.argsort(-np.bincount(places, minlength=len(first)), kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         words = pa.concat_arrays(self.words).take(pa.array(first[order]))
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         return pa.RecordBatch.from_arrays([
@@ -188,12 +204,20 @@ def _reassemble(block: pa.Table, coded: pa.Table) -> pa.Table:
     order[number] = np.arange(len(number))
     starts = (np.cumsum(sizes) - sizes)[order]
     sizes = sizes[order]
-    counts, place = block["counts"].combine_chunks().flatten().to_numpy(), unpack(block["places"][0].as_py())
-    lengths = sizes[place] if len(place) else place
-    flat = ids[ragged(starts[place] if len(place) else place, lengths)].astype(np.int32)
-    bounds = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-    return pa.Table.from_arrays([block["doc_ids"].combine_chunks().flatten(), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))],
-                                ["doc_id", "ids"])
+    counts, place = block["counts"].combine_chunks().flatten().to_numpy(), unpack(block["places"][0].as_py()).astype(np.int32)
+    ids, bounds, flat = ids.astype(np.int32), np.concatenate([[0], np.cumsum(counts)]), []
+    ends = np.zeros(len(counts) + 1, np.int64)
+    done = row = 0
+    while row < len(counts):   # some documents at a time
+        to = max(row + 1, int(np.searchsorted(bounds, bounds[row] + AT_ONCE, "right")) - 1)
+        own = place[bounds[row]:bounds[to]]
+        lengths = sizes[own] if len(own) else np.zeros(0, np.int64)
+        flat.append(ids[ragged(starts[own], lengths)] if len(own) else np.zeros(0, np.int32))
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        ends[row + 1:to + 1] = done + upto[bounds[row + 1:to + 1] - bounds[row]]
+        done, row = done + int(upto[-1]), to
+    values = pa.array(np.concatenate([np.zeros(0, np.int32), *flat]))
+    return pa.Table.from_arrays([block["doc_ids"].combine_chunks().flatten(), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)], ["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, model: str = "byte_bpe_50k.tiktoken", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -217,7 +241,7 @@ def decode(coded: DataFrame, model: str = "byte_bpe_50k.tiktoken") -> DataFrame:
             ends, flat = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
             row = 0
             while row < len(ids):
-                to = max(row + 1, int(np.searchsorted(ends, ends[row] + DECODE_IDS, "right")) - 1)
+                to = max(row + 1, int(np.searchsorted(ends, ends[row] + AT_ONCE, "right")) - 1)
                 own = flat[ends[row]:ends[to]]
                 sizes = lengths[own]
                 bounds = np.concatenate([[0], np.cumsum(sizes)])[ends[row:to + 1] - ends[row]]

@@ -21,8 +21,10 @@ def library(model: str = "byte_bpe_50k.tiktoken"):
     return tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_numbers_packed_in_bytes():
-    for numbers in ([], [0], [127, 128, 16383, 16384, 1 << 21, (1 << 56) + 5, 1], range(100_000)):
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 20])
+def test_numbers_packed_in_bytes(monkeypatch, at_once):
+    monkeypatch.setattr(byte_bpe, "AT_ONCE", at_once)
+    for numbers in ([], [0], [127, 128, 16383, 16384, 1 << 21, (1 << 56) + 5, 1], range(20_000)):
         assert byte_bpe.unpack(byte_bpe.pack(np.array(numbers, np.int64))).tolist() == list(numbers)
 
 

@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depthspark.llm.common import new_path, slices
+from depthspark.llm.common import new_path, release_memory, slices
 from depthspark.llm.pretokens import PATTERN, Pretokens, ragged
 from depthspark.llm.token_counts import _where
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 PACK_ROWS = 1 << 20     # encoded words that a task holds before it sends them
 AT_ONCE = 1 << 20       # numbers, positions or ids that are worked on together
 _IDS = "doc_id long, ids array<int>"
@@ -147,6 +147,7 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 if block.bytes >= block_bytes:
                     yield block.row(number)
                     number, block = number + 1, _Block()
+                    release_memory()
         if block.doc_ids:
             yield block.row(number)
 

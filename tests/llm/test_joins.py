@@ -120,8 +120,7 @@ def test_traversal_is_in_order():
         assert along == sorted(along)
 
 
-@pytest.mark.parametrize("recall", [0.98, 1.0])
-@pytest.mark.parametrize("members, visitors", [(2_048, 4_096), (7, 11)])
+@pytest.mark.parametrize("members, visitors, recall", [(2_048, 4_096, 0.98), (7, 11, 0.98), (7, 11, 1.0)])
 def test_near_duplicates_match_brute_force(spark, monkeypatch, members, visitors, recall):
     monkeypatch.setattr(multi_index, "MEMBERS", members)
     monkeypatch.setattr(multi_index, "VISITORS", visitors)

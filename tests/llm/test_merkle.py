@@ -73,7 +73,7 @@ def as_leaf(r):
     return doc_id, source, lang, n_chars, text
 
 
-@pytest.mark.parametrize("height", [1, 2, 3, 10])
+@pytest.mark.parametrize("height", [1, 3])
 def test_manifest_matches_plain_trees(spark, height):
     rng = random.Random(height)
     rows = [(i, prose(i, 3), rng.choice(["en", "en", "en", "de", None, "", "é", "𐀀", "～"]), "s", rng.choice([None, 1, 12, (1 << 63) - 1])) for i in range(75)]

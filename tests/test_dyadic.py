@@ -42,8 +42,7 @@ def test_points_lie_in_one_bucket_of_an_interval(spark):
         assert all(n == (a <= p < b) for p, n in got.collect())
 
 
-@pytest.mark.parametrize("unit", [1, 7, 100])
-@pytest.mark.parametrize("most", [None, 3, 1 << 24])
+@pytest.mark.parametrize(("unit", "most"), [(1, None), (7, 3), (100, 1 << 24)])
 def test_join_equals_every_pair(spark, unit, most):
     rng = random.Random(unit)
     points = [(i, rng.choice("ab"), rng.randrange(-200, 2000)) for i in range(150)] + [(900 + i, "a", 500) for i in range(20)]

@@ -12,7 +12,6 @@ from depthspark.session import materialize
 
 START_MS = 1704067200000
 AS_OF_MS = START_MS + 10_000_000
-VIEW_MS = START_MS + 15_000   # about the 300th diff of every book
 
 _GAPS = """
 SELECT symbol, market, first_id, final_id, recv_ms, prev_id, coalesce(CASE WHEN market = 'SPOT' THEN first_id <> prev_id + 1
@@ -44,7 +43,7 @@ GROUP BY 1, 2, 3, 4
 """
 
 
-def _now_sql(states: str, as_of_ms: int) -> str:
+def _now_sql(states: str, as_of_ms: int | str) -> str:
     return f"""
 SELECT symbol, market, arg_max(state, from_ms) AS state, max(from_ms) AS since_ms FROM ({states}) z
 WHERE from_ms <= {as_of_ms} GROUP BY 1, 2
@@ -296,24 +295,25 @@ def book_of_record(t: Tables) -> DataFrame:
     return book.book_of_record(t.depth_levels, width=t.width)
 
 
-_AT_VIEW = f"SELECT * FROM depth_levels WHERE recv_ms <= {VIEW_MS}"
+# The view shows all changes, so its moment is not before the last of them.
+_VIEW_MS = f"greatest({AS_OF_MS}, (SELECT max(recv_ms) FROM depth_levels))"
 
 
 @query(f"""
-SELECT b.symbol, b.market, b.side, b.price, b.qty, b.distance, {VIEW_MS} - f.first_seen_ms AS lifetime_ms,
+SELECT b.symbol, b.market, b.side, b.price, b.qty, b.distance, {_VIEW_MS} - f.first_seen_ms AS lifetime_ms,
   count(*) FILTER (WHERE b.side = 'BID') OVER (PARTITION BY b.symbol, b.market) AS bid_count,
   count(*) FILTER (WHERE b.side = 'ASK') OVER (PARTITION BY b.symbol, b.market) AS ask_count, n.state
-FROM ({banded_sql(_live_sql(_AT_VIEW))}) b JOIN (
+FROM ({BANDED_SQL}) b JOIN (
   SELECT symbol, market, side, price, update_id, max(CASE WHEN starts THEN recv_ms END) OVER (
       PARTITION BY symbol, market, side, price ORDER BY update_id ROWS UNBOUNDED PRECEDING) AS first_seen_ms
   FROM (SELECT *, qty > 0 AND coalesce(lag(qty) OVER (PARTITION BY symbol, market, side, price ORDER BY update_id), 0) = 0 AS starts
-    FROM ({_AT_VIEW}) w) x) f ON b.symbol = f.symbol AND b.market = f.market AND b.side = f.side AND b.price = f.price AND b.last_id = f.update_id
-JOIN ({_now_sql(_STATES, VIEW_MS)}) n ON b.symbol = n.symbol AND b.market = n.market
+    FROM depth_levels) x) f ON b.symbol = f.symbol AND b.market = f.market AND b.side = f.side AND b.price = f.price AND b.last_id = f.update_id
+JOIN ({_now_sql(_STATES, _VIEW_MS)}) n ON b.symbol = n.symbol AND b.market = n.market
 """)
 def book_view(t: Tables) -> DataFrame:
-    """The book and its state as of one moment."""
-    known = t.depth_levels.filter(F.col("recv_ms") <= VIEW_MS)
-    levels = book.with_distance(book.reconstruct_book(book.first_seen(known, t.width)))
-    view = book.book_view(levels, VIEW_MS, _states(t))
+    """The whole book and its state as of one moment, which is not before the last change."""
+    moment = F.greatest(F.lit(AS_OF_MS), last_ms(t))
+    levels = book.with_distance(book.reconstruct_book(book.first_seen(t.depth_levels, t.width)))
+    view = book.book_view(levels, moment, _states(t))
     return view.select("symbol", "market", "side", "price", "qty", "distance", "lifetime_ms", "bid_count",
                        "ask_count", "state")

@@ -14,7 +14,7 @@ the smallest hash of their id. So the broadcast is at most ``2 * per_class * dim
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,28 +82,45 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         used = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(found[used], rows))], ["term", "n"])
 
-    sums = docs.select(F.col("text").cast("string")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    out, total = np.zeros(TERMS, np.int64), int(sums.loc[sums["term"] < 0, "n"].sum())
-    sums = sums[sums["term"] >= 0]
-    out[sums["term"]] = sums["n"]
-    return out, total
+    sums = docs.select(F.col("text").cast("string")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out, (term, n) = np.zeros(TERMS, np.int64), (sums[c].to_numpy() for c in ("term", "n"))
+    out[term[term >= 0]] = n[term >= 0]
+    return out, int(n[term < 0].sum())
+
+
+class Sample:
+    """Counts of the sampled documents, each row compressed; iterating gives them as float32 in blocks of rows."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed = packed
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        for first in range(0, len(self), BLOCK):
+            raw = b"".join(map(zlib.decompress, self.packed[first:first + BLOCK]))
+            yield np.frombuffer(raw, np.uint32).reshape(-1, TERMS + SHAPES).astype(np.float32)
 
 
 class Voters:
-    """Broadcast model: term weights, latent space, and the sample's vectors with labels and weights."""
+    """Broadcast model: term weights, latent space, and the sample's vectors with labels and weights.
+
+    ``rows`` are the sample's counts, as an array or a ``Sample``. They are weighted anew in each pass over them, so that the
+    driver never holds the whole sample as numbers.
+    """
 
-    def __init__(self, idf: np.ndarray, rows: np.ndarray, labels: np.ndarray, per_label: dict[int, int],
+    def __init__(self, idf: np.ndarray, rows: np.ndarray | Sample, labels: np.ndarray, per_label: dict[int, int],
                  dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS, power: int = POWER):
         self.idf, self.neighbours, self.power = idf.astype(np.float32), neighbours, power
         total = sum(per_label.values())
         self.prior = per_label.get(1, 0) / total if total else 0.5
         self.labels = labels.astype(np.float32)
         self.weights = np.array([per_label[y] / max(1, int((labels == y).sum())) for y in labels.tolist()], np.float32)
-        x = np.empty(rows.shape, np.float32)
-        for first in range(0, len(rows), BLOCK):
-            x[first:first + BLOCK] = self._weighted(rows[first:first + BLOCK])
-        self.space = _singular_vectors(x, min(dimensions, *x.shape)) if len(x) else np.zeros((TERMS + SHAPES, 1), np.float32)
-        self.vectors = _unit(x @ self.space)
+        blocks = rows if isinstance(rows, Sample) else [rows[first:first + BLOCK] for first in range(0, len(rows), BLOCK)]
+        weighted = lambda: map(self._weighted, blocks)
+        self.space = _singular_vectors(weighted, min(dimensions, len(rows), TERMS + SHAPES)) if len(rows) else np.zeros((TERMS + SHAPES, 1), np.float32)
+        self.vectors = _unit(np.vstack([np.zeros((0, self.space.shape[1]), np.float32), *(x @ self.space for x in weighted())]))
 
     def _weighted(self, counts: np.ndarray) -> np.ndarray:
         terms, shapes = counts[:, :TERMS], counts[:, TERMS:]
@@ -125,12 +142,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _singular_vectors(x: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
-    """The ``k`` leading right singular vectors, by subspace iteration from a fixed start."""
-    q = np.random.default_rng(7).standard_normal((x.shape[1], min(x.shape[1], k + 16))).astype(np.float32)
+def _singular_vectors(blocks: Callable[[], Iterable[np.ndarray]], k: int, rounds: int = 4) -> np.ndarray:
+    """The ``k`` leading right singular vectors of the rows in all blocks, by subspace iteration from a fixed start."""
+    q = np.random.default_rng(7).standard_normal((TERMS + SHAPES, min(TERMS + SHAPES, k + 16))).astype(np.float32)
     for _ in range(rounds):
-        q, _ = np.linalg.qr(x.T @ (x @ q))
-    _, _, v = np.linalg.svd(x @ q, full_matrices=False)
+        q, _ = np.linalg.qr(sum(x.T @ (x @ q) for x in blocks()))
+    _, _, v = np.linalg.svd(np.vstack([x @ q for x in blocks()]), full_matrices=False)
     return (q @ v.T)[:, :k].astype(np.float32)
 
 
@@ -150,13 +167,14 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, per_class: int = P
 
     # At most 2 * per_class rows on the broadcast side.
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = sorted({r.doc_id: (r.doc_id, r.quality, bytes(r.counts)) for r in mine.mapInArrow(rows, "doc_id long, quality int, counts binary").toLocalIterator()}.values())
     found, total = document_frequencies(docs)
-    counts = np.empty((len(sample), TERMS + SHAPES), np.float32)
-    for row, (_, _, packed) in zip(counts, sample, strict=True):
-        row[:] = np.frombuffer(zlib.decompress(packed), np.uint32)
-    voters = Voters(np.log((1 + total) / (1 + found)) + 0.05, counts, np.array([y for _, y, _ in sample], int), per_label, **shape)
-    del counts, sample
+    sample = mine.mapInArrow(rows, "doc_id long, quality int, counts binary").toArrow()
+    last = {doc: row for row, doc in enumerate(sample["doc_id"].to_pylist())}
+    picked = [last[doc] for doc in sorted(last)]
+    counts, known_as = Sample([sample["counts"][k].as_py() for k in picked]), sample["quality"].to_numpy()[np.array(picked, int)].astype(int)
+    del sample
+    voters = Voters(np.log((1 + total) / (1 + found)) + 0.05, counts, known_as, per_label, **shape)
+    del counts
     release_memory()
     return voters
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -290,6 +292,21 @@ def test_votes_are_exact():
         assert math.isclose(score, weight @ y[near] / weight.sum(), rel_tol=1e-3, abs_tol=1e-4)
 
 
+def test_the_sample_is_never_whole_in_memory():
+    rng, n = np.random.default_rng(6), 3_000
+    row = lambda: rng.integers(0, 3, knn_quality.TERMS + knn_quality.SHAPES, np.uint32)
+    packed = [zlib.compress(row().tobytes(), 1) for _ in range(30)]
+    sample, labels = knn_quality.Sample(packed * (n // 30)), np.arange(n) % 2
+    assert len(sample) == n and sum(len(x) for x in sample) == n
+    tracemalloc.start()
+    voters = knn_quality.Voters(np.ones(knn_quality.TERMS), sample, labels, {0: 4_000, 1: 2_000})
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < n * (knn_quality.TERMS + knn_quality.SHAPES) * 4
+    whole = knn_quality.Voters(np.ones(knn_quality.TERMS), np.vstack(list(sample)), labels, {0: 4_000, 1: 2_000})
+    assert np.allclose(voters.vectors @ voters.vectors[0], whole.vectors @ whole.vectors[0], atol=1e-4)
+
+
 def test_toxicity(spark):
     rows, marks, docs, labels = labelled(spark, "toxic")
     network = toxicity.fit(docs, labels, pitman_yor.remainder("doc_id", 4) != 2)

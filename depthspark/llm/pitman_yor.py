@@ -23,6 +23,7 @@ Cache and buckets give the same score. Only sums per frequent word and tables of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -145,15 +146,45 @@ def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _keys(word, context)
 
 
+class Index:
+    """Places of numbers in an ascending array of distinct numbers of ``width`` bits, found by their first bits."""
+
+    def __init__(self, keys: np.ndarray, width: int):
+        self.keys = keys.astype(np.uint64)
+        first_bits = min(width, len(keys).bit_length() + 1)
+        self.shift = np.uint64(width - first_bits)
+        self.first = np.searchsorted(self.keys >> self.shift, np.arange((1 << first_bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the array and whether it is there."""
+        if not len(self.keys):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        wanted = wanted.astype(np.uint64)
+        slot = (wanted >> self.shift).astype(np.int64)
+        at, end = self.first[slot].astype(np.int64), self.first[slot + 1]
+        more = at + 1 < end
+        at[at == len(self.keys)] = 0
+        found = self.keys[at] == wanted
+        rest = np.flatnonzero(~found & more)
+        while len(rest):
+            at[rest] += 1
+            found[rest] = self.keys[at[rest]] == wanted[rest]
+            rest = rest[~found[rest] & (at[rest] + 1 < end[rest])]
+        return at, found
+
+
 class Frequent:
     """The sorted hashes of the frequent words and the start or end; the place of one is its rank."""
 
     def __init__(self, words: np.ndarray):
         self.sorted = np.unique(np.append(words.astype(np.int64), END_HASH))
+        self.index = Index(self._unsigned(self.sorted), 64)
+
+    def _unsigned(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes.view(np.uint64) ^ np.uint64(1 << 63)
 
     def at(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return at, self.sorted[at] == hashes
+        return self.index.find(self._unsigned(np.ascontiguousarray(hashes)))
 
     def ranks(self, hashes: np.ndarray) -> np.ndarray:
         """-1 where a word is not frequent."""
@@ -177,10 +208,13 @@ class Buckets:
     def _times(self, x: np.ndarray, by: int) -> np.ndarray:
         return (x * np.uint64(by)) & np.uint64((1 << self.width) - 1)
 
-    def of_pairs(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bucket and number of pairs of ranks."""
+    def mixed(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Numbers of pairs of ranks, evenly spread."""
         x = self._times((context.astype(np.uint64) << np.uint64(self.bits)) | word.astype(np.uint64), self.odd)
-        x = self._times(x ^ (x >> np.uint64(self.half)), self.odd)
+        return self._times(x ^ (x >> np.uint64(self.half)), self.odd)
+
+    def split(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket, and number in it, of mixed pairs."""
         low = np.uint64(self.width - self.spread)
         return (x >> low).astype(np.int32), (x & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int32)
 
@@ -211,7 +245,7 @@ def _row(kind: int, bucket: int, at: int = 0, **lists: np.ndarray | pa.Array) ->
 
 def _dealt(kind: int, by: np.ndarray, at: int | None = 0, **lists: np.ndarray) -> pa.RecordBatch:
     """One row per bucket, or per block of texts where ``at`` is None, with its part of the lists, in their order."""
-    order = np.argsort(by, kind="stable")
+    order = np.argsort(by.astype(np.int16) if at is not None and by.max(initial=0) < 1 << 15 else by, kind="stable")
     names, first = np.unique(by[order], return_index=True)
     rest = np.zeros(len(names), np.int64)
     return _rows(kind, *((rest, names) if at is None else (names, rest + at)), np.append(first, len(order)), **{k: v[order] for k, v in lists.items()})
@@ -308,13 +342,14 @@ def pair_counts(docs: DataFrame, frequent: Frequent, buckets: Buckets) -> DataFr
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            context, word, rc, rw = (np.concatenate(x) for x in zip(*held, strict=True))
+            both, context, word, rc, rw = (np.concatenate(x) for x in zip(*held, strict=True))
+            both, n = np.unique(both, return_counts=True)
+            bucket, number = buckets.split(both)
+            yield _dealt(MORE, bucket, i=number, n=n)
             first, n = _counted(pair_key(context, word), np.ones(len(word), np.int64))
             context, word, rc, rw = context[first], word[first], rc[first], rw[first]
-            both, none = (rc >= 0) & (rw >= 0), (rc < 0) & (rw < 0)
-            bucket, number = buckets.of_pairs(rc[both], rw[both])
-            yield _dealt(MORE, bucket, i=number, n=n[both])
-            one = ~both & ~none
+            none = (rc < 0) & (rw < 0)
+            one = ~none
             bucket, rare, other = _sided(buckets, context[one], word[one], rc[one], rw[one])
             yield _dealt(SIDED, bucket, a=rare, i=other, n=n[one])
             for kind, home in ((AT_CONTEXT, context[none]), (AT_WORD, word[none])):
@@ -323,7 +358,9 @@ def pair_counts(docs: DataFrame, frequent: Frequent, buckets: Buckets) -> DataFr
         for batch in batches:
             for _, words in _slices_of_words(batch.column(0)):
                 context, word = neighbours(words)
-                held.append((context, word, *_ranks_of(frequent, words, word)))
+                rc, rw = _ranks_of(frequent, words, word)
+                both = (rc >= 0) & (rw >= 0)
+                held.append((buckets.mixed(rc[both], rw[both]), *(x[~both] for x in (context, word, rc, rw))))
                 size += len(word)
                 if size >= FLUSH_WORDS:
                     yield from flush()
@@ -401,8 +438,10 @@ class Back:
         """Per sweep, the parent's probability of words with these customers and tables in it."""
         return (c - self.parent_discount * r + (self.strength + self.parent_discount * self.tables) / (self.types + 1)) / (self.strength + self.customers)
 
-    def parents(self, ranks: np.ndarray) -> np.ndarray:
-        return self.parent(self.rows[1][ranks], self.rows[2][ranks])
+    @cached_property
+    def parents(self) -> np.ndarray:
+        """``parent`` of the frequent words."""
+        return self.parent(self.rows[1], self.rows[2])
 
     def seats(self, context: np.ndarray, word: np.ndarray, n: np.ndarray, tables: np.ndarray, parent: np.ndarray, sweep: int) -> np.ndarray:
         return seat(n, (self.strength + self.discount * tables) * parent, self.discount, _keys(word, context, sweep))
@@ -411,11 +450,12 @@ class Back:
         """Of the mean probability of pairs over the sweeps from ``first_sweep``; ``key`` is the ``pair_key``, ``known`` the
         context's customers and tables, ``n`` how often the pair was seen."""
         total, tables = known[:, 0], known[:, 1:]
-        mean, count = np.zeros(len(n)), tables.shape[1] - 1
-        for s in range(count):
-            step = mix(np.uint64(first_sweep + s) ^ key)      # _keys(word, context, sweep)
-            own = seat(n, (self.strength + self.discount * tables[:, s]) * parent[:, s], self.discount, step)
-            mean += n - self.discount * own + (self.strength + self.discount * tables[:, s + 1]) * parent[:, s + 1]
+        count, many = tables.shape[1] - 1, np.flatnonzero(n > 1)      # one customer has one table
+        own = count * np.minimum(n, 1).astype(float)
+        for s in range(count if len(many) else 0):
+            step = mix(np.uint64(first_sweep + s) ^ key[many])      # _keys(word, context, sweep)
+            own[many] += seat(n[many], (self.strength + self.discount * tables[many, s]) * parent[many, s], self.discount, step) - 1
+        mean = count * n - self.discount * own + np.einsum("ij,ij->i", self.strength + self.discount * tables[:, 1:], parent[:, 1:])
         return np.log10(mean / count / (self.strength + total))
 
     def log10(self, context: np.ndarray, word: np.ndarray, n: np.ndarray, first_sweep: int) -> np.ndarray:
@@ -477,7 +517,7 @@ class Restaurants:
                 for k, bucket in enumerate(batch.column("bucket").to_pylist()):
                     number, n = (batch.column(c)[k].values.to_numpy() for c in "in")
                     context, word = buckets.ranks(bucket, number)
-                    own = back.value.seats(hashes[context], hashes[word], n, back.value.rows[0][context, 1], back.value.parents(word)[:, 0], sweep)
+                    own = back.value.seats(hashes[context], hashes[word], n, back.value.rows[0][context, 1], back.value.parents[word, 0], sweep)
                     for into, ranks in zip(sums, (context, word), strict=True):
                         into += np.bincount(ranks, own, len(hashes))
             yield _chunks(0, sums)
@@ -504,7 +544,7 @@ class Restaurants:
                 parent = b.parent(old_c[:, None], old_r[:, None])[:, 0]
                 frequent, mine = hashes[rank], names[at]
                 own = b.seats(np.where(side == 0, mine, frequent), np.where(side == 0, frequent, mine), n, np.where(side == 0, old_t[at], b.rows[0][rank, 1]),
-                              np.where(side == 0, b.parents(rank)[:, 0], parent[at]), sweep)
+                              np.where(side == 0, b.parents[rank, 0], parent[at]), sweep)
                 for which in (0, 1):
                     sums[1 - which] += np.bincount(rank[side == which], own[side == which], len(hashes)).astype(np.int64)
                 to, by, first, second, whose = group.get(TOLD, "a", "b", "i", "n", "k")
@@ -551,14 +591,14 @@ class Restaurants:
     @property
     def state(self) -> DataFrame:
         """``word, n`` and the history ``t, c, r`` of every word: tables as a context, customers and tables in the parent."""
-        schema, sweeps = "word long, n long, t array<long>, c array<long>, r array<long>", len(self.t)
+        schema, sweeps, buckets = "word long, n long, t array<long>, c array<long>, r array<long>", len(self.t), self.buckets
 
         def listed(word: np.ndarray, n: np.ndarray, *histories: np.ndarray) -> pa.Table:
             cuts = pa.array(np.arange(len(word) + 1, dtype=np.int32) * sweeps)
             return pa.table([pa.array(word), pa.array(n.astype(np.int64)), *(pa.ListArray.from_arrays(cuts, pa.array(x.reshape(-1).astype(np.int64))) for x in histories)], ["word", "n", *"tcr"])
 
         def run(key: tuple, table: pa.Table) -> pa.Table:
-            bucket = _Bucket(_Group(table), sweeps, -1)
+            bucket = _Bucket(_Group(table), buckets, sweeps, -1)
             known, c, r = bucket.of(bucket.known)
             return listed(bucket.known, known[:, 0], known[:, 1:], c, r)
 
@@ -570,9 +610,9 @@ class Restaurants:
 class _Bucket:
     """Look-ups in one bucket: counts of pairs, and the histories of its rarer words."""
 
-    def __init__(self, group: _Group, last: int, first_sweep: int):
-        self.once, = group.get(ONCE, "i")
-        self.more, self.n_more = group.get(MORE, "i", "n")
+    def __init__(self, group: _Group, buckets: Buckets, last: int, first_sweep: int):
+        self.once, self.more = (Index(group.get(kind, "i")[0], buckets.width - buckets.spread) for kind in (ONCE, MORE))
+        self.n_more, = group.get(MORE, "n")
         rare, other, self.n_sided = group.get(SIDED, "a", "i", "n")
         self.names, at = np.unique(rare, return_inverse=True)
         self.sided = at.astype(np.int64) << 32 | other
@@ -589,8 +629,8 @@ class _Bucket:
 
     def frequent(self, number: np.ndarray) -> np.ndarray:
         """How often pairs of two frequent words were seen."""
-        at, found = _find(self.more, number)
-        n = _find(self.once, number)[1].astype(np.int64)
+        at, found = self.more.find(number)
+        n = self.once.find(number)[1].astype(np.int64)
         n[found] = self.n_more[at[found]]
         return n
 
@@ -627,7 +667,7 @@ class _Scorer:
 
     def __init__(self, frequent: Frequent, buckets: Buckets, n: np.ndarray, keys: np.ndarray, log10: np.ndarray, norm: float):
         order = np.argsort(keys)
-        self.keys, self.log10, self.frequent, self.buckets, self.n, self.norm = keys[order], log10[order], frequent, buckets, n, norm
+        self.index, self.log10, self.frequent, self.buckets, self.n = Index(keys[order], buckets.width), log10[order], frequent, buckets, n
         self.base = np.log10((n + 0.5) / norm)
 
     def score(self, words: Words, first: int) -> tuple[tuple[np.ndarray, ...], list[tuple[np.ndarray, ...]]]:
@@ -639,15 +679,14 @@ class _Scorer:
         bounds = words.bounds + np.arange(docs + 1)
         row = np.repeat(np.arange(docs), np.diff(bounds))
         both = np.flatnonzero((rc >= 0) & (rw >= 0))
-        key = rc[both] << 32 | rw[both]
-        at, cached = _find(self.keys, key)
+        mixed = self.buckets.mixed(rc[both], rw[both])
+        at, cached = self.index.find(mixed)
         add = lambda at, values: np.bincount(row[at], values, docs)
         common = np.flatnonzero(rw >= 0)
         sums = (np.diff(bounds), add(common, self.n[rw[common]] > 0).astype(np.int64), add(common, self.base[rw[common]]), add(both[cached], self.log10[at[cached]]))
         row = (row + first).astype(np.int32)
-        asked = both[~cached]
         one, two = np.flatnonzero((rc < 0) ^ (rw < 0)), np.flatnonzero((rc < 0) & (rw < 0))
-        return sums, [(*self.buckets.of_pairs(rc[asked], rw[asked]), row[asked]), (*_sided(self.buckets, context[one], word[one], rc[one], rw[one]), row[one]),
+        return sums, [(*self.buckets.split(mixed[~cached]), row[both[~cached]]), (*_sided(self.buckets, context[one], word[one], rc[one], rw[one]), row[one]),
                       (context[two], word[two], row[two])]
 
 
@@ -681,7 +720,7 @@ def score_documents(docs: DataFrame, training: Column, contexts: int = CONTEXTS,
         return out
 
     def of_ranks(rc: np.ndarray, rw: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return scores(hashes[rc], hashes[rw], n, lambda p: back.value.rows[0][rc[p]], lambda p: back.value.parents(rw[p]))
+        return scores(hashes[rc], hashes[rw], n, lambda p: back.value.rows[0][rc[p]], lambda p: back.value.parents[rw[p]])
 
     above = _least_cached(model.parts, contexts * contexts)
 
@@ -690,7 +729,7 @@ def score_documents(docs: DataFrame, training: Column, contexts: int = CONTEXTS,
             for k, bucket in enumerate(batch.column("bucket").to_pylist()):
                 number, n = (batch.column(c)[k].values.to_numpy() for c in "in")
                 rc, rw = buckets.ranks(bucket, number[n > above])
-                yield pa.RecordBatch.from_arrays([pa.array(rc << 32 | rw), pa.array(of_ranks(rc, rw, n[n > above]))], ["key", "log10"])
+                yield pa.RecordBatch.from_arrays([pa.array(buckets.mixed(rc, rw).view(np.int64)), pa.array(of_ranks(rc, rw, n[n > above]))], ["key", "log10"])
 
     cache = model.parts.where(F.col("kind") == MORE).mapInArrow(often, "key long, log10 double").toArrow()
     scorer = spark.sparkContext.broadcast(_Scorer(some, buckets, model.n, cache["key"].to_numpy(), cache["log10"].to_numpy(), norm))
@@ -723,7 +762,7 @@ def score_documents(docs: DataFrame, training: Column, contexts: int = CONTEXTS,
 
     def answer(key: tuple, stored: pa.Table, asked: pa.Table) -> pa.Table:
         """Sums per row of each block, documents unchanged, and of pairs of two rarer words what the bucket knows."""
-        bucket, group, here = key[0].as_py(), _Group(asked), _Bucket(_Group(stored), last, burn_in - 1)
+        bucket, group, here = key[0].as_py(), _Group(asked), _Bucket(_Group(stored), buckets, last, burn_in - 1)
         number, row, at = group.get(MORE, "i", "n", "at")
         log10 = of_ranks(*buckets.ranks(bucket, number), here.frequent(number))
         rare, other, row1, at1 = group.get(SIDED, "a", "i", "n", "at")
@@ -732,7 +771,7 @@ def score_documents(docs: DataFrame, training: Column, contexts: int = CONTEXTS,
         parent, rank, first = back.value.parent(c, r), other >> 1, other & 1 == 0      # the rarer one is the context
         log10_ = scores(np.where(first, rare, hashes[rank]), np.where(first, hashes[rank], rare), here.one_rare(rare, other),
                         lambda p: np.where(first[p][:, None], known[place[p]], back.value.rows[0][rank[p]]),
-                        lambda p: np.where(first[p][:, None], back.value.parents(rank[p]), parent[place[p]]))
+                        lambda p: np.where(first[p][:, None], back.value.parents[rank[p]], parent[place[p]]))
         context, word, row2, order, at2 = group.get(AT_CONTEXT, "a", "b", "n", "i", "at")
         of_context, seen_pair = here.of(context)[0], pair_key(context, word)
         # Every rarer word is the context of one pair; there it is counted as a word too.

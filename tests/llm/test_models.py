@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from depthspark.llm import decontaminate, knn_quality, mixing, pitman_yor, toxicity
+from depthspark.llm import common, decontaminate, knn_quality, mixing, pitman_yor, toxicity
 from depthspark.llm.common import Words, store
 from depthspark.llm.queries import llm_queries, llm_sql
 from tests.llm.data import crc, edge_rows, prose, table, words
@@ -447,3 +447,45 @@ def test_toxic_words_in_marks_and_compounds(spark):
     new = [(i, text(i, forms[i % 4]), "en", "a") for i in range(40)] + [(100 + i, text(i, prose(7000 + i, 1)), "en", "a") for i in range(40)]
     score = {r.doc_id: r.toxicity for r in toxicity.toxicity_scores(table(spark, new), network).collect()}
     assert sum(score[i] > score[100 + i] for i in range(40)) >= 36
+
+
+def test_places_by_first_bits():
+    rng = np.random.default_rng(4)
+    for width, size in ((1, 0), (4, 3), (31, 1000), (64, 1000)):
+        keys = np.unique(rng.integers(0, (1 << width) - 1, size, np.uint64, endpoint=True))
+        wanted = np.concatenate([keys, rng.integers(0, (1 << width) - 1, 300, np.uint64, endpoint=True), np.array([0, (1 << width) - 1], np.uint64)])
+        at, found = pitman_yor.Index(keys, width).find(wanted)
+        assert found.tolist() == np.isin(wanted, keys).tolist() and (not size or (keys[at[found]] == wanted[found]).all())
+    # Beyond the last number nothing is walked through: a search stays within the numbers that share its first bits.
+    index = pitman_yor.Index(np.arange(1000, dtype=np.uint64), 40)
+    assert not index.find(np.full(10, (1 << 40) - 1))[1].any()
+    buckets = pitman_yor.Buckets(pitman_yor.Frequent(rng.integers(0, 1 << 62, 5000)), 1 << 26)
+    context, word = (rng.integers(0, 5001, 400) for _ in range(2))
+    bucket, number = buckets.split(buckets.mixed(context, word))
+    assert len(set(bucket.tolist())) > 30 and (number >= 0).all()
+    for b in set(bucket.tolist()):
+        back = buckets.ranks(b, number[bucket == b])
+        assert (back[0] == context[bucket == b]).all() and (back[1] == word[bucket == b]).all()
+
+
+def test_language_model_over_many_buckets_and_blocks(spark, monkeypatch):
+    rows = [(i, f"{prose(i, 40)} left{i % 25} right{i % 25} left{i % 7}", "en", "a") for i in range(80)] + edge_rows()
+    def score():
+        got = pitman_yor.score_documents(table(spark, rows).repartition(3), pitman_yor.remainder("doc_id", 5) != 1, contexts=4, frequent=30, sweeps=3, burn_in=1)
+        return sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got.collect())
+    one = score()
+    monkeypatch.setattr(pitman_yor, "BUCKET_TOKENS", 1 << 13)
+    monkeypatch.setattr(pitman_yor, "FLUSH_WORDS", 100)
+    monkeypatch.setattr(pitman_yor, "CHUNK", 7)
+    monkeypatch.setattr(pitman_yor, "AT_ONCE", 50)
+    assert score() == one
+
+
+def test_language_model_stores_no_row_per_pair(spark, tmp_path, monkeypatch):
+    rows = [(i, prose(i, 200), "en", "a") for i in range(60)]
+    pairs = len({p for r in rows for p in zip(words(r[1]), words(r[1])[1:])})
+    for module in (common, pitman_yor):
+        monkeypatch.setattr(module, "new_path", lambda _, name: f"{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}", raising=False)
+    assert pitman_yor.score_documents(table(spark, rows), F.lit(True), contexts=3, sweeps=3, burn_in=1).count() == 60
+    stored = sum(spark.read.parquet(str(d)).count() for d in tmp_path.iterdir() if not d.name.startswith("words"))
+    assert 0 < stored < pairs / 10

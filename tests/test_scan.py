@@ -79,3 +79,13 @@ def test_interval_join(spark, width):
     s = spark.createDataFrame(spans, "i int, k string, a bigint, b bigint")
     expected = sorted((k, t, i) for k, t in points for i, q, a, b in spans if q == k and a <= t and (b is None or t < b))
     assert rows(interval_join(p, s, ["k"], "t", "a", "b", width, until=50), "k", "t", "i") == expected
+
+
+def test_a_float_key_is_shuffled_once(spark):
+    data = [("A", p, o, v) for v, (p, o) in enumerate([(0.0, 1), (-0.0, 2), (float("nan"), 1), (float("nan"), 9), (None, 1), (1.5, 3), (1.5, 8)])]
+    df = spark.createDataFrame(data, "k string, p double, o bigint, v bigint")
+    found = scan.previous(df, ["k", "p"], ["o"], ["v"], 4)
+    assert found.columns == ["k", "p", "o", "v", "prev_v"]
+    assert rows(found, "v", "prev_v") == [(0, None), (1, 0), (2, None), (3, 2), (5, None), (6, 5)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == plan.count("Scan ExistingRDD") and "knownfloatingpointnormalized" not in plan

@@ -44,3 +44,11 @@ def test_every_view_is_sql_for_both(spark, duck):
     tables = Tables(spark, SMALL)
     for name in VIEWS:
         assert sorted(getattr(tables, name).columns) == sorted(d[0] for d in duck.execute(duckdb_sql(f"SELECT * FROM {name} LIMIT 0")).description)
+
+
+def test_levels_of_snapshots_meet_versions_in_buckets(spark, duck):
+    df = Tables(spark, SMALL, 64)._snapshot_levels()
+    cur = duck.execute(duckdb_sql("SELECT * FROM snapshot_levels"))
+    assert bag(df.columns, (tuple(r) for r in df.collect())) == bag([d[0] for d in cur.description], cur.fetchall())
+    joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert joins and all("__bucket" in line for line in joins)
